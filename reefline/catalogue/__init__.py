@@ -1,6 +1,14 @@
 """Every registered query. Importing the package fills the registry."""
 
-from reefline.catalogue import abundance, suggestions, tracking  # noqa: F401
+from reefline.catalogue import (  # noqa: F401
+    abundance,
+    camera,
+    columns,
+    places,
+    suggestions,
+    teaching,
+    tracking,
+)
 from reefline.catalogue.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

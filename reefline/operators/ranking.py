@@ -97,3 +97,51 @@ def null_safe_join(
         test = left[c].eqNullSafe(r[f"_r_{c}"])
         on = test if on is None else on & test
     return left.join(r, on, how).drop(*[f"_r_{c}" for c in keys])
+
+
+def exact_median(df: DataFrame, value: str, bucket_width: float, by: Sequence[str] = ()) -> DataFrame:
+    """Exact median of ``value`` per group as column ``median``.
+
+    Equal values are counted first and counts are summed per value bucket, so
+    only the buckets around the middle are looked into.
+    """
+    keys = list(by)
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_bucket", F.floor(F.col("_v") / bucket_width))
+    )
+    sums = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.call_function("div", F.col("_total") - 1, F.lit(2).cast("bigint"))
+    high = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint"))
+    # windows over bucket counts, not over rows
+    starts = sums.withColumns(
+        {
+            "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
+            "_total": F.sum("_size").over(Window.partitionBy(*keys)),
+        }
+    )
+    middle = starts.select(
+        *keys, "_bucket", "_start", low.alias("_low"), high.alias("_high"), "_size"
+    ).filter((F.col("_start") <= F.col("_high")) & (F.col("_start") + F.col("_size") > F.col("_low")))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    first = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    after = F.col("_first") + F.col("_n")
+    return (
+        null_safe_join(counts, middle, [*keys, "_bucket"])
+        .withColumn("_first", first)
+        .groupBy(*keys)
+        .agg(
+            (
+                F.max(F.when((F.col("_first") <= F.col("_low")) & (F.col("_low") < after), F.col("_v")))
+                + F.max(
+                    F.when((F.col("_first") <= F.col("_high")) & (F.col("_high") < after), F.col("_v"))
+                )
+            ).alias("_both")
+        )
+        .select(*keys, (F.col("_both") / 2).alias("median"))
+    )

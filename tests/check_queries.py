@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL: check_queries.py [folder] [name ...]."""
+"""Run registered queries against their SQL: check_queries.py [folder] [query or module name ...]."""
 
 import sys
 import time
@@ -15,7 +15,12 @@ from reefline.session import local_session  # noqa: E402
 
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(REGISTRY)
+    wanted = sys.argv[2:]
+    names = [
+        n
+        for n, q in REGISTRY.items()
+        if not wanted or n in wanted or q.run.__module__.rsplit(".", 1)[-1] in wanted
+    ]
     spark, con, bad = local_session(8), connect(folder), 0
     for name in names:
         q = REGISTRY[name]
