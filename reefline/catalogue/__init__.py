@@ -4,6 +4,8 @@ from reefline.catalogue import (  # noqa: F401
     abundance,
     camera,
     columns,
+    files,
+    pictures,
     places,
     suggestions,
     teaching,
