@@ -200,42 +200,44 @@ def predictions(
             ).alias("alternatives"),
         )
     )
-    open_tracks = unreviewed(validation).select(*keys, "confidence").join(first_three, keys, "left")
-    found = F.col("suggested_species").isNotNull()
-    open_rows = open_tracks.select(
-        *video,
-        "track_id",
-        F.when(found, F.lit("suggested")).otherwise(F.lit("unvalidated")).alias("status"),
-        F.lit(None).cast("string").alias("true_detection"),
-        F.lit(None).cast("string").alias("species"),
-        "suggested_species",
-        F.when(found, F.bround("confidence", 3)).otherwise(F.lit(0.0)).alias("suggestion_confidence"),
-        "species_proportion",
-        F.when(
-            found,
-            F.format_string(
-                "Based on %d nearby tracks (detection conf: %.1f%%)",
-                F.col("nearby_tracks"),
-                F.col("confidence") * 100.0,
+    reviewed = ~blank(F.col("true_detection"))
+    found = ~reviewed & F.col("suggested_species").isNotNull()
+
+    def when_reviewed(col: Column) -> Column:
+        return F.when(reviewed, col)
+
+    # tracks were matched by key and time, so a reviewed row may share both with an open one
+    return (
+        validation.select(*keys, "confidence", "true_detection", "species")
+        .join(first_three, keys, "left")
+        .select(
+            *video,
+            "track_id",
+            F.when(reviewed, F.lit("validated"))
+            .when(found, F.lit("suggested"))
+            .otherwise(F.lit("unvalidated"))
+            .alias("status"),
+            when_reviewed(F.lower(F.trim("true_detection"))).alias("true_detection"),
+            when_reviewed(F.trim("species")).alias("species"),
+            F.when(found, F.col("suggested_species")).alias("suggested_species"),
+            F.when(found, F.bround("confidence", 3)).otherwise(F.lit(0.0)).alias(
+                "suggestion_confidence"
             ),
+            F.when(found, F.col("species_proportion")).alias("species_proportion"),
+            F.when(reviewed, F.lit("User validated"))
+            .when(
+                found,
+                F.format_string(
+                    "Based on %d nearby tracks (detection conf: %.1f%%)",
+                    F.col("nearby_tracks"),
+                    F.col("confidence") * 100.0,
+                ),
+            )
+            .otherwise(F.lit("No nearby validated tracks"))
+            .alias("reason"),
+            F.when(found, F.col("alternatives")).alias("alternatives"),
         )
-        .otherwise(F.lit("No nearby validated tracks"))
-        .alias("reason"),
-        "alternatives",
-    )
-    done = validation.filter(~blank(F.col("true_detection"))).select(
-        *video,
-        "track_id",
-        F.lit("validated").alias("status"),
-        F.lower(F.trim("true_detection")).alias("true_detection"),
-        F.trim("species").alias("species"),
-        F.lit(None).cast("string").alias("suggested_species"),
-        F.lit(0.0).alias("suggestion_confidence"),
-        F.lit(None).cast("double").alias("species_proportion"),
-        F.lit("User validated").alias("reason"),
-        F.lit(None).cast("map<string,double>").alias("alternatives"),
     )
-    return done.unionByName(open_rows)
 
 
 def suggested(predicted: DataFrame) -> DataFrame:
