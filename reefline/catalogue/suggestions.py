@@ -11,6 +11,7 @@ from reefline.operators import history as h
 from reefline.operators import review as r
 from reefline.operators import suggest as s
 from reefline.schemas import TRACK_KEY
+from reefline.session import reliable_checkpoint
 
 WINDOW_MS = 5000
 
@@ -41,13 +42,18 @@ pred AS (SELECT t.collection, t.bruv_station, t.video_id, t.track_id,
 
 @query("species_votes", _VOTES + "SELECT collection, bruv_station, video_id, track_id, species, n, round(weight, 6) AS weight FROM v")
 def species_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.species_votes(inputs.validation(spark, sf_dir), WINDOW_MS).select(
+    return s.species_votes(_table(spark, sf_dir), WINDOW_MS).select(
         *TRACK_KEY, "species", "n", F.bround("weight", 6).alias("weight")
     )
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation table, derived once: the plans below read it several times."""
+    return reliable_checkpoint(inputs.validation(spark, sf_dir))
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.predictions(inputs.validation(spark, sf_dir), WINDOW_MS)
+    return s.predictions(_table(spark, sf_dir), WINDOW_MS)
 
 
 @query(
@@ -116,7 +122,7 @@ res AS (SELECT hist.*, CASE WHEN ltd = 'true' AND lsp <> '' THEN CASE WHEN lower
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    validation = inputs.validation(spark, sf_dir)
+    validation = _table(spark, sf_dir)
     old = validation.filter(_OLD_HISTORY).select(
         *TRACK_KEY,
         F.lit("Tiger shark").alias("suggested_species"),
@@ -240,7 +246,7 @@ def review_blank_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND collection = 'collection_1' AND confidence >= 0.5e0 AND confidence < 0.8e0""",
 )
 def review_suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracks = _tracks(spark, sf_dir)
+    tracks = reliable_checkpoint(_tracks(spark, sf_dir))
     stated = r.with_state(tracks, r.validation_state(tracks), s.predictions(tracks, WINDOW_MS))
     kept = r.review_filter(stated, collection="collection_1", band="medium", status="suggested")
     return r.review_order(kept).select(*TRACK_KEY, "confidence")

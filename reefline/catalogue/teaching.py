@@ -9,6 +9,7 @@ from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.functions.names import NOTE_CLASSES, SPELLINGS, TAXON_CLASSES
 from reefline.operators import dedup, lookup, training
+from reefline.session import reliable_checkpoint
 
 # --- training classes -----------------------------------------------------
 
@@ -113,7 +114,7 @@ win AS (SELECT r.video_path, r.video_name, r.track_id, ok.species, start_ms, end
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.track_windows(
-        inputs.validation(spark, sf_dir),
+        reliable_checkpoint(inputs.validation(spark, sf_dir)),
         inputs.detections(spark, sf_dir),
         ties=("det_o", "det_l", "det_p", "xmax"),
     )

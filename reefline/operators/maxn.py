@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reefline.functions.clock import ms_to_clock
 from reefline.functions.names import UNCLASSIFIABLE, blank, metric_column
 from reefline.functions.paths import folder_columns
 from reefline.operators.ranking import null_safe_join, running_total, top_rows
@@ -36,22 +37,31 @@ def label_confidence(labels: DataFrame) -> DataFrame:
 
 
 def frame_counts(detections: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Boxes per frame and label. Counting starts before the shuffle, so frames stay small."""
+    """Boxes per frame and label. Counting starts before the shuffle, so frames stay small.
+
+    With a ``time_ms`` column the time is taken from it: the least of a number is
+    hash aggregated, the least of a string would sort every row first.
+    """
     keys = ["video_path", "video_name", "frame", "label", *folder_columns(detections), *extra]
-    return detections.groupBy(*keys).agg(
-        F.min("time").alias("time"), F.count("track_id").alias("n")
+    if "time_ms" not in detections.columns:
+        return detections.groupBy(*keys).agg(
+            F.min("time").alias("time"), F.count("track_id").alias("n")
+        )
+    return (
+        detections.groupBy(*keys)
+        .agg(F.min("time_ms").alias("time_ms"), F.count("track_id").alias("n"))
+        .select(*keys, ms_to_clock(F.col("time_ms")).alias("time"), "n")
     )
 
 
 def _with_tracks(best: DataFrame, detections: DataFrame) -> DataFrame:
     """Attach the tracks of the winning frames only, so no other frame builds a list."""
     keys = ["video_path", "video_name", "frame", "label", *folder_columns(detections)]
-    tracks = (
-        null_safe_join(detections.select(*keys, "track_id"), best.select(*keys), keys)
-        .groupBy(*keys)
+    return (
+        null_safe_join(detections.select(*keys, "track_id"), best, keys)
+        .groupBy(*keys, "time", "n")
         .agg(F.sort_array(F.collect_list("track_id")).alias("tracks_in_maxn"))
     )
-    return null_safe_join(best, tracks, keys)
 
 
 def maxn_by_video(detections: DataFrame, with_tracks: bool = True) -> DataFrame:
