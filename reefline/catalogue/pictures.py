@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,6 +223,9 @@ def chosen_substrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.choose_substrate(rules.unionByName(user).unionByName(model), ["video_no"])
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _brightness_model():
     """A stand-in for a user's model: bright crops are 'pale', dark ones 'dark'."""
     import numpy as np

@@ -7,10 +7,12 @@ and all rules on the numbers stay in Spark.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from reefline.functions.names import UNCLASSIFIABLE
 from reefline.functions.scores import surface_probability
 from reefline.operators.ranking import top_rows
 
+# The functions below travel to the executors whole: the package need not be installed there.
+cloudpickle.register_pickle_by_value(px)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIXELS = ["height", "width", "nChannels", "data"]
 FRAME = ["video_path", "frame"]
 

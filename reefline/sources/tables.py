@@ -13,6 +13,9 @@ from reefline.functions.paths import basename
 from reefline.operators.metadata import normalise_user_metadata
 from reefline.operators.review import clean_validation
 
+# Quotes inside quoted text are doubled, as spreadsheet programs write them.
+CSV = {"header": True, "escape": '"'}
+
 # Distinct headers of one set of result files differ by folder depth only.
 MOST_HEADERS = 100
 
@@ -30,7 +33,7 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """CSV with a header, typed by column name; columns outside the schema stay text."""
-    return typed(spark.read.option("header", True).csv(path), schema)
+    return typed(spark.read.options(**CSV).csv(path), schema)
 
 
 def read_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -49,7 +52,7 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Add rows as new files; nothing already written is read or rewritten."""
     writer = df.write.mode("append")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)
 
 
@@ -84,7 +87,7 @@ def consolidate(
         )
         rows = (
             spark.read.schema(text)
-            .option("header", True)
+            .options(**CSV)
             .csv(pattern)
             .withColumn("source_file", F.col("_metadata.file_path"))
         )
@@ -111,7 +114,7 @@ def validation_precedence(name: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Paths and sizes under a folder. Contents are not read."""
+    """Paths and sizes under a folder. Contents are not read; Spark leaves empty files out."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -133,7 +136,7 @@ def validation_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _validation_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    raw = spark.read.option("header", True).csv(paths)
+    raw = spark.read.options(**CSV).csv(paths)
     missing = [c for c in schemas.VALIDATION_COLUMNS if c not in raw.columns]
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
     return clean_validation(raw).withColumn("track_id", F.trim("track_id").try_cast("bigint"))
@@ -158,7 +161,7 @@ def read_all_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every validation file, with a ``precedence`` that is lowest for the best file."""
     name = basename(F.col("_metadata.file_path"))
     raw = (
-        spark.read.option("header", True)
+        spark.read.options(**CSV)
         .option("pathGlobFilter", "validation_results*.csv")
         .csv(folder)
         .withColumn("review_file", name)
@@ -258,7 +261,7 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_user_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return normalise_user_metadata(spark.read.option("header", True).csv(path))
+    return normalise_user_metadata(spark.read.options(**CSV).csv(path))
 
 
 def read_metadata_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -290,8 +293,7 @@ def read_metadata_text(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("source_file"), pairs.alias("pairs"))
         .select("source_file", F.map_from_entries(last).alias("metadata"))
     )
@@ -325,7 +327,7 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from reefline import schemas
 from reefline.operators.history import update_history
 from reefline.operators.suggest import predictions
+from reefline.sources.tables import CSV
 
 
 def new_files(
@@ -23,7 +24,7 @@ def new_files(
     """A stream of the rows of files that appear under a folder."""
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
