@@ -310,7 +310,8 @@ cand AS (SELECT * FROM spot WHERE loc_id % 2 = 0 AND timestamp > {_NOW} - 30 * 8
   QUALIFY row_number() OVER (PARTITION BY lat, lon, source ORDER BY confidence DESC, timestamp DESC) = 1),
 hit AS (SELECT p.lat, p.lon, c.source, c.lat AS match_lat, c.lon AS match_lon, c.confidence, c.depth, c.substrate_prediction
   FROM (SELECT DISTINCT lat, lon FROM spot) p JOIN cand c ON abs(p.lat - c.lat) < 0.01e0 AND abs(p.lon - c.lon) < 0.01e0
-  QUALIFY row_number() OVER (PARTITION BY p.lat, p.lon, c.source ORDER BY c.confidence DESC, c.lat, c.lon) = 1)
+  QUALIFY row_number() OVER (PARTITION BY p.lat, p.lon, c.source ORDER BY c.confidence DESC,
+    (CAST(floor(c.lat * 1e7) AS BIGINT) * 7919 + CAST(floor(c.lon * 1e7) AS BIGINT) * 104729) % 1000003 DESC, c.lat, c.lon) = 1)
 """
 
 

@@ -14,6 +14,12 @@ from reefline.operators.ranking import top_rows
 DAY = 86_400
 
 
+def scatter(lat: Column, lon: Column) -> Column:
+    """A fixed number per place that is unrelated to where it lies, to order equal rows."""
+    mixed = F.floor(lat * 1e7) * 7919 + F.floor(lon * 1e7) * 104729
+    return F.pmod(mixed, F.lit(1_000_003))
+
+
 def nearby_best(
     points: DataFrame,
     candidates: DataFrame,
@@ -26,13 +32,15 @@ def nearby_best(
     """Per point and source: the most confident row within ``band`` degrees both ways.
 
     ``points`` has (lat, lon); ``candidates`` (lat, lon, source, confidence,
-    timestamp) and the payload columns. Ties go to the lower (lat, lon).
+    timestamp) and the payload columns. Equal confidences are ordered by
+    :func:`scatter`, then by (lat, lon).
 
     Both sides fall into grid cells a little wider than the band, and a point
     looks into the 3 x 3 cells around it. A crowded cell is not paired row by
-    row: its ``head`` most confident rows are tried first. The rest of the cell
-    is searched only for points that found nothing in that head and could still
-    do better there, so the answer stays exact.
+    row: its ``head`` best rows are tried first. The rest of the cell is searched
+    only for points that found nothing in that head and could still do better
+    there, so the answer stays exact. Since ties are scattered over the cell, a
+    point in a crowded area has its answer from the heads, as a rule.
     """
     size = band * 1.001
     cx, cy = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
@@ -47,19 +55,22 @@ def nearby_best(
         "source",
         F.struct(
             F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+            scatter(F.col("lat"), F.col("lon")).alias("scatter"),
             (-F.col("lat")).alias("nlat"),
             (-F.col("lon")).alias("nlon"),
             *[c for c in payload if c != "confidence"],
         ).alias("hit"),
     )
     cell = ["cx", "cy", "source"]
-    rank = [F.col("hit.confidence").desc(), F.col("hit.nlat").desc(), F.col("hit.nlon").desc()]
+    order = ("confidence", "scatter", "nlat", "nlon")
+    rank = [F.col(f"hit.{c}").desc() for c in order]
+    place = F.struct(*[F.col(f"hit.{c}").alias(c) for c in order])
     tops = top_rows(rows, cell, rank, head)
     crowded = (
         rows.groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > head)
-        .join(tops.groupBy(*cell).agg(F.min("hit.confidence").alias("least")), cell)
+        .join(tops.groupBy(*cell).agg(F.min(place).alias("least")), cell)
     )
     spread = (
         points.select("lat", "lon")
@@ -86,17 +97,17 @@ def nearby_best(
         spread.join(crowded, ["cx", "cy"])
         .join(first.select("lat", "lon", *cell), ["lat", "lon", *cell], "left_anti")
         .join(
-            best.select("lat", "lon", "source", F.col("hit.confidence").alias("have")),
+            best.select("lat", "lon", "source", place.alias("have")),
             ["lat", "lon", "source"],
             "left",
         )
-        .filter(F.col("have").isNull() | (F.col("least") >= F.col("have")))
+        .filter(F.col("have").isNull() | (F.col("least") > F.col("have")))
         .select("lat", "lon", *cell, "have")
     )
     rest = (
         rows.join(crowded.select(*cell), cell, "left_semi")
         .join(open_cells, cell)
-        .filter(near & (F.col("have").isNull() | (F.col("hit.confidence") >= F.col("have"))))
+        .filter(near & (F.col("have").isNull() | (place > F.col("have"))))
         .select("lat", "lon", "source", "hit")
     )
     return (

@@ -52,6 +52,11 @@ def check_user_metadata(df: DataFrame) -> DataFrame:
     )
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows with '' for what is missing."""
+    return df.limit(n).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
 def metadata_template(inventory: DataFrame) -> DataFrame:
     """Distinct sorted file names and empty columns to fill in."""
     return (

@@ -30,6 +30,11 @@ from reefline.schemas import VIDEO_KEY
 WEIGHT_DIGITS = 9
 
 
+def with_time_ms(validation: DataFrame) -> DataFrame:
+    """``time_ms`` from the seconds of a validation file; clock strings have no finer unit."""
+    return validation.withColumn("time_ms", F.round(F.col("time_seconds") * 1000).cast("bigint"))
+
+
 def reviewed_true(validation: DataFrame) -> DataFrame:
     """Tracks confirmed with a species: the voters."""
     return validation.filter(

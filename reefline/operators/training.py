@@ -86,7 +86,7 @@ def track_windows(
     )
     middle = middle_detections(wanted, keys, ties or ("xmin", "ymin", "xmax", "ymax")).select(
         *keys,
-        "video_name",
+        *[c for c in ("video_path", "video_name") if c not in keys],
         "detections",
         "w",
         "h",

@@ -228,6 +228,17 @@ def read_label_names(spark: SparkSession, folder: str) -> DataFrame:
     return parse_label_names(list_files(spark, folder, "*jpg"))
 
 
+def file_checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """MD5 of every file's bytes."""
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .load(folder)
+        .select("path", "length", F.md5("content").alias("checksum"))
+    )
+
+
 # --- videos, frames, metadata ---------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Hand-worked cases of the table operators."""
 
 import random
+from math import floor
 
 import numpy as np
 import pytest
@@ -276,21 +277,25 @@ def test_review_filters_and_orders(rows):
 # --- lookups --------------------------------------------------------------
 
 
-def test_band_lookup_in_a_crowded_cell(rows):
+@pytest.mark.parametrize("levels", [50, 1])
+def test_band_lookup_in_a_crowded_cell(rows, levels):
     rng = random.Random(5)
-    cand = [(rng.random() * 0.03, rng.random() * 0.03, rng.choice(["a", "b"]), rng.randrange(50) / 50, 1000 * 86400, float(i)) for i in range(600)]
+    cand = [(rng.random() * 0.03, rng.random() * 0.03, rng.choice(["a", "b"]), rng.randrange(levels) / 50, 1000 * 86400, float(i)) for i in range(600)]
     points = [(rng.random() * 0.05 - 0.01, rng.random() * 0.05 - 0.01) for _ in range(120)]
     got = lookup.nearby_best(
         rows("lat double, lon double", *points),
         rows("lat double, lon double, source string, confidence double, timestamp bigint, depth double", *cand),
         ["depth"], 1010 * 86400, head=2,
     ).collect()
+    def spread(c):
+        return (floor(c[0] * 1e7) * 7919 + floor(c[1] * 1e7) * 104729) % 1000003
+
     want = {}
     for lat, lon in points:
         for s in "ab":
             near = [c for c in cand if c[2] == s and abs(c[0] - lat) < 0.01 and abs(c[1] - lon) < 0.01]
             if near:
-                want[(lat, lon, s)] = min(near, key=lambda c: (-c[3], c[0], c[1]))[5]
+                want[(lat, lon, s)] = min(near, key=lambda c: (-c[3], -spread(c), c[0], c[1]))[5]
     assert {(r.lat, r.lon, r.source): r.depth for r in got} == want
 
 
