@@ -208,13 +208,13 @@ def species_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STATION_SPECIES = "concat('species ', CAST(track_id % 11 + video_no % 5 AS STRING))"
+# Each station has a few species of its own and shares some with its neighbours.
+_STATION_SPECIES = "concat('species ', CAST(floor((video_no % 60 * 3 + track_id % 5) / 4) AS STRING))"
 
 
 @query(
     "species_accumulation",
-    f"""WITH s AS (SELECT DISTINCT concat(folder1, '/', folder2) AS station, {_STATION_SPECIES} AS species FROM detections
-  WHERE (track_id + video_no * 3) % 29 = 0),
+    f"""WITH s AS (SELECT DISTINCT concat(folder1, '/', folder2) AS station, {_STATION_SPECIES.replace('floor(', 'CAST(floor(').replace(' / 4)', ' / 4) AS BIGINT)')} AS species FROM detections),
 st AS (SELECT DISTINCT concat(folder1, '/', folder2) AS station FROM detections),
 r AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS position FROM st),
 f AS (SELECT species, min(position) AS position FROM s JOIN r USING (station) GROUP BY species)
@@ -225,9 +225,7 @@ FROM r LEFT JOIN f USING (position) GROUP BY r.station, r.position""",
 def species_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = inputs.detections(spark, sf_dir).withColumn("station", F.concat_ws("/", "folder1", "folder2"))
     stations = placed.select("station").distinct()
-    sightings = placed.filter("(track_id + video_no * 3) % 29 = 0").selectExpr(
-        "station", f"{_STATION_SPECIES} AS species"
-    )
+    sightings = placed.selectExpr("station", f"{_STATION_SPECIES} AS species")
     return m.species_accumulation(sightings, m.station_positions(stations))
 
 

@@ -9,6 +9,7 @@ from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.functions import places, scores
 from reefline.functions.clock import iso_to_timestamp
+from reefline.functions.names import metric_column
 from reefline.operators import inventory as inv
 from reefline.operators import lookup as lk
 from reefline.operators import maxn as m
@@ -19,23 +20,28 @@ from reefline.operators import metadata as md
 _FILE = "concat('GH', lpad(CAST(c_custkey AS STRING), 8, '0'), '.MP4')"
 _PATH = f"concat('site_', CAST(c_nationkey AS STRING), '/', {_FILE})"
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_WIDE_NAMES = [metric_column("maxn_", p) for p in _PRIORITIES]
+_WIDE_SQL = ", ".join(
+    f"coalesce(max(n) FILTER (label = '{p}'), 0) AS {c}"
+    for p, c in zip(_PRIORITIES, _WIDE_NAMES, strict=True)
+)
+
 _VIDEO_SQL = f"""
 WITH vid AS (SELECT {_FILE} AS video_filename, {_PATH} AS video_path, c_custkey FROM customer),
 usr AS (SELECT {_FILE} AS video_filename, c_mktsegment AS site_name, abs(c_acctbal) / 100 AS depth_m, 'note' AS gopro_fps
   FROM customer WHERE c_custkey % 3 <> 0),
 cam AS (SELECT {_PATH} AS video_path, CAST(24 + c_nationkey AS DOUBLE) AS gopro_fps, c_acctbal / 7 AS gopro_file_size_mb
   FROM customer WHERE c_custkey % 4 <> 1),
-mx AS (SELECT {_PATH} AS video_path, replace(o_orderpriority, ' ', '') AS label, count(*) AS n
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL),
-wide AS (SELECT video_path, coalesce(max(n) FILTER (label = '1-URGENT'), 0) AS maxn_1_URGENT, coalesce(max(n) FILTER (label = '5-LOW'), 0) AS maxn_5_LOW,
+mx AS (SELECT {_PATH} AS video_path, o_orderpriority AS label, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+wide AS (SELECT video_path, {_WIDE_SQL},
   CAST(sum(n) AS BIGINT) AS maxn_total, count(*) AS species_richness FROM mx GROUP BY video_path)
 """
 
 
 def _maxn_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = inputs.table(spark, sf_dir, "orders").filter(
-        F.col("o_orderpriority").isin("1-URGENT", "5-LOW")
-    )
+    orders = inputs.table(spark, sf_dir, "orders")
     customers = inputs.table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS o_custkey", f"{_PATH} AS video_path"
     )
@@ -44,14 +50,15 @@ def _maxn_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("video_path", F.col("o_orderpriority").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return m.maxn_wide(counts, ["1-URGENT", "5-LOW"])
+    return m.maxn_wide(counts, _PRIORITIES)
 
 
 @query(
     "combined_metadata",
     _VIDEO_SQL
-    + """SELECT video_filename, video_path, site_name, depth_m, cam.gopro_fps, usr.gopro_fps AS gopro_fps_user, gopro_file_size_mb,
-  coalesce(maxn_1_URGENT, 0) AS "maxn_1_URGENT", coalesce(maxn_5_LOW, 0) AS "maxn_5_LOW", coalesce(maxn_total, 0) AS maxn_total, species_richness
+    + """SELECT video_filename, video_path, site_name, depth_m, cam.gopro_fps, usr.gopro_fps AS gopro_fps_user, gopro_file_size_mb, """
+    + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _WIDE_NAMES)
+    + """, coalesce(maxn_total, 0) AS maxn_total, species_richness
 FROM vid LEFT JOIN usr USING (video_filename) LEFT JOIN cam USING (video_path) LEFT JOIN wide USING (video_path)""",
 )
 def combined_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +313,7 @@ _NOW = 1_700_000_000
 
 _NEAR = f"""
 WITH spot AS (SELECT {', '.join(_SPOT)} FROM customer),
-cand AS (SELECT * FROM spot WHERE loc_id % 2 = 0 AND timestamp > {_NOW} - 30 * 86400
+cand AS (SELECT * FROM spot WHERE timestamp > {_NOW} - 30 * 86400
   QUALIFY row_number() OVER (PARTITION BY lat, lon, source ORDER BY confidence DESC, timestamp DESC) = 1),
 hit AS (SELECT p.lat, p.lon, c.source, c.lat AS match_lat, c.lon AS match_lon, c.confidence, c.depth, c.substrate_prediction
   FROM (SELECT DISTINCT lat, lon FROM spot) p JOIN cand c ON abs(p.lat - c.lat) < 0.01e0 AND abs(p.lon - c.lon) < 0.01e0
@@ -322,7 +329,7 @@ def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = _spots(spark, sf_dir)
     return lk.nearby_best(
-        spots, spots.filter("loc_id % 2 = 0"), ["depth", "substrate_prediction"], _NOW, head=2
+        spots, spots, ["depth", "substrate_prediction"], _NOW, head=2
     )
 
 

@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.operators import tracks as t
+from reefline.operators.maxn import apply_human_labels
 
 _TIES = ("frame", "det_o", "det_l", "det_p", "xmax")
-_EARLY = "frame < 6 AND confidence < 0.8"
+# Short tracks, a few detections each, so that the false-positive rule has work to do.
+_SHORT_TRACK = "det_o % 250"
 
-_STATS = """
-WITH early AS (SELECT * FROM detections WHERE frame < 6 AND confidence < 0.8e0),
+_STATS = f"""
+WITH short AS (SELECT * REPLACE ({_SHORT_TRACK} AS track_id) FROM detections),
 s AS (SELECT video_path, track_id, count(*) AS track_life, max(confidence) AS max_conf,
   (max((xmin + xmax) / 2) - min((xmin + xmax) / 2)) / max(w) AS motion_x,
   (max((ymin + ymax) / 2) - min((ymin + ymax) / 2)) / max(h) AS motion_y
-  FROM early GROUP BY video_path, track_id),
+  FROM short GROUP BY video_path, track_id),
 k AS (SELECT * FROM s WHERE NOT ((track_life < 3 OR greatest(motion_x, motion_y) < 0.08e0) AND max_conf < 0.7e0))
 """
 
 
-def _early(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.detections(spark, sf_dir).filter(_EARLY)
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.detections(spark, sf_dir).withColumn("track_id", F.expr(_SHORT_TRACK))
 
 
 @query(
@@ -92,7 +94,7 @@ def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT video_path, track_id, track_life, max_conf, round(motion_x, 9) AS motion_x, round(motion_y, 9) AS motion_y FROM s",
 )
 def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.track_stats(_early(spark, sf_dir)).withColumns(
+    return t.track_stats(_short(spark, sf_dir)).withColumns(
         {"motion_x": F.bround("motion_x", 9), "motion_y": F.bround("motion_y", 9)}
     )
 
@@ -101,10 +103,10 @@ def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "true_positive_detections",
     _STATS
     + """SELECT e.video_path, e.track_id, e.frame, e.confidence, e.xmin, e.ymin, e.xmax, e.ymax
-FROM early e JOIN k USING (video_path, track_id)""",
+FROM short e JOIN k USING (video_path, track_id)""",
 )
 def true_positive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.drop_false_positives(_early(spark, sf_dir), fps=3).select(
+    return t.drop_false_positives(_short(spark, sf_dir), fps=3).select(
         "video_path", "track_id", "frame", "confidence", "xmin", "ymin", "xmax", "ymax"
     )
 
@@ -115,7 +117,7 @@ def true_positive_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT video_path, track_id, dense_rank() OVER (PARTITION BY video_path ORDER BY track_id) - 1 AS new_track_id FROM k""",
 )
 def renumbered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    survivors = t.surviving_tracks(_early(spark, sf_dir), fps=3).select("video_path", "track_id")
+    survivors = t.surviving_tracks(_short(spark, sf_dir), fps=3).select("video_path", "track_id")
     return t.renumber_tracks(survivors)
 
 
@@ -127,19 +129,19 @@ SELECT video_path, tracks_found, CAST(coalesce(sum(tracks_found) OVER (ORDER BY
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_track_id FROM c""",
 )
 def track_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.track_offsets(t.surviving_tracks(_early(spark, sf_dir), fps=3))
+    return t.track_offsets(t.surviving_tracks(_short(spark, sf_dir), fps=3))
 
 
 @query(
     "globally_numbered_tracks",
     _STATS
     + """, i AS (SELECT video_path, track_id, row_number() OVER (ORDER BY video_path, track_id) - 1 AS new_id FROM k)
-SELECT e.video_path, i.new_id AS track_id, count(*) AS n FROM early e JOIN i USING (video_path, track_id) GROUP BY ALL""",
+SELECT e.video_path, i.new_id AS track_id, count(*) AS n FROM short e JOIN i USING (video_path, track_id) GROUP BY ALL""",
 )
 def globally_numbered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = _early(spark, sf_dir)
+    short = _short(spark, sf_dir)
     return (
-        t.global_track_ids(early, t.surviving_tracks(early, fps=3))
+        t.global_track_ids(short, t.surviving_tracks(short, fps=3))
         .groupBy("video_path", "track_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -169,11 +171,11 @@ def middle_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "peek_ids",
-    """WITH f AS (SELECT DISTINCT video_path, frame FROM detections WHERE confidence >= 0.9e0)
+    """WITH f AS (SELECT DISTINCT video_path, frame FROM detections WHERE confidence >= 0.25e0)
 SELECT video_path, frame, row_number() OVER (ORDER BY video_path, frame) - 1 AS peek_id FROM f""",
 )
 def peek_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.peek_ids(t.confident(inputs.detections(spark, sf_dir), 0.9))
+    return t.peek_ids(t.confident(inputs.detections(spark, sf_dir)))
 
 
 @query(
@@ -187,8 +189,6 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("label_counts", "SELECT label, count(*) AS n FROM cleaned GROUP BY label")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reefline.operators.maxn import apply_human_labels
-
     return t.label_counts(
         apply_human_labels(inputs.detections(spark, sf_dir), inputs.labeled(spark, sf_dir))
     )
@@ -228,7 +228,7 @@ _OVERVIEW = (
 
 @query("overview", _OVERVIEW + "SELECT * FROM o")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.overview(t.surviving_tracks(_early(spark, sf_dir), fps=3), _videos(spark, sf_dir))
+    return t.overview(t.surviving_tracks(_short(spark, sf_dir), fps=3), _videos(spark, sf_dir))
 
 
 @query(

@@ -40,10 +40,10 @@ def near_duplicates(
 
     ``order`` is a column that orders the detections of a video. Boxes are whole
     numbers and reduced to distinct ones first. In buckets of width
-    2 * tolerance + 1 a box reaches at most two buckets per side, and a bucket
+    4 * tolerance a box reaches at most two buckets per side, and a bucket
     holds a fixed number of distinct boxes, so no bucket can grow with the data.
     """
-    width = 2 * tolerance + 1
+    width = max(4 * tolerance, 1)
     boxes = detections.groupBy(
         video, *[c.alias(n) for c, n in zip(whole_box(), BOX, strict=True)]
     ).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("detections"))
