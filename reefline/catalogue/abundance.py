@@ -200,11 +200,11 @@ def station_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "species_appearance",
     """SELECT collection, bruv_station, video_id, species, min(time_ms) AS first_ms, max(time_ms) AS last_ms,
-  round(avg(confidence), 6) AS mean_confidence FROM reviewed WHERE species <> '' GROUP BY ALL""",
+  round(avg(confidence), 12) AS mean_confidence FROM reviewed WHERE species <> '' GROUP BY ALL""",
 )
 def species_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.appearance(inputs.reviewed(spark, sf_dir)).withColumn(
-        "mean_confidence", F.bround("mean_confidence", 6)
+        "mean_confidence", F.bround("mean_confidence", 12)
     )
 
 

@@ -27,8 +27,9 @@ def main() -> int:
         start = time.time()
         try:
             df = q.run(spark, folder)
-            found = differences(df, con, q.sql) if q.sql else []
-            note = "" if q.sql else f"rows {df.count()} (no SQL)"
+            sizes: list[int] = []
+            found = differences(df, con, q.sql, sizes) if q.sql else []
+            note = f"rows {sizes}" if q.sql else f"rows {df.count()} (no SQL)"
         except Exception as error:  # noqa: BLE001
             found, note = [f"{type(error).__name__}: {str(error)[:1500]}"], ""
         bad += bool(found)

@@ -31,8 +31,8 @@ def _kind(name: str) -> str:
     return {"STRING": "VARCHAR", "INT": "INTEGER", "LONG": "BIGINT"}.get(name, name)
 
 
-def differences(df, con, sql: str) -> list[str]:
-    """Empty when names, types and the multiset of rows agree."""
+def differences(df, con, sql: str, sizes: list[int] | None = None) -> list[str]:
+    """Empty when names, types and the multiset of rows agree. Adds the row count to ``sizes``."""
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     kinds = {d[0]: str(d[1]) for d in cur.description}
@@ -48,6 +48,8 @@ def differences(df, con, sql: str) -> list[str]:
         tuple(_value(r[names.index(c)]) for c in order) for r in cur.fetchall()
     )
     have = Counter(tuple(_value(r[c]) for c in order) for r in df.collect())
+    if sizes is not None:
+        sizes.append(sum(have.values()))
     if want != have:
         extra, missing = have - want, want - have
         problems.append(
