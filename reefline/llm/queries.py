@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import bpe, linededup, neardup, substrings
+from reefline.llm import bpe, decontam, linededup, neardup, pagetext, secretscan, substrings
 from reefline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,21 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, with the alignment's score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", "leak.score", F.col("leak.words").alias("n_words")
+    )
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = pagetext.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_blocks", "n_main")
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """Token counts and digests of encoded documents."""
     return encoded.select(
@@ -34,6 +49,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in every document."""
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = joined(F.filter("found", lambda s: s["kind"] != "guess"))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        count("guess").alias("n_guess"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without words that an earlier document's windows hold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,7 +140,10 @@ FROM c LEFT JOIN n USING (doc_id)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_decontamination": (op1_decontamination, None),
+    "op2_html_extraction": (op2_html_extraction, None),
     "op3_bpe": (op3_bpe, None),
+    "op6_secret_scan": (op6_secret_scan, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_minhash_near_dedup": (op10_minhash_near_dedup, OP10_SQL),
