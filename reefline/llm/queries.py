@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import bpe, decontam, linededup, neardup, pagetext, secretscan, substrings
-from reefline.llm.common import table
+from reefline.llm import bpe, decontam, linededup, neardup, pagetext, quality, secretscan, substrings, toxicity
+from reefline.llm.common import remainder, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,6 +49,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a third of the ids teaches nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return _decided(quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), model))
+
+
+def _decided(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the secrets in every document."""
     found = secretscan.scan(table(spark, sf_dir, "documents"))
@@ -71,6 +83,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids teaches nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return _decided(toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without words that an earlier document's windows hold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -143,7 +163,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_decontamination": (op1_decontamination, None),
     "op2_html_extraction": (op2_html_extraction, None),
     "op3_bpe": (op3_bpe, None),
+    "op4_quality": (op4_quality, None),
     "op6_secret_scan": (op6_secret_scan, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_minhash_near_dedup": (op10_minhash_near_dedup, OP10_SQL),
