@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import bpe, linededup, neardup
+from reefline.llm import bpe, decontam, linededup, neardup, toxicity
 from reefline.llm.common import folder, table, written
 from reefline.llm.queries import digests, vocabulary
 
@@ -17,6 +17,12 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a machine trained on all labels does not call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).filter("score < 0.5").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that three documents share."""
     return _documents(linededup.drop_common_lines(docs))
@@ -27,14 +33,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).filter("kept").select(*COLUMNS)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(*COLUMNS)
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return digests(bpe.encode(docs, vocabulary()))
 
 
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("line dedup", line_dedup),
     ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
     ("BPE encoding and decoding", bpe_encoding),
 ]
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import bpe, decontam, linededup, neardup, pagetext, quality, secretscan, substrings, toxicity
+from reefline.llm import bpe, decontam, linededup, neardup, pagetext, permindex, quality, secretscan, substrings, toxicity
 from reefline.llm.common import remainder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,11 @@ def _decided(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors found nearest to each twentieth vector."""
+    return permindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the secrets in every document."""
     found = secretscan.scan(table(spark, sf_dir, "documents"))
@@ -164,6 +169,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_html_extraction": (op2_html_extraction, None),
     "op3_bpe": (op3_bpe, None),
     "op4_quality": (op4_quality, None),
+    "op5_permutation_index": (op5_permutation_index, None),
     "op6_secret_scan": (op6_secret_scan, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
