@@ -11,10 +11,10 @@ is a leak. Texts never move: both reads are maps, and counts are combined first.
 The benchmark is the stated query set. It is taken in blocks of items of bounded
 size, each broadcast; more items mean more reads, not more memory.
 
-Cases: null or empty text leaks nothing; null or empty items match nothing; items
-shorter than an n-gram are one seed as a whole. Repeated documents and repeated
-items give one result each. Rows without doc_id are tested like others. Other
-columns are handed on; a column named ``leaks`` is replaced.
+Cases: null or empty text leaks nothing; items with fewer words than an n-gram
+(null and empty ones too) are too short to tell a leak and match nothing. Repeated
+documents and repeated items give one result each. Rows without doc_id are tested
+like others. Other columns are handed on; a column named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
@@ -64,9 +64,8 @@ class Words:
 
 
 def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams; a shorter text is one."""
-    size = min(GRAM, len(words))
-    return mixed(rolling(words, size)) if size else words
+    """Hashes of the n-grams."""
+    return mixed(rolling(words, GRAM)) if len(words) >= GRAM else words[:0]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -105,7 +104,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     words = Words()
     for row in benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator():
         own = words(row[1] or "")
-        if not len(own):
+        if len(own) < GRAM:
             continue
         if block and size + len(own) > BLOCK_WORDS:
             yield block
