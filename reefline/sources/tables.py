@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,6 @@ from reefline.operators.review import clean_validation
 # Quotes inside quoted text are doubled, as spreadsheet programs write them.
 CSV = {"header": True, "escape": '"'}
 
-# Distinct headers of one set of result files differ by folder depth only.
-MOST_HEADERS = 100
-
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast text columns to declared types by name; a value that does not fit becomes null."""
@@ -31,9 +30,48 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def file_headers(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(``source_file``, ``header``): the first line of every file that has one."""
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    lines = reader.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return (
+        lines.filter(F.col("_start") == 0)
+        .groupBy("source_file")
+        .agg(F.min_by("value", "_at").alias("header"))
+    )
+
+
+def csv_by_name(
+    spark: SparkSession, path: str | list[str], known: Sequence[str], glob: str | None = None
+) -> DataFrame:
+    """CSV files as text columns by name, each row with its ``source_file``.
+
+    Files may have their columns in different orders and numbers: files with the
+    same first line are read together, and the tables are united by name. A file
+    whose first line names none of the ``known`` columns stops the job.
+    """
+    groups: dict[str, list[str]] = {}
+    for r in file_headers(spark, path, glob).collect():  # one row per file, as in Spark's own listing
+        groups.setdefault(r["header"], []).append(r["source_file"])
+    tables = []
+    for header, files in sorted(groups.items()):
+        rows = spark.read.options(**CSV).csv(sorted(unquote(f) for f in files))
+        if not set(known) & set(rows.columns):
+            raise ValueError(f"no known column in the first line of {sorted(files)[0]}: {header!r}")
+        tables.append(rows.withColumn("source_file", F.col("_metadata.file_path")))
+    if not tables:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*known, "source_file"]]))
+    return union_tables(*tables)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """CSV with a header, typed by column name; columns outside the schema stay text."""
-    return typed(spark.read.options(**CSV).csv(path), schema)
+    return typed(csv_by_name(spark, path, schema.names).drop("source_file"), schema)
 
 
 def read_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -67,38 +105,8 @@ def union_tables(*tables: DataFrame) -> DataFrame:
 def consolidate(
     spark: SparkSession, pattern: str, schema: T.StructType = schemas.DETECTIONS
 ) -> DataFrame:
-    """Many result CSV files as one table, each row with its ``source_file``.
-
-    Files may have different columns. Files are read once per distinct header,
-    and only the rows of files with that header are kept.
-    """
-    first = schema.fields[0].name
-    lines = spark.read.text(pattern).select(
-        "value", F.col("_metadata.file_path").alias("source_file")
-    )
-    heads = lines.filter(F.col("value").startswith(f"{first},")).distinct()
-    found = [r["value"] for r in heads.select("value").distinct().limit(MOST_HEADERS + 1).collect()]
-    if len(found) > MOST_HEADERS:
-        raise ValueError(f"more than {MOST_HEADERS} different headers under {pattern}")
-    tables = []
-    for header in sorted(found):
-        text = T.StructType(
-            [T.StructField(c.strip().strip('"'), T.StringType()) for c in header.split(",")]
-        )
-        rows = (
-            spark.read.schema(text)
-            .options(**CSV)
-            .csv(pattern)
-            .withColumn("source_file", F.col("_metadata.file_path"))
-        )
-        if len(found) > 1:
-            rows = rows.join(
-                heads.filter(F.col("value") == header).select("source_file"), "source_file", "left_semi"
-            )
-        tables.append(typed(rows, schema))
-    if not tables:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType())]))
-    return union_tables(*tables)
+    """Many result CSV files as one table, each row with its ``source_file``."""
+    return typed(csv_by_name(spark, pattern, schema.names), schema)
 
 
 # --- validation files -----------------------------------------------------
@@ -114,14 +122,24 @@ def validation_precedence(name: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Paths and sizes under a folder. Contents are not read; Spark leaves empty files out."""
-    return (
+    """Paths and sizes under a folder. Contents are not read.
+
+    Spark's reader leaves empty files out of its rows but not out of its listing,
+    so they are added from there with size 0.
+    """
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(folder)
         .select("path", "length")
     )
+    listed = [(unquote(re.sub("^file:/+", "file:/", f)),) for f in found.inputFiles()]
+    return (
+        spark.createDataFrame(listed, "path string")
+        .join(found, "path", "left")
+        .select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
+    )
 
 
 def validation_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +154,7 @@ def validation_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _validation_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    raw = spark.read.options(**CSV).csv(paths)
+    raw = csv_by_name(spark, paths, schemas.VALIDATION_COLUMNS).drop("source_file")
     missing = [c for c in schemas.VALIDATION_COLUMNS if c not in raw.columns]
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
     return clean_validation(raw).withColumn("track_id", F.trim("track_id").try_cast("bigint"))
@@ -159,13 +177,8 @@ def _empty_validation() -> T.StructType:
 
 def read_all_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every validation file, with a ``precedence`` that is lowest for the best file."""
-    name = basename(F.col("_metadata.file_path"))
-    raw = (
-        spark.read.options(**CSV)
-        .option("pathGlobFilter", "validation_results*.csv")
-        .csv(folder)
-        .withColumn("review_file", name)
-    )
+    files = csv_by_name(spark, folder, schemas.VALIDATION_COLUMNS, "validation_results*.csv")
+    raw = files.withColumn("review_file", basename(F.col("source_file"))).drop("source_file")
     missing = [c for c in schemas.VALIDATION_COLUMNS if c not in raw.columns]
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
     kind = validation_precedence(F.col("review_file"))

@@ -177,3 +177,47 @@ def test_history_grows_over_runs(spark, folder, rows):
     assert later[2] == ("x", "incorrect")
     assert set(later) == {2, 3}
     assert spark.read.parquet(state).select(F.max("version")).first()[0] == 2
+
+
+def write_text(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    write_text(tmp_path / "a" / "output.csv", "video_path,frame,confidence\nv1,1,0.5\n")
+    write_text(tmp_path / "b" / "output.csv", '"frame","confidence","video_path"\n2,0.25,v2\n')
+    write_text(tmp_path / "c" / "output.csv", "confidence,extra,frame\n0.75,x,3\n")
+    write_text(tmp_path / "d" / "output.csv", "")
+    for rows in (
+        tables.consolidate(spark, f"{tmp_path}/*/output.csv").collect(),
+        tables.read_detections(spark, f"{tmp_path}/*/output.csv").collect(),
+    ):
+        assert {(r.video_path, r.frame, r.confidence, r.extra) for r in rows} == {
+            ("v1", 1, 0.5, None), ("v2", 2, 0.25, None), (None, 3, 0.75, "x"),
+        }
+    write_text(tmp_path / "e" / "output.csv", "1,2,3\n4,5,6\n")
+    with pytest.raises(ValueError, match="no known column"):
+        tables.consolidate(spark, f"{tmp_path}/*/output.csv")
+
+
+def test_more_header_forms_than_any_limit(spark, tmp_path):
+    for k in range(120):
+        write_text(tmp_path / f"r{k}" / "output.csv", f"video_path,depth_{k}\nv{k},{k}\n")
+    got = tables.consolidate(spark, f"{tmp_path}/*/output.csv")
+    assert got.select("video_path").distinct().count() == 120 == got.count()
+
+
+def test_reviews_with_other_column_orders(spark, tmp_path):
+    write_text(tmp_path / "validation_results_2024-01-01.csv", "collection,station,video_name,track_id,species,true_detection\nc,s,v,1,Tiger,true\n")
+    write_text(tmp_path / "validation_results_TG.csv", "true_detection,track_id,video_name,station,collection,species\nfalse,2,v,s,c,\n")
+    got = {r.track_id: (r.collection, r.true_detection) for r in tables.read_all_reviews(spark, str(tmp_path)).collect()}
+    assert got == {1: ("c", "true"), 2: ("c", "false")}
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    write_text(tmp_path / "x" / "13-b.jpg", "")
+    write_text(tmp_path / "x" / "14-a b%c.jpg", "12")
+    got = {r.path.rsplit("/", 1)[1]: r.length for r in tables.list_files(spark, str(tmp_path), "*jpg").collect()}
+    assert got == {"13-b.jpg": 0, "14-a b%c.jpg": 2}
+    assert {r.track_id for r in tables.read_label_names(spark, str(tmp_path)).collect()} == {13, 14}
