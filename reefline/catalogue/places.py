@@ -328,9 +328,7 @@ def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = _spots(spark, sf_dir)
-    return lk.nearby_best(
-        spots, spots, ["depth", "substrate_prediction"], _NOW, head=2
-    )
+    return lk.nearby_best(spots, spots, ["depth", "substrate_prediction"], _NOW)
 
 
 @query("nearby_bathymetry", _NEAR + "SELECT * FROM hit")

@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 
 from reefline.functions.names import blank
 from reefline.functions.scores import percent
+from reefline.operators.ranking import top_rows
 from reefline.operators.suggest import outcome, suggested
 from reefline.schemas import TRACK_KEY
 
 
+def one_per_track(validation: DataFrame) -> DataFrame:
+    """One row per track of tables that list a track more than once.
+
+    The row with the lowest ``precedence`` wins where there is such a column (see
+    ``read_all_reviews``); then a decided verdict before an open one, then the
+    values that sort last.
+    """
+    order = [F.col("precedence").asc_nulls_last()] if "precedence" in validation.columns else []
+    decided = F.lower(F.trim("true_detection")).isin("true", "false")
+    rest = [c for c in ("true_detection", "species", "taxon_group", "notes") if c in validation.columns]
+    return top_rows(
+        validation, TRACK_KEY, [*order, F.coalesce(decided, F.lit(False)).desc(), *[F.col(c).desc_nulls_last() for c in rest]]
+    )
+
+
 def record_new(history: DataFrame, predicted: DataFrame) -> DataFrame:
     """Add suggestions for tracks that never had one; the first suggestion stays."""
     fresh = (
-        suggested(predicted)
+        top_rows(suggested(predicted), TRACK_KEY, [F.col("suggestion_confidence").desc_nulls_last(), F.col("suggested_species")])
         .join(history.select(*TRACK_KEY), TRACK_KEY, "left_anti")
         .select(
             *TRACK_KEY,
@@ -31,10 +47,11 @@ def record_new(history: DataFrame, predicted: DataFrame) -> DataFrame:
 def resolve(history: DataFrame, validation: DataFrame) -> DataFrame:
     """Settle suggestions whose track has been reviewed since.
 
-    A suggestion that was settled before and is not settled by this validation
+    A track has one row, whatever the number of rows the validation has for it. A
+    suggestion that was settled before and is not settled by this validation
     keeps its outcome.
     """
-    verdicts = validation.select(
+    verdicts = one_per_track(validation).select(
         *TRACK_KEY,
         F.lower(F.trim("true_detection")).alias("_verdict"),
         F.trim("species").alias("_species"),

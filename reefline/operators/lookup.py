@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.names import blank
-from reefline.operators.ranking import top_rows
+from reefline.operators.ranking import null_safe_join, top_rows
 
 DAY = 86_400
 
@@ -20,6 +19,10 @@ def scatter(lat: Column, lon: Column) -> Column:
     return F.pmod(mixed, F.lit(1_000_003))
 
 
+# Grid cells start at half a band and are halved this many times where the edge of a point's box cuts them.
+HALVINGS = 6
+
+
 def nearby_best(
     points: DataFrame,
     candidates: DataFrame,
@@ -27,7 +30,6 @@ def nearby_best(
     now: int,
     band: float = 0.01,
     days: int = 30,
-    head: int = 16,
 ) -> DataFrame:
     """Per point and source: the most confident row within ``band`` degrees both ways.
 
@@ -35,23 +37,21 @@ def nearby_best(
     timestamp) and the payload columns. Equal confidences are ordered by
     :func:`scatter`, then by (lat, lon).
 
-    Both sides fall into grid cells a little wider than the band, and a point
-    looks into the 3 x 3 cells around it. A crowded cell is not paired row by
-    row: its ``head`` best rows are tried first. The rest of the cell is searched
-    only for points that found nothing in that head and could still do better
-    there, so the answer stays exact. Since ties are scattered over the cell, a
-    point in a crowded area has its answer from the heads, as a rule.
+    Every cell of a halved grid keeps its best row. A cell that lies wholly in a
+    point's box answers with that row; a cell that the box's edge cuts is opened
+    into its quarters, and only if its best row beats what the point has already.
+    Rows themselves are looked at in the smallest cells alone. So a point's work
+    depends on the number of cells, not on how many rows crowd into them.
     """
-    size = band * 1.001
-    cx, cy = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
+    unit = band / 2
     fresh = candidates.filter(F.col("timestamp") > now - days * DAY)
     rows = top_rows(
         fresh,
         ["lat", "lon", "source"],
         [F.col("confidence").desc(), F.col("timestamp").desc()],
     ).select(
-        cx.alias("cx"),
-        cy.alias("cy"),
+        _cell("lat", unit, HALVINGS).alias("cx"),
+        _cell("lon", unit, HALVINGS).alias("cy"),
         "source",
         F.struct(
             F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
@@ -62,58 +62,66 @@ def nearby_best(
         ).alias("hit"),
     )
     cell = ["cx", "cy", "source"]
-    order = ("confidence", "scatter", "nlat", "nlon")
-    rank = [F.col(f"hit.{c}").desc() for c in order]
-    place = F.struct(*[F.col(f"hit.{c}").alias(c) for c in order])
-    tops = top_rows(rows, cell, rank, head)
-    crowded = (
-        rows.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > head)
-        .join(tops.groupBy(*cell).agg(F.min(place).alias("least")), cell)
+    tops = [rows.groupBy(*cell).agg(F.max("hit").alias("hit"))]
+    for _ in range(HALVINGS):
+        halved = [F.floor(F.col(c) / 2).alias(c) for c in ("cx", "cy")]
+        tops.insert(0, tops[0].select(*halved, "source", "hit").groupBy(*cell).agg(F.max("hit").alias("hit")))
+
+    def span(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - band * 1.001) / unit), F.floor((F.col(c) + band * 1.001) / unit))
+
+    spread = points.select("lat", "lon").distinct().withColumn("cx", F.explode(span("lat")))
+    frontier = (
+        spread.withColumn("cy", F.explode(span("lon")))
+        .join(tops[0], ["cx", "cy"])
+        .withColumn("have", F.lit(None).cast(rows.schema["hit"].dataType))
     )
-    spread = (
-        points.select("lat", "lon")
-        .distinct()
-        .select(
-            "lat",
-            "lon",
-            F.explode(F.sequence(cx - 1, cx + 1)).alias("cx"),
-            cy.alias("_cy"),
+    point = ["lat", "lon", "source"]
+    for level in range(HALVINGS + 1):
+        size = unit / 2**level
+        inside = _within("cx", "lat", size, band) & _within("cy", "lon", size, band)
+        opened = F.struct("cx", "cy", F.col("hit").alias("top"))
+        state = (
+            frontier.groupBy(*point)
+            .agg(
+                F.max(F.greatest("have", F.when(inside, F.col("hit")))).alias("have"),
+                # cells along the edge of one box: a bounded list
+                F.collect_list(F.when(F.col("hit").isNotNull() & ~inside, opened)).alias("cut"),
+            )
+            .select(
+                *point,
+                "have",
+                F.filter("cut", lambda c: F.col("have").isNull() | (c["top"] > F.col("have"))).alias("cut"),
+            )
         )
-        .select("lat", "lon", "cx", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)).alias("cy"))
-    )
-    near = (F.abs(-F.col("hit.nlat") - F.col("lat")) < band) & (
-        F.abs(-F.col("hit.nlon") - F.col("lon")) < band
-    )
-    first = (
-        spread.join(tops, ["cx", "cy"])
-        .filter(near)
-        .groupBy("lat", "lon", *cell)
-        .agg(F.max("hit").alias("hit"))
-    )
-    best = first.groupBy("lat", "lon", "source").agg(F.max("hit").alias("hit"))
-    open_cells = (
-        spread.join(crowded, ["cx", "cy"])
-        .join(first.select("lat", "lon", *cell), ["lat", "lon", *cell], "left_anti")
-        .join(
-            best.select("lat", "lon", "source", place.alias("have")),
-            ["lat", "lon", "source"],
-            "left",
+        if level == HALVINGS:
+            break
+        child = unit / 2 ** (level + 1)
+        quarters = F.flatten(
+            F.transform(
+                "cut",
+                lambda c: F.array(
+                    *[F.struct((c["cx"] * 2 + i).alias("cx"), (c["cy"] * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)]
+                ),
+            )
         )
-        .filter(F.col("have").isNull() | (F.col("least") > F.col("have")))
-        .select("lat", "lon", *cell, "have")
-    )
-    rest = (
-        rows.join(crowded.select(*cell), cell, "left_semi")
-        .join(open_cells, cell)
-        .filter(near & (F.col("have").isNull() | (place > F.col("have"))))
-        .select("lat", "lon", "source", "hit")
-    )
+        touching = F.filter(quarters, lambda c: _touches(c["cx"], F.col("lat"), child, band) & _touches(c["cy"], F.col("lon"), child, band))
+        # a finished point stays as one row; its key is scattered, since no cell has it
+        nowhere = -F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) - 2**40
+        frontier = (
+            state.withColumn("open", F.explode_outer(touching))
+            .select(*point, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
+            .join(tops[level + 1], cell, "left")
+        )
+    near = (F.abs(-F.col("hit.nlat") - F.col("lat")) < band) & (F.abs(-F.col("hit.nlon") - F.col("lon")) < band)
+    nowhere = -F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) - 2**40
     return (
-        best.unionByName(rest)
-        .groupBy("lat", "lon", "source")
-        .agg(F.max("hit").alias("hit"))
+        state.withColumn("open", F.explode_outer("cut"))
+        .select(*point, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
+        .join(rows, cell, "left")
+        .groupBy(*point)
+        .agg(F.max(F.greatest("have", F.when(near, F.col("hit")))).alias("hit"))
+        .filter(F.col("hit").isNotNull())
         .select(
             "lat",
             "lon",
@@ -126,29 +134,21 @@ def nearby_best(
     )
 
 
-# A species list is a constant of the expression, so it is kept to this many names.
-MOST_NAMES = 5000
+def _cell(c: str, unit: float, level: int) -> Column:
+    """Cell number of the level; a cell's halves have twice its number and the next."""
+    return F.floor((F.col(c) / unit) * 2**level)
 
 
-def _closest(text: Column, names: Sequence[str], most: int) -> Column:
-    """Struct (distance, position, name) of the nearest name, null beyond ``most`` edits."""
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"a species list holds at most {MOST_NAMES} names, not {len(names)}")
-    listed = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), F.lit(n.lower()).alias("low"))
-            for i, n in enumerate(names)
-        ]
-    )
-    scored = F.transform(
-        listed,
-        lambda s: F.struct(
-            F.levenshtein(text, s["low"], most).alias("distance"),
-            s["position"].alias("position"),
-            s["name"].alias("name"),
-        ),
-    )
-    return F.array_min(F.filter(scored, lambda s: s["distance"] >= 0))
+def _within(cell: str, at: str, size: float, band: float) -> Column:
+    """Whether a cell surely lies inside the band around a point, along one axis."""
+    low, slack = F.col(cell) * size, band * 1e-6
+    return (low > F.col(at) - band + slack) & (low + size < F.col(at) + band - slack)
+
+
+def _touches(cell: Column, at: Column, size: float, band: float) -> Column:
+    """Whether a cell may reach into the band around a point, along one axis."""
+    low, slack = cell * size, band * 1e-6
+    return (low + size > at - band - slack) & (low < at + band + slack)
 
 
 def match_species(
@@ -161,27 +161,38 @@ def match_species(
     """Nearest listed species for typed names: in the track's own group, else in any.
 
     Adds ``match``, ``distance`` and ``scope`` ('group', 'all' or null). The first
-    listed name wins a tie. Each distinct text is compared once.
+    listed name wins a tie. Each distinct text is compared once. The lists are a
+    table of any length: texts and names meet by their length, since names of more
+    than ``most`` letters more or less are further away than that.
     """
-    everything = [n for names in lists.values() for n in names]
+    spark = inputs.sparkSession
+    listed = [(g, n) for g, names in lists.items() for n in names]
+    names = spark.createDataFrame([(k, g, n) for k, (g, n) in enumerate(listed)], "_position int, _group string, _name string")
     low = F.lower(F.trim(F.col(text)))
     distinct = inputs.select(text, group).distinct().filter(~blank(F.col(text)))
-    own = reduce(
-        lambda other, item: F.when(
-            F.col(group) == item[0], _closest(low, item[1], most)
-        ).otherwise(other),
-        lists.items(),
-        F.lit(None),
+    words = distinct.select(low.alias("_low")).distinct()
+    near = (
+        words.withColumn("_size", F.explode(F.sequence(F.length("_low") - most, F.length("_low") + most)))
+        .join(names.withColumn("_size", F.length("_name")), "_size")
+        .withColumn("_distance", F.levenshtein("_low", F.lower("_name"), most))
+        .filter(F.col("_distance") >= 0)
     )
-    matched = distinct.withColumns({"_own": own, "_all": _closest(low, everything, most)})
+    rank = F.struct(F.col("_distance").alias("distance"), F.col("_position").alias("position"), F.col("_name").alias("name"))
+    by_group = near.groupBy("_low", "_group").agg(F.min(rank).alias("_own"))
+    by_text = near.groupBy("_low").agg(F.min(rank).alias("_all"))
     hit = F.coalesce("_own", "_all")
-    answers = matched.select(
-        text,
-        group,
-        hit["name"].alias("match"),
-        hit["distance"].cast("bigint").alias("distance"),
-        F.when(F.col("_own").isNotNull(), F.lit("group"))
-        .when(F.col("_all").isNotNull(), F.lit("all"))
-        .alias("scope"),
+    answers = (
+        distinct.withColumn("_low", low)
+        .join(by_text, "_low", "left")
+        .join(by_group.withColumnRenamed("_low", "_text"), (F.col("_low") == F.col("_text")) & (F.col(group) == F.col("_group")), "left")
+        .select(
+            text,
+            group,
+            hit["name"].alias("match"),
+            hit["distance"].cast("bigint").alias("distance"),
+            F.when(F.col("_own").isNotNull(), F.lit("group"))
+            .when(F.col("_all").isNotNull(), F.lit("all"))
+            .alias("scope"),
+        )
     )
-    return inputs.join(answers, [text, group], "left")
+    return null_safe_join(inputs, answers, [text, group], "left")

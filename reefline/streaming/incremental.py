@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reefline import schemas
-from reefline.operators.history import update_history
+from reefline.operators.history import one_per_track, update_history
+from reefline.operators.ranking import top_rows
 from reefline.operators.suggest import predictions
+from reefline.schemas import TRACK_KEY
 from reefline.sources.tables import CSV
 
 
@@ -70,31 +73,39 @@ def update_history_state(
     window_ms: int = 120_000,
     validation: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> None:
-    """Fold each micro-batch, taken as a validation table, into the stored history.
+    """Fold each micro-batch into the stored history.
 
-    Batch n reads version n and writes version n + 1 into a folder of its own, so
-    a failed batch leaves the version it started from untouched.
+    A batch may hold several validation exports; a track they share counts once.
+    Batch n writes the rows that it adds or changes into the folder ``batch=n`` and
+    looks only at the tracks it names, so its work follows the batch, not the
+    history. A batch that is run again replaces its own rows and reads only
+    earlier ones.
     """
     columns = [f.name for f in schemas.HISTORY.fields]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        table = validation(batch)
-        history = (
-            spark.read.schema(schemas.HISTORY).parquet(f"{state}/version={batch_id}")
-            if batch_id
-            else spark.createDataFrame([], schemas.HISTORY)
-        )
-        updated = update_history(history, predictions(table, window_ms), table)
-        updated.select(*columns).write.mode("overwrite").parquet(f"{state}/version={batch_id + 1}")
+        table = one_per_track(validation(batch))
+        if batch_id:
+            before = _latest(_stored(spark, state).filter(F.col("batch") < batch_id))
+        else:
+            before = spark.createDataFrame([], schemas.HISTORY)
+        named = before.join(table.select(*TRACK_KEY), TRACK_KEY, "left_semi").select(*columns)
+        after = update_history(named, predictions(table, window_ms), table).select(*columns)
+        after.exceptAll(named).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     process_available(stream, checkpoint, fold)
 
 
+def _stored(spark: SparkSession, state: str) -> DataFrame:
+    kept = T.StructType([*schemas.HISTORY.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(kept).parquet(state)
+
+
+def _latest(stored: DataFrame) -> DataFrame:
+    return top_rows(stored, TRACK_KEY, [F.col("batch").desc()]).drop("batch")
+
+
 def read_history_state(spark: SparkSession, state: str) -> DataFrame:
-    """The latest version of the history."""
-    versions = spark.read.schema(
-        T.StructType([*schemas.HISTORY.fields, T.StructField("version", T.LongType())])
-    ).parquet(state)
-    latest = versions.selectExpr("max(version) AS v").first()["v"]
-    return versions.filter(versions.version == (latest or 0)).drop("version")
+    """The history: the latest row of every track."""
+    return _latest(_stored(spark, state))

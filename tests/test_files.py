@@ -176,7 +176,12 @@ def test_history_grows_over_runs(spark, folder, rows):
     later = run(voter, ("c", "s", "v", 2, 10, 0.5, "true", "y"), ("c", "s", "v", 3, 20, 0.5, "", ""))
     assert later[2] == ("x", "incorrect")
     assert set(later) == {2, 3}
-    assert spark.read.parquet(state).select(F.max("version")).first()[0] == 2
+    # only what a batch adds or changes is written
+    assert {(r.batch, r.track_id) for r in spark.read.parquet(state).collect()} == {(0, 2), (1, 2), (1, 3)}
+    # two exports in one batch: the shared track counts once
+    last = run(("c", "s", "v", 3, 20, 0.5, "true", "x"), ("c", "s", "v", 3, 20, 0.5, "", ""))
+    assert last[3][1] == "correct" and len(last) == 2
+    assert incremental.read_history_state(spark, state).count() == 2
 
 
 def write_text(path, text):

@@ -285,7 +285,7 @@ def test_band_lookup_in_a_crowded_cell(rows, levels):
     got = lookup.nearby_best(
         rows("lat double, lon double", *points),
         rows("lat double, lon double, source string, confidence double, timestamp bigint, depth double", *cand),
-        ["depth"], 1010 * 86400, head=2,
+        ["depth"], 1010 * 86400,
     ).collect()
     def spread(c):
         return (floor(c[0] * 1e7) * 7919 + floor(c[1] * 1e7) * 104729) % 1000003
@@ -299,6 +299,40 @@ def test_band_lookup_in_a_crowded_cell(rows, levels):
     assert {(r.lat, r.lon, r.source): r.depth for r in got} == want
 
 
+def test_band_lookup_where_confidence_follows_the_place(rows):
+    rng = random.Random(8)
+    cand = [(rng.random() * 0.03, rng.random() * 0.03, "a", 0.0, 1000 * 86400, 0.0) for _ in range(500)]
+    cand = [(lat, lon, s, lat + lon / 1000, t, lat) for lat, lon, s, _, t, _ in cand]
+    points = [(rng.random() * 0.03, rng.random() * 0.03) for _ in range(150)]
+    got = lookup.nearby_best(
+        rows("lat double, lon double", *points),
+        rows("lat double, lon double, source string, confidence double, timestamp bigint, depth double", *cand),
+        ["depth"], 1010 * 86400,
+    ).collect()
+    want = {}
+    for lat, lon in points:
+        near = [c for c in cand if abs(c[0] - lat) < 0.01 and abs(c[1] - lon) < 0.01]
+        if near:
+            want[lat, lon] = max(near, key=lambda c: c[3])[5]
+    assert {(r.lat, r.lon): r.depth for r in got} == want
+
+
+def test_a_species_list_of_any_length(rows):
+    lists = {"shark": [f"species number {k}" for k in range(6_000)], "ray": ["Manta"]}
+    df = rows("species string, taxon_group string", ("species numbr 5999", "shark"), ("species number 17", "ray"), (None, "ray"))
+    got = {(r.match, r.distance, r.scope) for r in lookup.match_species(df, lists).collect()}
+    assert got == {("species number 5999", 1, "group"), ("species number 17", 0, "all"), (None, None, None)}
+
+
+def test_a_track_with_two_verdicts_has_one_history_row(rows):
+    key = "collection string, bruv_station string, video_id string, track_id bigint"
+    predicted = rows(f"{key}, suggested_species string, suggestion_confidence double, status string", *[("c", "s", "v", 1, "Tiger", 0.9, "suggested")] * 2)
+    empty = rows(f"{key}, suggested_species string, suggestion_confidence double, outcome string, validated_species string, validated_as_true boolean")
+    verdicts = rows(f"{key}, true_detection string, species string, precedence int", ("c", "s", "v", 1, "true", "Tiger", 1), ("c", "s", "v", 1, "false", "", 2))
+    for table, want in ((verdicts, "correct"), (verdicts.withColumn("precedence", -F.col("precedence")), "incorrect_fp")):
+        assert [r.outcome for r in history.update_history(empty, predicted, table).collect()] == [want]
+
+
 def test_old_rows_are_not_found(rows):
     cand = rows("lat double, lon double, source string, confidence double, timestamp bigint", (0.0, 0.0, "a", 1.0, 0))
     assert lookup.nearby_best(rows("lat double, lon double", (0.0, 0.0)), cand, [], 31 * 86400).count() == 0
