@@ -28,15 +28,15 @@ r AS (SELECT video_no, min(sample_idx) AS first_idx, max(sample_idx) AS last_idx
 
 @query("smoothed_motion", _SMOOTH + "SELECT video_no, sample_idx, samples, round(smoothed, 9) AS smoothed FROM z")
 def smoothed_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.smoothed(inputs.stability_samples(spark, sf_dir), "video_no", chunk=16).withColumn(
+    return st.smoothed(inputs.stability_samples(spark, sf_dir), "video_no").withColumn(
         "smoothed", F.bround("smoothed", 9)
     )
 
 
 @query("stable_runs", _SMOOTH + "SELECT * FROM r")
 def stable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = st.smoothed(inputs.stability_samples(spark, sf_dir), "video_no", chunk=16)
-    return st.stable_runs(smooth, THRESHOLD, "video_no", chunk=16)
+    smooth = st.smoothed(inputs.stability_samples(spark, sf_dir), "video_no")
+    return st.stable_runs(smooth, THRESHOLD, "video_no")
 
 
 _PERIODS = (
@@ -57,7 +57,6 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
         least_seconds=8,
         frame_step=30,
         video="video_no",
-        chunk=16,
     )
 
 

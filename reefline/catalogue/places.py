@@ -229,36 +229,20 @@ def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- places ---------------------------------------------------------------
 
-_ZONE50 = "CASE WHEN lat BETWEEN -30 AND 30 THEN 'tropical' WHEN abs(lat) > 50 THEN 'cold' ELSE 'temperate' END"
-_LAND = """(lat BETWEEN 25 AND 50 AND lon BETWEEN -125 AND -60) OR (lat BETWEEN 35 AND 70 AND lon BETWEEN -10 AND 40)
-  OR (lat BETWEEN -35 AND 35 AND lon BETWEEN -20 AND 50) OR (lat BETWEEN 0 AND 70 AND lon BETWEEN 40 AND 140)
-  OR (lat BETWEEN -45 AND -10 AND lon BETWEEN 110 AND 155) OR (lat BETWEEN -55 AND 15 AND lon BETWEEN -85 AND -35)"""
-
-
 @query(
-    "location_rules",
-    f"""SELECT loc_id, {_LAND} AS land,
-  CASE WHEN depth < 5 THEN 'sand' WHEN depth < 30 AND lat BETWEEN -30 AND 30 THEN 'coral_reef' WHEN depth < 30 THEN 'seagrass'
-    WHEN depth < 100 THEN 'sand' WHEN depth < 500 THEN 'rock' ELSE 'unknown' END AS by_depth,
-  CASE {_ZONE50} WHEN 'tropical' THEN CASE WHEN depth <> 0 AND depth < 20 THEN 'coral_reef' ELSE 'sand' END WHEN 'cold' THEN 'rock'
-    ELSE CASE WHEN depth <> 0 AND depth < 30 THEN 'seagrass' ELSE 'sand' END END AS by_location,
-  CASE {_ZONE50} WHEN 'tropical' THEN CASE WHEN depth <> 0 AND depth < 20 THEN 0.4e0 ELSE 0.3e0 END WHEN 'cold' THEN 0.3e0
-    ELSE CASE WHEN depth <> 0 AND depth < 30 THEN 0.35e0 ELSE 0.3e0 END END AS location_confidence,
-  CASE {_ZONE50} WHEN 'tropical' THEN 'Carcharhinus melanopterus' WHEN 'cold' THEN 'Somniosus microcephalus'
-    ELSE 'Carcharodon carcharias,Triakis semifasciata' END AS expected
-FROM locations""",
+    "expected_species",
+    """WITH r AS (SELECT n_name AS species, n_nationkey * 6e0 - 75 AS low, n_nationkey * 6e0 - 55 AS high, (n_nationkey % 5) / 5e0 AS probability FROM nation)
+SELECT loc_id, coalesce(string_agg(DISTINCT species, ',' ORDER BY species), '') AS expected
+FROM locations LEFT JOIN r ON lat BETWEEN low AND high AND probability > 0.2e0 GROUP BY loc_id""",
 )
-def location_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lat, lon, depth = F.col("lat"), F.col("lon"), F.col("depth")
-    by_location = places.substrate_from_location(lat, depth)
-    return inputs.locations(spark, sf_dir).select(
-        "loc_id",
-        places.is_land(lat, lon).alias("land"),
-        places.substrate_from_depth(depth, lat).alias("by_depth"),
-        by_location["substrate_type"].alias("by_location"),
-        by_location["confidence"].alias("location_confidence"),
-        F.array_join(places.expected_species(lat), ",").alias("expected"),
+def expected_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species by a given table of latitude ranges."""
+    ranges = inputs.table(spark, sf_dir, "nation").selectExpr(
+        "n_name AS species", "n_nationkey * 6e0 - 75 AS low", "n_nationkey * 6e0 - 55 AS high", "(n_nationkey % 5) / 5e0 AS probability"
     )
+    spots = inputs.locations(spark, sf_dir).select("loc_id", F.col("lat").alias("latitude"))
+    found = md.expected_species(spots, ranges, key="loc_id")
+    return found.select("loc_id", F.array_join("expected_species", ",").alias("expected"))
 
 
 @query(
@@ -356,8 +340,7 @@ v AS (SELECT loc_id, lat, lon, CASE WHEN loc_id % 4 = 0 THEN NULL ELSE depth / 1
   CASE WHEN loc_id % 3 = 0 THEN NULL ELSE 'sand' END AS substrate_type, (loc_id % 10) / 10e0 AS substrate_confidence FROM spot)
 SELECT loc_id, CASE WHEN coalesce(depth_estimate, 0) = 0 THEN coalesce(abs(b.depth), depth_estimate) ELSE depth_estimate END AS depth_estimate,
   CASE WHEN b.depth IS NOT NULL AND (substrate_type IS NULL OR substrate_confidence < 0.5e0) THEN b.substrate_prediction ELSE substrate_type END AS substrate_type,
-  CASE WHEN b.depth IS NOT NULL AND (substrate_type IS NULL OR substrate_confidence < 0.5e0) THEN b.confidence ELSE substrate_confidence END AS substrate_confidence,
-  'Carcharhinus melanopterus' AS expected_species
+  CASE WHEN b.depth IS NOT NULL AND (substrate_type IS NULL OR substrate_confidence < 0.5e0) THEN b.confidence ELSE substrate_confidence END AS substrate_confidence
 FROM v LEFT JOIN bst b USING (lat, lon)""",
 )
 def enriched_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +360,6 @@ def enriched_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "depth_estimate",
         "substrate_type",
         "substrate_confidence",
-        F.array_join("expected_species", ",").alias("expected_species"),
     )
 
 

@@ -239,11 +239,11 @@ def images_labelled_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "images_labelled_by_folder",
-    f"""WITH p AS (SELECT {_PATHS}, source FROM documents) SELECT path, source AS class FROM p WHERE source IN ('src1', 'src2', 'src3')""",
+    f"""WITH p AS (SELECT {_PATHS}, source FROM documents) SELECT path, source AS class FROM p WHERE source IS NOT NULL""",
 )
 def images_labelled_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = inputs.table(spark, sf_dir, "documents").selectExpr(_PATHS)
-    return training.label_by_folder(paths, ["src1", "src2", "src3"])
+    return training.label_by_folder(paths, [f"src{k}" for k in range(20)])
 
 
 # --- duplicate boxes ------------------------------------------------------

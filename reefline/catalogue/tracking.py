@@ -164,18 +164,18 @@ def best_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT video_path, track_id, detections, frame, xmin, ymin, xmax, ymax FROM r WHERE pos = detections // 2""",
 )
 def middle_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.middle_detections(inputs.detections(spark, sf_dir), ties=_TIES[1:], frame_run=16).select(
+    return t.middle_detections(inputs.detections(spark, sf_dir), ties=_TIES[1:]).select(
         "video_path", "track_id", "detections", "frame", "xmin", "ymin", "xmax", "ymax"
     )
 
 
 @query(
     "peek_ids",
-    """WITH f AS (SELECT DISTINCT video_path, frame FROM detections WHERE confidence >= 0.25e0)
+    """WITH f AS (SELECT DISTINCT video_path, frame FROM detections)
 SELECT video_path, frame, row_number() OVER (ORDER BY video_path, frame) - 1 AS peek_id FROM f""",
 )
 def peek_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.peek_ids(t.confident(inputs.detections(spark, sf_dir)))
+    return t.peek_ids(inputs.detections(spark, sf_dir))
 
 
 @query(

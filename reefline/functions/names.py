@@ -126,3 +126,15 @@ def class_from_notes(true_detection: Column, species: Column, notes: Column) ->
 def metric_column(prefix: str, label: str) -> str:
     """A column name built from data: everything but letters, digits and '_' becomes '_'."""
     return prefix + "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in label)
+
+
+def metric_columns(prefix: str, labels: list[str]) -> list[str]:
+    """One name per label; labels that would share a name are numbered in their order."""
+    out: list[str] = []
+    for label in labels:
+        name = stem = metric_column(prefix, label)
+        k = 2
+        while name in out:
+            name, k = f"{stem}_{k}", k + 1
+        out.append(name)
+    return out

@@ -1,39 +1,10 @@
-"""Latitude zones, rough land boxes, expected species, sun height, coordinates."""
+"""Latitude zones, sun height, coordinates."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values: (lat_min, lat_max, lon_min, lon_max) of rough land boxes.
-LAND_BOXES = [
-    (25.0, 50.0, -125.0, -60.0),
-    (35.0, 70.0, -10.0, 40.0),
-    (-35.0, 35.0, -20.0, 50.0),
-    (0.0, 70.0, 40.0, 140.0),
-    (-45.0, -10.0, 110.0, 155.0),
-    (-55.0, 15.0, -85.0, -35.0),
-]
-
-# Species and probability of occurrence by zone.
-ZONE_SPECIES = {
-    "tropical": [
-        ("Carcharhinus melanopterus", 0.3),
-        ("Stegostoma fasciatum", 0.2),
-        ("Rhincodon typus", 0.1),
-    ],
-    "cold": [
-        ("Somniosus microcephalus", 0.4),
-        ("Hexanchus griseus", 0.2),
-    ],
-    "temperate": [
-        ("Carcharodon carcharias", 0.3),
-        ("Triakis semifasciata", 0.4),
-    ],
-}
-
 
 def zone(lat: Column, cold_beyond: float = 60.0, cold_name: str = "polar") -> Column:
     """Latitude zone; latitude 0 is tropical, a missing latitude has no zone."""
@@ -44,54 +15,6 @@ def zone(lat: Column, cold_beyond: float = 60.0, cold_name: str = "polar") -> Co
     )
 
 
-def is_land(lat: Column, lon: Column) -> Column:
-    """Inside one of six fixed boxes; constants, so no join is needed."""
-    inside = [
-        lat.between(a, b) & lon.between(c, d) for a, b, c, d in LAND_BOXES
-    ]
-    return reduce(lambda x, y: x | y, inside)
-
-
-def expected_species(lat: Column, above: float = 0.2) -> Column:
-    """Species whose probability in the zone of ``lat`` is greater than ``above``."""
-    zones = zone(lat, 50.0, "cold")
-    out = F.lit(None)
-    for name, rows in ZONE_SPECIES.items():
-        kept = F.array(*[F.lit(s) for s, p in rows if p > above]).cast("array<string>")
-        out = F.when(zones == name, kept).otherwise(out)
-    return out
-
-
-def substrate_from_depth(depth: Column, lat: Column) -> Column:
-    d = F.abs(depth)
-    return (
-        F.when(d < 5, F.lit("sand"))
-        .when((d < 30) & lat.between(-30.0, 30.0), F.lit("coral_reef"))
-        .when(d < 30, F.lit("seagrass"))
-        .when(d < 100, F.lit("sand"))
-        .when(d < 500, F.lit("rock"))
-        .when(d.isNotNull(), F.lit("unknown"))
-    )
-
-
-def substrate_from_location(lat: Column, depth: Column) -> Column:
-    """Struct (substrate_type, confidence) by zone and depth; unknown depth counts as deep."""
-
-    def pick(name: str, confidence: float) -> Column:
-        return F.struct(
-            F.lit(name).alias("substrate_type"), F.lit(float(confidence)).alias("confidence")
-        )
-
-    known = F.coalesce(depth, F.lit(0.0)) != 0.0
-    return (
-        F.when(lat.between(-30.0, 30.0) & known & (depth < 20), pick("coral_reef", 0.4))
-        .when(lat.between(-30.0, 30.0), pick("sand", 0.3))
-        .when(F.abs(lat) > 50, pick("rock", 0.3))
-        .when(lat.isNotNull() & known & (depth < 30), pick("seagrass", 0.35))
-        .when(lat.isNotNull(), pick("sand", 0.3))
-    )
-
-
 def dms_to_degrees(parts: Column, hemisphere: Column) -> Column:
     """[degrees, minutes, seconds] and a hemisphere letter to signed decimal degrees."""
     value = F.get(parts, 0) + F.get(parts, 1) / 60.0 + F.get(parts, 2) / 3600.0

@@ -31,8 +31,6 @@ FRAME = ["video_path", "frame"]
 # Boxes of one frame travel to Python in groups of about this many.
 BOXES_TOGETHER = 256
 
-# Up to this many boxes (some 30 MB) go to every executor, so that no frame is shuffled.
-BROADCAST_BOXES = 500_000
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 64) -> None:
@@ -337,10 +335,8 @@ def frames_with_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each frame once with its boxes (box_id, xmin, ymin, xmax, ymax) as an array.
 
     A frame with very many boxes is repeated for groups of them, so an array
-    stays near ``BOXES_TOGETHER`` entries. The boxes are counted first: few are
-    broadcast and the frames stay where they are, more are joined by a shuffle.
+    stays near ``BOXES_TOGETHER`` entries. Spark chooses the join by size.
     """
-    few = boxes.limit(BROADCAST_BOXES + 1).count() <= BROADCAST_BOXES
     sizes = boxes.groupBy(*FRAME).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BOXES_TOGETHER)).alias("_groups")
     )
@@ -355,7 +351,7 @@ def frames_with_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
         .agg(F.collect_list(box).alias("boxes"))
         .drop("_group")
     )
-    return frames.select(*FRAME, *PIXELS).join(F.broadcast(grouped) if few else grouped, FRAME)
+    return frames.select(*FRAME, *PIXELS).join(grouped, FRAME)
 
 
 def _cut(image: np.ndarray, box) -> np.ndarray:

@@ -111,11 +111,12 @@ def maxn_wide(
     pivot = pivot.pivot("label", list(labels)) if labels is not None else pivot.pivot("label")
     wide = pivot.agg(F.max("n"))
     names = [c for c in wide.columns if c != key]
+    columns = metric_columns("maxn_", names)
     wide = wide.select(
         F.col(key),
         *[
-            F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("bigint").alias(metric_column("maxn_", c))
-            for c in names
+            F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("bigint").alias(column)
+            for c, column in zip(names, columns)
         ],
     )
     totals = per_label.groupBy(key).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.names import blank
 from reefline.functions.paths import basename
-from reefline.functions.places import expected_species, zone
+from reefline.functions.places import zone
 from reefline.operators.ranking import exact_median, top_rows
 from reefline.schemas import USER_METADATA_COLUMNS
 
@@ -232,7 +232,28 @@ def enrich(
             .withColumn("temperature", F.coalesce(F.nullif("temperature", F.lit(0.0)), "_t"))
             .drop("_t")
         )
-    return out.withColumn("expected_species", expected_species(F.col("latitude")))
+    return out
+
+
+def expected_species(videos: DataFrame, ranges: DataFrame, key: str = "video_path", above: float = 0.2) -> DataFrame:
+    """``videos`` with ``expected_species``, the sorted species whose given range holds the latitude.
+
+    ``ranges`` has (species, low, high, probability); both ends belong to the
+    range, and rows of at most ``above`` are left out. Ranges and videos meet by
+    whole degrees of latitude.
+    """
+    bands = ranges.filter(F.col("probability") > above).select(
+        "species", "low", "high", F.explode(F.sequence(F.floor("low"), F.floor("high"))).alias("_degree")
+    )
+    found = (
+        videos.select(key, "latitude", F.floor("latitude").alias("_degree"))
+        .join(bands, "_degree")
+        .filter(F.col("latitude").between(F.col("low"), F.col("high")))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_set("species")).alias("expected_species"))
+    )
+    none = F.array().cast("array<string>")
+    return videos.join(found, key, "left").withColumn("expected_species", F.coalesce("expected_species", none))
 
 
 def best_source(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

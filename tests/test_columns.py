@@ -148,10 +148,6 @@ def test_places(spark):
     lat = F.col("v")
     assert [one(spark, places.zone(lat), v=x) for x in (0.0, -30.0, 45.0, -61.0)] == [
         "tropical", "tropical", "temperate", "polar"]
-    assert one(spark, places.is_land(F.col("v"), F.lit(-100.0)), v=30.0) is True
-    assert one(spark, places.is_land(F.col("v"), F.lit(-150.0)), v=30.0) is False
-    assert one(spark, places.expected_species(lat), v=0.0) == ["Carcharhinus melanopterus"]
-    assert one(spark, places.substrate_from_location(lat, F.lit(None).cast("double")), v=40.0)[0] == "sand"
     got = one(spark, places.dms_to_degrees(F.array(*[F.lit(x) for x in (10.0, 30.0, 36.0)]), F.col("v")), v="W")
     assert got == pytest.approx(-10.51)
 

@@ -418,3 +418,11 @@ def test_names_of_training_images(rows):
     assert plain(by_name) == [("t/1-Gcirratum.jpg", "G.cirratum")]
 
 
+
+
+def test_labels_that_share_a_column_name_are_told_apart(rows):
+    found = rows("video_path string, label string, n bigint, frame bigint", ("v", "C. perezi", 2, 1), ("v", "C  perezi", 3, 1))
+    wide = maxn.maxn_wide(found)
+    assert len(set(wide.columns)) == len(wide.columns)
+    row = wide.first().asDict()
+    assert {row["maxn_C__perezi"], row["maxn_C__perezi_2"]} == {2, 3} and row["maxn_total"] == 5
