@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.clock import ms_to_clock
-from reefline.functions.names import UNCLASSIFIABLE, blank, metric_column
+from reefline.functions.names import UNCLASSIFIABLE, blank, metric_columns
 from reefline.functions.paths import folder_columns
 from reefline.operators.ranking import null_safe_join, running_total, top_rows
 
