@@ -10,10 +10,11 @@ similarity 0.75 shares none of 32 bands with probability 5e-6.
 In a band's bucket one member, chosen by hash, is the hub: every other member is
 compared with it, not with all. Pairs pass a collision-corrected estimate of the
 Jaccard similarity, then an exact count on full shingle sets. What the hubs did
-not join meets again: members of one bucket in different components are paired
-until no bucket holds an untested pair of that kind, so no link between
-components is lost to the choice of hubs. Components come from label
-propagation with checkpoints in the shared folder.
+not join meets again: in a bucket that holds several components, members outside its
+largest are compared with all members of other components, in blocks of bounded
+size on short shingle sets, and only pairs that reach the threshold leave the task.
+So no link between components is lost to the choice of hubs. Components come from
+star steps over written tables in the shared folder.
 
 Exact copies (same words in lower case) are one member with many documents.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ BANDS = REGISTERS // ROWS
 ZERO_BITS, TAIL_BITS = 6, 10
 # The estimate must miss the threshold by five standard errors before a pair is dropped unverified.
 ERRORS = 5.0
+BLOCK = 2_048  # members of a bucket that one task takes from each of two blocks
 A_TO_Z = bytes(range(256)).lower()  # lower-cases A-Z, leaves all other bytes
 
 
@@ -199,6 +202,73 @@ def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def unjoined(labelled: DataFrame) -> DataFrame:
+    """Rows (``band, doc_id, part``) of buckets with several components, with the bucket's number of ``blocks``."""
+    split = (
+        labelled.groupBy("band")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
+        .filter("low < high")
+    )
+    return labelled.join(split, "band").select("band", "doc_id", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def short_sets(held: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """``doc_id`` and the shingle set in 32-bit hashes, of the documents in unjoined buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES // 2):
+                sets = [
+                    np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes()
+                    for t in part.column("text").cast(pa.binary()).to_pylist()
+                ]
+                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "short"])
+
+    needed = open_rows.select("doc_id").distinct()
+    return held.join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, short binary")
+
+
+def links_across(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket in different components that reach the threshold, with some slack, on 32-bit sets.
+
+    A bucket is cut into blocks of bounded size; a task compares two blocks. It
+    emits only pairs that pass, never all pairs.
+    """
+    percent = round(100 * threshold)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id")
+        ids, parts, block = (group[c].to_numpy() for c in ("doc_id", "part", "block"))
+        own = [np.frombuffer(x, dtype=np.uint32) for x in group["short"]]
+        size = np.array([len(x) for x in own])
+        owner = np.repeat(np.arange(len(own)), size)
+        value = np.concatenate(own)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        names, counts = np.unique(parts, return_counts=True)
+        most = names[counts.argmax()]
+        same_block = group["one"].iloc[0] == group["two"].iloc[0]
+        found = []
+        for k in np.flatnonzero(parts != most):  # the rest of the pairs lies within one component
+            first, last = (np.searchsorted(value, own[k], side=s) for s in ("left", "right"))
+            spans = [owner[a:b] for a, b in zip(first, last)]
+            both = np.bincount(np.concatenate(spans), minlength=len(own))
+            union = size[k] + size - both
+            near = (100 * both + 200 + size[k] // 10 >= percent * union) & (parts != parts[k])
+            near &= (block == block[k]) if same_block else (block != block[k])
+            found += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in np.flatnonzero(near)]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = (
+        open_rows.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "doc_id", "part", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    )
+    return dealt.join(sets, "doc_id").groupBy("band", "one", "two").applyInPandas(run, "a long, b long").distinct()
+
+
 def components(nodes_of: DataFrame, where: str) -> DataFrame:
     """``doc_id`` and the smallest id of its component, for every id in the links ``a, b``.
 
@@ -271,22 +341,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     )
     links = written(verified(written(likely(pairs, sigs, threshold), f"{where}/likely"), plain, threshold), f"{where}/links")
     joined = components(links, f"{where}/first")
-    # Buckets whose members the hubs left in several components: pair across components.
     labelled = crowded.select("band", "doc_id").join(joined, "doc_id", "left").withColumn(
         "part", F.coalesce("component_id", "doc_id")
     )
-    split = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    open_rows = labelled.join(split.select("band"), "band").select("band", "doc_id", "part")
-    other = open_rows.select("band", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
-    across = written(
-        open_rows.join(other, "band")
-        .filter((F.col("part") < F.col("other_part")))
-        .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti"),
-        f"{where}/across",
-    )
-    more = verified(written(likely(across, sigs, threshold), f"{where}/likely-across"), plain, threshold)
+    open_rows = written(unjoined(labelled), f"{where}/open")
+    across = written(links_across(open_rows, short_sets(plain, open_rows), threshold), f"{where}/across")
+    more = verified(across, plain, threshold)
     parts = components(links.union(more).union(copies), f"{where}/second")
     sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     result = written(
