@@ -120,7 +120,13 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_ROW
     wanted = labels.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")
     ).filter("doc_id is not null and y in (0, 1)")
-    chosen = top_rows(wanted, ["y"], [F.xxhash64("doc_id"), F.col("doc_id")], most)
+    # A first cut by the hash leaves little more than is wanted, however many labels there are.
+    wanted = wanted.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    cut = F.lit(0)
+    for r in wanted.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows
+        share = min(1.0, (1.3 * most + 100) / r["n"])
+        cut = F.when(F.col("y") == r["y"], F.lit(int(share * (1 << 30)))).otherwise(cut)
+    chosen = top_rows(wanted.filter(F.col("place") < cut), ["y"], [F.col("place"), F.col("doc_id")], most).drop("place")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most 2 * most ids: a bounded broadcast
     return texts.join(F.broadcast(chosen), "doc_id")

@@ -40,7 +40,7 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 # Fixed values for the quick test whether a text needs the patterns at all.
-QUICK = r"""(?i:passw|passp|passc|pwd|pass["']?\x20*[:=]|secret|token|api_?key|access_?key|private_?key|credential|auth|bearer)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+QUICK = r"""(?i:passw|passp|passc|pwd|pass[^a-z0-9]|secret|token|api_?key|access_?key|private_?key|credential|auth|bearer)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 
 # Common parts of passwords, the most frequent first.
 WORDS = (
