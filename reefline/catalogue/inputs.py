@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.functions.clock import ms_to_clock
-from reefline.operators.ranking import top_rows
+from reefline.operators.ranking import bucketed_index, top_rows
 
 DETECTION_EXPRESSIONS = [
     "concat('collection_', CAST(l_suppkey % 3 AS STRING), '/BRUV ', CAST(l_suppkey % 20 AS STRING), '/GH', CAST(l_suppkey AS STRING), '.MP4') AS video_path",
@@ -154,11 +154,14 @@ def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stability_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        "user_id AS video_no",
-        "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS sample_idx",
-        "value / (value + 20e0) AS motion_score",
+    """Samples by user, numbered in time; days are counted first, so no task sorts all of a user's events."""
+    samples = table(spark, sf_dir, "events").selectExpr(
+        "user_id AS video_no", "ts", "event_id", "value / (value + 20e0) AS motion_score"
     )
+    day = F.to_date("ts")
+    return bucketed_index(
+        samples, ["video_no"], day, [F.col("ts"), F.col("event_id")], "sample_idx"
+    ).select("video_no", "sample_idx", "motion_score")
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,11 +162,16 @@ def middle_detections(
 ) -> DataFrame:
     """Detection number n div 2 of each track in frame order, with the track's n.
 
-    Frame runs are counted first; only the run that holds the middle is ranked.
+    Boxes are counted per frame and per run of frames: the counts tell the run,
+    then the frame that holds the middle, and only that frame's boxes are ranked.
     """
     keys = list(key)
-    cut = detections.withColumn("_run", F.floor(F.col("frame") / frame_run))
-    runs = cut.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_size"))
+    frames = (
+        detections.groupBy(*keys, "frame")
+        .agg(F.count(F.lit(1)).alias("_boxes"))
+        .withColumn("_run", F.floor(F.col("frame") / frame_run))
+    )
+    runs = frames.groupBy(*keys, "_run").agg(F.sum("_boxes").alias("_size"))
     totals = runs.groupBy(*keys).agg(F.sum("_size").alias("detections"))
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     target = (
@@ -178,12 +183,19 @@ def middle_detections(
         )
         .select(*keys, "_run", "detections", (F.col("_want") - F.col("_start")).alias("_skip"))
     )
-    inside = Window.partitionBy(*keys, "_run").orderBy("frame", *ties)
+    in_run = Window.partitionBy(*keys, "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (
+        frames.join(target, [*keys, "_run"])
+        .withColumn("_first", F.coalesce(F.sum("_boxes").over(in_run), F.lit(0)))
+        .filter((F.col("_skip") >= F.col("_first")) & (F.col("_skip") < F.col("_first") + F.col("_boxes")))
+        .select(*keys, "frame", "detections", (F.col("_skip") - F.col("_first")).alias("_skip"))
+    )
+    inside = Window.partitionBy(*keys, "frame").orderBy(*ties)
     return (
-        cut.join(target, [*keys, "_run"])
+        detections.join(chosen, [*keys, "frame"])
         .withColumn("_pos", F.row_number().over(inside) - 1)
         .filter(F.col("_pos") == F.col("_skip"))
-        .drop("_run", "_skip", "_pos")
+        .drop("_skip", "_pos")
     )
 
 
