@@ -12,7 +12,7 @@ compared with it, not with all. Pairs pass a collision-corrected estimate of the
 Jaccard similarity, then an exact count on full shingle sets. What the hubs did
 not join meets again: in a bucket that holds several components, members outside its
 largest are compared with all members of other components, in blocks of bounded
-size on short shingle sets, and only pairs that reach the threshold leave the task.
+size on full shingle sets, and only pairs that reach the threshold leave the task.
 So no link between components is lost to the choice of hubs. Components come from
 star steps over written tables in the shared folder.
 
@@ -193,10 +193,12 @@ def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
                 yield pa.record_batch([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    used = held.join(needed, "doc_id", "left_semi")
+    # The hints keep one plan at every size: what is needed grows with the data.
+    used = held.join(needed.hint("shuffle_hash"), "doc_id", "left_semi")
     return (
-        pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.hint("shuffle_hash")
+        .join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(run, "a bigint, b bigint")
     )
@@ -212,25 +214,22 @@ def unjoined(labelled: DataFrame) -> DataFrame:
     return labelled.join(split, "band").select("band", "doc_id", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
 
-def short_sets(held: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """``doc_id`` and the shingle set in 32-bit hashes, of the documents in unjoined buckets."""
+def shingle_sets(held: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """``doc_id`` and the packed shingle set, of the documents in unjoined buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES // 2):
-                sets = [
-                    np.unique((shingles(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes()
-                    for t in part.column("text").cast(pa.binary()).to_pylist()
-                ]
-                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "short"])
+                sets = [shingles(t, hashes).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "packed"])
 
-    needed = open_rows.select("doc_id").distinct()
-    return held.join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, short binary")
+    needed = open_rows.select("doc_id").distinct().hint("shuffle_hash")
+    return held.join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, packed binary")
 
 
 def links_across(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket in different components that reach the threshold, with some slack, on 32-bit sets.
+    """Pairs of one bucket in different components whose full shingle sets reach the threshold.
 
     A bucket is cut into blocks of bounded size; a task compares two blocks. It
     emits only pairs that pass, never all pairs.
@@ -240,7 +239,7 @@ def links_across(open_rows: DataFrame, sets: DataFrame, threshold: float) -> Dat
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
         ids, parts, block = (group[c].to_numpy() for c in ("doc_id", "part", "block"))
-        own = [np.frombuffer(x, dtype=np.uint32) for x in group["short"]]
+        own = [np.frombuffer(x, dtype=np.uint64) for x in group["packed"]]
         size = np.array([len(x) for x in own])
         owner = np.repeat(np.arange(len(own)), size)
         value = np.concatenate(own)
@@ -255,7 +254,7 @@ def links_across(open_rows: DataFrame, sets: DataFrame, threshold: float) -> Dat
             spans = [owner[a:b] for a, b in zip(first, last)]
             both = np.bincount(np.concatenate(spans), minlength=len(own))
             union = size[k] + size - both
-            near = (100 * both + 200 + size[k] // 10 >= percent * union) & (parts != parts[k])
+            near = (100 * both >= percent * union) & (parts != parts[k])
             near &= (block == block[k]) if same_block else (block != block[k])
             found += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in np.flatnonzero(near)]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
@@ -266,7 +265,7 @@ def links_across(open_rows: DataFrame, sets: DataFrame, threshold: float) -> Dat
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "doc_id", "part", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
-    return dealt.join(sets, "doc_id").groupBy("band", "one", "two").applyInPandas(run, "a long, b long").distinct()
+    return dealt.join(sets.hint("merge"), "doc_id").groupBy("band", "one", "two").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(nodes_of: DataFrame, where: str) -> DataFrame:
@@ -278,7 +277,7 @@ def components(nodes_of: DataFrame, where: str) -> DataFrame:
     links = nodes_of.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
-    step = 0
+    step, before = 0, None
     links = written(links, f"{where}/0")
     while True:
         both = links.union(links.select("b", "a"))
@@ -294,12 +293,13 @@ def components(nodes_of: DataFrame, where: str) -> DataFrame:
             .distinct()
         )
         step += 1
-        after = written(small, f"{where}/{step}")
-        changed = after.exceptAll(links).limit(1).count()
+        links = written(small, f"{where}/{step}")
         remove(nodes_of.sparkSession, f"{where}/{step - 1}")
-        links = after
-        if not changed:
+        # two sums over all links tell whether a step changed any
+        now = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        if now == before:
             break
+        before = now
     return links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
 
 
@@ -345,8 +345,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         "part", F.coalesce("component_id", "doc_id")
     )
     open_rows = written(unjoined(labelled), f"{where}/open")
-    across = written(links_across(open_rows, short_sets(plain, open_rows), threshold), f"{where}/across")
-    more = verified(across, plain, threshold)
+    more = links_across(open_rows, shingle_sets(plain, open_rows), threshold)
     parts = components(links.union(more).union(copies), f"{where}/second")
     sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     result = written(
