@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared without case and without punctuation at their ends. A first
-read of the documents counts in how many each n-gram of the benchmark occurs. An
-item's seeds are its n-grams in at most ``rare_share`` of all documents, and
-always the rarer half of them, so an item that leaked into many documents keeps
-seeds. A second read finds seeds in each document and aligns the passage around
-them with the item; an alignment of at least ``least_score`` of the perfect score
-is a leak. Texts never move: both reads are maps, and counts are combined first.
+Words are compared without case and without punctuation at their ends. Every
+n-gram of an item is a seed, however many documents hold it: copies that keep only
+n-grams that many others hold too are found like any other. The passages around
+seeds are aligned with the item if they hold enough of its words for the score; an
+alignment of at least ``least_score`` of the perfect score is a leak. Texts never
+move: the one read of the documents is a map.
 
 The benchmark is the stated query set. It is taken in blocks of items of bounded
 size, each broadcast; more items mean more reads, not more memory.
@@ -32,7 +31,6 @@ from reefline.llm.substrings import mixed, rolling
 ship(__name__)
 
 GRAM = 3
-RARE_SHARE = 0.001
 LEAST_SCORE = 0.5
 LEAST_WORDS = 8  # matched words; shorter items must match as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -115,41 +113,17 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def seed_counts(docs: DataFrame, seeds: np.ndarray) -> dict[int, int]:
-    """In how many documents each of the given n-grams occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = Words(), shared.value
-        total = np.zeros(len(table), dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    own = grams(words(text))
-                    place = np.minimum(np.searchsorted(table, own), len(table) - 1)
-                    total[np.unique(place[table[place] == own])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([table[seen].view(np.int64), total[seen]], names=["seed", "n"])
-
-    counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "seed bigint, n bigint")
-    rows = counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
-    return {r["seed"]: r["n"] for r in rows}
+def seeds_of(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds in order, with the item's place in the block and the offset in the item."""
+    own = [grams(words) for _, words in items]
+    sizes = [len(g) for g in own]
+    seeds, place = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+    offset = np.concatenate([np.arange(n) for n in sizes])
+    order = np.lexsort((offset, place, seeds))
+    return seeds[order], place[order], offset[order]
 
 
-def rare_seeds(items: list[tuple[int, np.ndarray]], counts: dict[int, int], most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds in order, with the item's place in the block and the offset in the item."""
-    found = []
-    for k, (_, own) in enumerate(items):
-        own_grams = grams(own)
-        n = np.array([counts.get(int(g), 0) for g in own_grams.view(np.int64)])
-        limit = max(most, float(np.sort(n)[(len(n) - 1) // 2]))
-        found += [(int(own_grams[o]), k, o) for o in np.flatnonzero(n <= limit)]
-    found.sort()
-    seeds, place, offset = zip(*found)
-    return np.array(seeds, dtype=np.uint64), np.array(place, dtype=np.int64), np.array(offset, dtype=np.int64)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rare_share: float = RARE_SHARE, least_score: float = LEAST_SCORE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents with ``leaks``: ``item_id``, ``score`` (share of the perfect score) and ``words`` (matched)."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("leaks", "text")]
@@ -159,12 +133,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rare_share: float = RARE_S
         F.col("text").isNull().alias("empty"),
         F.expr("cast(array() as array<struct<item_id:bigint,score:double,words:int>>)").alias("leaks"),
     )
-    total = docs.count()
     schema = held.schema
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("words", pa.int32())]))
     for items in item_blocks(benchmark):
-        every = np.unique(np.concatenate([grams(own) for _, own in items]))
-        shared = spark.sparkContext.broadcast((items, *rare_seeds(items, seed_counts(docs, every), rare_share * total)))
+        shared = spark.sparkContext.broadcast((items, *seeds_of(items)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words = Words()
@@ -188,7 +160,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rare_share: float = RARE_S
                         for k, pairs in sorted(by_item.items()):
                             item_id, item = known[k]
                             where, shift = (np.array(c) for c in zip(*pairs))
-                            best, matched = max(align(item, own[a:b]) for a, b in passages(where, shift, len(item), len(own)))
+                            near = [own[a:b] for a, b in passages(where, shift, len(item), len(own))]
+                            # each word of the item adds MATCH at most, and only if the passage holds it
+                            near = [p for p in near if np.isin(item, p).sum() >= least_score * len(item)]
+                            if not near:
+                                continue
+                            best, matched = max(align(item, p) for p in near)
                             score = best / (MATCH * len(item))
                             if score >= least_score and matched >= min(len(item), LEAST_WORDS):
                                 leaks[row].append({"item_id": item_id, "score": score, "words": matched})

@@ -91,6 +91,18 @@ def test_an_item_that_leaked_everywhere_is_still_found(spark):
     assert all([leak.item_id for leak in r.leaks] == [1] for r in got) and len(got) == 300
 
 
+FIFTHS = "the seven grey foxes walked over nine cold bridges toward an old mill before dawn while every single miller slept"
+
+
+@pytest.mark.parametrize("edited, exact, clean", [(300, 0, 0), (1, 0, 20), (300, 40, 0), (15, 3, 2_000)])
+def test_copies_with_every_fifth_word_replaced_are_found(spark, edited, exact, clean):
+    copy = " ".join("EDIT" if k % 5 == 4 else w for k, w in enumerate(FIFTHS.split()))
+    texts = [f"start {copy} end"] * edited + [f"start {FIFTHS} end"] * exact + ["nothing of the kind is said in here at all"] * clean
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame([(1, FIFTHS)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.leaks} == set(range(edited + exact))
+
+
 def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
     docs, bench = documents(spark), spark.createDataFrame([(k, f"alpha beta gamma {w}") for k, w in enumerate("abcd")], "item_id long, text string")
     whole = decontam.find_leaks(docs, bench).collect()
