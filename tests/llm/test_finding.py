@@ -103,6 +103,33 @@ def test_copies_with_every_fifth_word_replaced_are_found(spark, edited, exact, c
     assert {r.doc_id for r in got if r.leaks} == set(range(edited + exact))
 
 
+@pytest.mark.parametrize(
+    "item, text, matched",
+    [
+        ("a1 a2 a3 a4 a5 a6 a7 a8 a9", "x a1 a2 a3 a4 EDIT a6 a7 a8 a9 y", 8),
+        ("a1 a2 a3 a4 a5 a6 a7 a8 a9 b1 b2 b3", "x a1 a2 a3 EDIT a5 a6 EDIT a8 a9 EDIT b2 b3 y", 9),
+        ("a1 a2 a3 a4 a5 a6 a7 a8", "x a1 a2 a3 a4 EDIT a6 a7 a8 y", 7),
+        ("a1 a2 a3 a4 a5 a6", "x a1 a2 a3 EDIT a5 a6 y", 5),
+        ("a1 a2 a3 a4 a5", "x a1 a2 EDIT a4 a5 y", 4),
+        ("a1 a2 a3 a4 a5", "x a1 a2 a4 a5 y", 4),
+        ("a1 a2 a3 a4", "x a1 EDIT a3 a4 y", 3),
+        ("a1 a2 a3 a4", "x a1 a2 EDIT a3 a4 y", 4),
+        ("a1 a2 a3", "x a1 a2 EDIT a3 y", 3),
+        ("a1 a2", "x A1, a2. y", 2),
+        ("a1 a2", "x a1 EDIT a2 y", None),
+        ("a1 a2 a3 a4", "x a1 a2 a3 y", None),
+        ("a1 a2 a3", "x a1 EDIT a3 y", None),
+        ("水は零度で氷になる", "昔から水は零度で氷になると言われる。", 9),
+        ("水は零度で氷になる", "水は零度に氷になる", 8),
+        ("氷点", "水の氷点は零度", 2),
+    ],
+)
+def test_edited_copies_of_short_items(spark, item, text, matched):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    leaks = decontam.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()[0].leaks
+    assert [leak.words for leak in leaks] == ([] if matched is None else [matched])
+
+
 def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
     docs, bench = documents(spark), spark.createDataFrame([(k, f"alpha beta gamma {w}") for k, w in enumerate("abcd")], "item_id long, text string")
     whole = decontam.find_leaks(docs, bench).collect()
