@@ -6,10 +6,13 @@ itself: stop-word density, length and link density, the element it lies in
 ``class``, ``id`` and ``role`` give that element. Short blocks stay open. In pass
 two an open block takes the label of the nearest decided block, first of its own
 article. On a page with an ``article`` or ``main`` element, blocks outside it are
-not main text; inside it length alone can stand for stop words.
+not main text; inside it length alone can stand for stop words. That does not hold
+if such elements have no main text (comments, for one), or less than the block
+rules find beside them (teasers): then the block rules decide the whole page.
 
 Cases: null html is empty; a page without blocks has empty text. Broken markup
-never fails: unknown or unclosed tags are skipped, a tag cut off at the end of
+never fails: unknown or unclosed tags are skipped (of an unclosed ``video``, ``svg``
+and the like only the tag, not what follows), a tag cut off at the end of
 the page is dropped. Repeated rows give repeated results; other columns than
 ``page_id``, ``url`` and ``html`` are left out.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +38,10 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 # Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|math|canvas|video|audio"
+RAW = "script|style|noscript|template|textarea|title|iframe"
+# The same, but these are parsed, may be nested, and hold nothing if they are never closed.
+PARSED = frozenset("svg math object select canvas video audio".split())
+FOREIGN = frozenset(["svg", "math"])  # may close themselves
 # Elements that never hold main text.
 OUTSIDE = frozenset("nav footer aside form menu dialog button label fieldset".split())
 MAIN = frozenset(["article", "main"])
@@ -62,6 +68,7 @@ TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</""",
     re.S | re.I,
 )
+HAS_PARSED = re.compile(rf"<(?:{'|'.join(sorted(PARSED))})\b", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,8 +88,10 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is no main text by its kind or its names."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    if tag == "article":  # whole names only: articles list their topics here
+        return any(not NAMES.isdisjoint("".join(values).lower().split()) for _, *values in ATTRIBUTE.findall(attributes))
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
@@ -92,6 +101,26 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def closed(page: str) -> dict[int, int]:
+    """Where each closed parsed element starts and ends."""
+    out: dict[int, int] = {}
+    if not HAS_PARSED.search(page):
+        return out
+    opened: dict[str, list[int]] = {tag: [] for tag in PARSED}
+    for m in TOKEN.finditer(page):
+        tag = (m[3] or "").lower()
+        if tag not in PARSED:
+            continue
+        if m[2]:
+            if opened[tag]:
+                out[opened[tag].pop()] = m.end()
+        elif tag in FOREIGN and m[4].endswith("/"):
+            out[m.start()] = m.end()
+        else:
+            opened[tag].append(m.start())
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
@@ -116,10 +145,15 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(text.strip())
 
     at = 0
+    skipped = closed(page)
     for m in TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             take(page[at : m.start()])
-        at = m.end()
+        at = skipped.get(m.start(), m.end())
+        if at > m.end():
+            continue
         tag = (m[3] or "").lower()
         if not tag:
             if m[1] and m[1].lower() in BLOCK:
@@ -215,11 +249,21 @@ def decide_by_neighbours(blocks: list[Block]) -> None:
 
 def classify(page: str) -> list[Block]:
     blocks = blocks_of(page)
-    has_article = any(b.article for b in blocks)
+    has_article = any(b.article and not b.outside for b in blocks)
+    decide(blocks, has_article)
+    if has_article and any(not b.article and not b.outside for b in blocks):
+        inside = sum(len(b.text) for b in blocks if b.label == "good")
+        plain = [replace(b, article=0) for b in blocks]
+        decide(plain, False)
+        if sum(len(p.text) for p, b in zip(plain, blocks) if p.label == "good" and not b.article) > inside:
+            return plain
+    return blocks
+
+
+def decide(blocks: list[Block], has_article: bool) -> None:
     for b in blocks:
         b.label = decide_alone(b, has_article)
     decide_by_neighbours(blocks)
-    return blocks
 
 
 def extract(pages: DataFrame) -> DataFrame:

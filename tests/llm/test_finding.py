@@ -191,6 +191,36 @@ def test_article_drops_what_does_not_belong():
     assert main_text(page) == f"A & B Few words. {LOREM.strip()} more"
 
 
+@pytest.mark.parametrize(
+    "beside",
+    [
+        '<section id="comments"><article><p>So true.</p></article></section>',
+        f'<div><article class="comment"><p>{LOREM}</p></article><article class="comment"><p>{LOREM}</p></article></div>',
+        '<div class="sidebar"><article><h3>Teaser</h3><p>Few words.</p></article></div>',
+        '<div><article><h3><a href="/x">Teaser</a></h3><a href="/x">Few linked words.</a></article></div>',
+        f'<div><article><a href="/x">Teaser</a><p>{"Some teaser of another page that is here only for its length, as teasers are."}</p></article></div>',
+    ],
+)
+def test_articles_beside_the_text_do_not_lose_it(beside):
+    text = main_text(f"<body><div><h2>Heading</h2><p>{LOREM}</p><p>{LOREM}</p></div>{beside}</body>")
+    assert text.startswith(f"Heading {LOREM.strip()} {LOREM.strip()}")
+    assert text.count(LOREM.strip()) == 2
+
+
+@pytest.mark.parametrize(
+    "element",
+    [
+        '<svg viewBox="0 0 1 1"/>', "<math/>", "<object data=x>", "<select>", "<video src=v>", "<audio src=a>", "<canvas>", "<svg>", '<video src="v"/>',
+        "<svg><svg><text>no</text></svg><text>no</text></svg>", "<object><object>no</object>no</object>", "<select><option>no</option></select>",
+        "<video src=v><p>x</p></object>",
+    ],
+)
+@pytest.mark.parametrize("later", ["", "<svg><title>no</title></svg><video>no</video><object>no</object>"])
+def test_elements_that_close_themselves_or_never(element, later):
+    want = f"{LOREM.strip()} {'x ' if '<p>x' in element else ''}{LOREM.strip()}"
+    assert main_text(f"<article><p>{LOREM}</p>{element}<p>{LOREM}</p>{later}</article>") == want
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>", "</p></div>", "<a href='", "<!--", "<script>", "&#x110000; &bogus; &amp", "<" * 5_000, "<p>" * 20_000, "<a '" * 3_000])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
