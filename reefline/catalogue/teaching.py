@@ -243,7 +243,7 @@ def images_labelled_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def images_labelled_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = inputs.table(spark, sf_dir, "documents").selectExpr(_PATHS)
-    return training.label_by_folder(paths, [f"src{k}" for k in range(20)])
+    return training.label_by_folder(paths)
 
 
 # --- duplicate boxes ------------------------------------------------------

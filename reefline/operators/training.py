@@ -200,11 +200,10 @@ def diverse_sample(
     ).drop("_track", "_h", "_round")
 
 
-def label_by_folder(images: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Class from the parent folder; images of other folders drop out."""
-    return images.withColumn("class", basename(dirname(F.col("path")))).filter(
-        F.col("class").isin(*classes)
-    )
+def label_by_folder(images: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """Class from the parent folder. Given classes, images of other folders drop out."""
+    labelled = images.withColumn("class", basename(dirname(F.col("path"))))
+    return labelled.filter(F.col("path").isNotNull() if classes is None else F.col("class").isin(*classes))
 
 
 def label_by_name(images: DataFrame, classes: Sequence[str]) -> DataFrame:

@@ -24,6 +24,14 @@ def test_runs_without_sql(spark, name):
     assert REGISTRY[name].run(spark, FOLDER).count() > 0
 
 
+def test_folders_of_any_name_are_labelled(spark, tmp_path):
+    names = ["src3", "src20", "Reef West", "été", None]
+    rows = [(k, names[k % 5]) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = REGISTRY["images_labelled_by_folder"].run(spark, str(tmp_path)).collect()
+    assert sorted(r["class"] for r in got) == sorted(n for _, n in rows if n)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
