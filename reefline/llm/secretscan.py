@@ -3,8 +3,9 @@
 The value after a credential word is cut into words, dates, repeats, keyboard
 walks and sequences, and brute-force spans, so that the product of their guess
 counts is least (dynamic programming from left to right). Values that take at
-least ``2**HARD_BITS`` guesses become spans of kind ``guess``; values of a known
-word, a date or ``qwerty`` do not. Spans of the fixed patterns stay whatever
+least ``2**HARD_BITS`` guesses become spans of kind ``guess`` (``2**MIXED_BITS`` if
+they have letters and digits, which words do not); values of a known word, a date
+or ``qwerty`` do not. Spans of the fixed patterns stay whatever
 their cost.
 
 Cases: null text is empty; whole texts are read, of any length. Spans are in code
@@ -27,6 +28,7 @@ from reefline.llm.common import ship, slices, texts
 ship(__name__)
 
 HARD_BITS = 42.0
+MIXED_BITS = 36.0  # seven random small letters and digits cost 36.2
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # A wider credential context, for guess costs only.
 CONTEXT = re.compile(
-    r"""(?<![a-z0-9])(?:[a-z0-9]+[_.-])*(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer)"""
+    r"""(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer)"""
     r"""(?:[_.-][a-z0-9]+)*["']?\x20*(?:[:=]|=>)\x20*["']?([^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
@@ -133,7 +135,8 @@ def find(text: str) -> list[tuple[int, int, str, float | None]]:
         least = LEAST[KINDS[kind]]
         out += [(m.start(), m.end(), kind, None) for m in pattern.finditer(text) if m.end() - m.start() >= least]
     for m in CONTEXT.finditer(text):
-        if (bits := guess_bits(m[1])) >= HARD_BITS:
+        mixed = any(c.isalpha() for c in m[1]) and any(c.isdigit() for c in m[1])
+        if (bits := guess_bits(m[1])) >= (MIXED_BITS if mixed else HARD_BITS):
             out.append((m.start(1), m.end(1), 3, bits))
     return [(a, b, KINDS[k], bits) for a, b, k, bits in sorted(out, key=lambda s: (s[0], s[2], s[1]))]
 

@@ -297,6 +297,23 @@ def test_hard_values_become_spans_and_easy_ones_do_not():
     assert secretscan.find(text)[0][:3] == (0, len(text), "assign")
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('dbPassword: "p@55w!rdX9"', "p@55w!rdX9"),
+        ("PGPASSWORD=k@3x!9q2mz", "k@3x!9q2mz"),
+        ("userToken= a!b7#kQ2", "a!b7#kQ2"),
+        ("pwd=k3x9q2mz", "k3x9q2mz"),
+        ("pwd=kX3q9Zm", "kX3q9Zm"),
+        ("pwd=k3x9q2m", "k3x9q2m"),
+        ("my_db-passphrase.old: k3x9q2mz", "k3x9q2mz"),
+    ],
+)
+def test_key_words_inside_names_and_short_random_values(spark, text, value):
+    found = secretscan.scan(spark.createDataFrame([(1, text, None, None, None)], SCHEMA)).collect()[0].found
+    assert [text[s.start : s.end] for s in found if s.kind == "guess"] == [value]
+
+
 def test_secrets_of_awkward_rows(spark):
     for docs in (documents(spark), clashing(spark)):
         rows = secretscan.scan(docs).collect()
