@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import bpe, decontam, linededup, neardup, pagetext, permindex, quality, secretscan, substrings, toxicity
+from reefline.llm import (
+    bpe,
+    convtrie,
+    decontam,
+    linededup,
+    neardup,
+    pagetext,
+    permindex,
+    quality,
+    secretscan,
+    shardshuffle,
+    substrings,
+    tokenpairs,
+    toxicity,
+)
 from reefline.llm.common import remainder, table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +179,57 @@ SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c
 FROM c LEFT JOIN n USING (doc_id)
 """
 
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of conversations that share heads with the first of their twenty."""
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"), span=20, most=3)
+
+
+# crc32 by its table of 256 entries, which comes from the polynomial
+OP11_SQL = r"""
+WITH t AS (SELECT list(list_reduce(range(n, n + 9), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS crc
+  FROM range(256) r(n)),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))), lambda c, b: xor(c // 256, crc[CAST(xor(c % 256, b) AS INTEGER) + 1]))) % 4 AS h
+  FROM own, t),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.turns[:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM c),
+m AS (SELECT conv_id AS member, depth, turns[:depth] AS path, depth = len(turns) AS ends,
+  CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(turns[depth].t, '[^ 	-
+]+')) END AS words FROM p),
+n AS (SELECT path, depth, min(member) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+  sha256(coalesce(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+k AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN n u ON f.depth > 0 AND u.path = f.path[:f.depth - 1]
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a uniform shuffle over 40 shards whose numbers of rows differ by one at most."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (F.octet_length(text) + 16).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = shardshuffle.shuffle_into_shards(docs, 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of a byte-level and a piece tokenizer in every document."""
+    found = tokenpairs.aligned(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), vocabulary(PIECE_BPE))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_html_extraction": (op2_html_extraction, None),
@@ -175,4 +241,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_minhash_near_dedup": (op10_minhash_near_dedup, OP10_SQL),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_sharding": (op12_sharding, None),
+    "op13_token_alignment": (op13_token_alignment, None),
 }
