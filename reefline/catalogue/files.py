@@ -5,6 +5,7 @@ Intermediate files go to a new folder below the shared checkpoint folder.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
-from reefline.catalogue.suggestions import _VOTES, WINDOW_MS
+from reefline.catalogue.suggestions import _LATER, _LATER_SPECIES, _VOTES, WINDOW_MS, votes_sql
 from reefline.operators import maxn as m
 from reefline.operators import tracks as t
 from reefline.operators import review
@@ -139,6 +140,65 @@ def incremental_suggestion_history(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+# Three exports: some videos; the rest, with verdicts on the first; verdicts that come late.
+_OTHERS = "video_no % 3 = 2"
+_LATE = "CASE (track_id * 3 + video_no) % 5 WHEN 0 THEN ' True' WHEN 1 THEN 'false' ELSE '' END"
+_REVIEW = "collection, bruv_station, video_id, track_id, time_ms, confidence, {} AS true_detection, {} AS species"
+_EXPORTS = [
+    (f"NOT {_OTHERS}", _REVIEW.format("true_detection", "species")),
+    (
+        "true",
+        _REVIEW.format(
+            f"CASE WHEN {_OTHERS} THEN true_detection ELSE {_LATER} END", f"CASE WHEN {_OTHERS} THEN species ELSE {_LATER_SPECIES} END"
+        ),
+    ),
+    ("track_id % 4 = 3", _REVIEW.format(_LATE, "'Carcharhinus perezi'")),
+]
+_KEY_SQL = ", ".join(TRACK_KEY)
+
+
+def _each(text: str, joint: str) -> str:
+    return joint.join(text.replace("#", str(k)) for k in range(len(_EXPORTS)))
+
+
+@query(
+    "suggestion_history_of_three_batches",
+    "WITH "
+    + ", ".join(f"b{k} AS (SELECT {what} FROM validation WHERE {which})" for k, (which, what) in enumerate(_EXPORTS))
+    + ", "
+    + ", ".join(votes_sql(f"b{k}", str(k)) for k in range(len(_EXPORTS)))
+    + ", s AS ("
+    + _each(f"SELECT # AS batch, {_KEY_SQL}, suggested_species, suggestion_confidence FROM pred# WHERE status = 'suggested'", " UNION ALL ")
+    + f"""), f AS (SELECT {_KEY_SQL}, arg_min(suggested_species, batch) AS suggested_species,
+  arg_min(suggestion_confidence, batch) AS suggestion_confidence, min(batch) AS since FROM s GROUP BY ALL),
+e AS ("""
+    + _each(f"SELECT # AS batch, {_KEY_SQL}, td, trim(species) AS sp FROM t# WHERE td = 'false' OR (td = 'true' AND trim(species) <> '')", " UNION ALL ")
+    + f"""), l AS (SELECT {_KEY_SQL}, arg_max(td, batch) AS td, arg_max(sp, batch) AS sp
+  FROM e JOIN f USING ({_KEY_SQL}) WHERE batch >= since GROUP BY ALL)
+SELECT {_KEY_SQL}, suggested_species, suggestion_confidence,
+  CASE WHEN td IS NULL THEN 'pending' WHEN td = 'false' THEN 'incorrect_fp' WHEN lower(sp) = lower(suggested_species) THEN 'correct' ELSE 'incorrect' END AS outcome,
+  CASE WHEN td = 'true' THEN sp END AS validated_species, td = 'true' AS validated_as_true
+FROM f LEFT JOIN l USING ({_KEY_SQL})""",
+)
+def suggestion_history_of_three_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exports arrive one after another; the second lists tracks twice, the third settles tracks late."""
+    folder = _folder(spark)
+    table = inputs.validation(spark, sf_dir)
+    for k, (which, what) in enumerate(_EXPORTS):
+        batch = table.filter(which).selectExpr(*_columns(what))
+        if k == 1:  # an older export of the same tracks lies beside it
+            batch = batch.unionByName(table.filter("track_id % 4 = 3 AND video_no % 3 = 0").selectExpr(*_columns(_EXPORTS[0][1])))
+        tables.append_table(batch, f"{folder}/reviews")
+        stream = incremental.new_files(spark, f"{folder}/reviews", batch.schema)
+        incremental.update_history_state(stream, f"{folder}/state", f"{folder}/progress", WINDOW_MS)
+    return incremental.read_history_state(spark, f"{folder}/state")
+
+
+def _columns(what: str) -> list[str]:
+    """The parts of a select list, cut at the commas outside brackets."""
+    return re.split(r", (?![^()]*\))", what)
+
+
 @query(
     "consolidated_track_ids",
     """WITH k AS (SELECT DISTINCT video_path, track_id FROM detections)

@@ -15,29 +15,32 @@ from reefline.session import reliable_checkpoint
 
 WINDOW_MS = 5000
 
-_VOTES = f"""
-WITH t AS (SELECT *, lower(trim(true_detection)) AS td FROM validation),
-p AS (SELECT a.collection, a.bruv_station, a.video_id, a.track_id, a.confidence, b.species,
+def votes_sql(source: str = "validation", k: str = "") -> str:
+    """The votes and predictions (``pred``) of a review table, in parts whose names end in ``k``."""
+    return f"""t{k} AS (SELECT *, lower(trim(true_detection)) AS td FROM {source}),
+p{k} AS (SELECT a.collection, a.bruv_station, a.video_id, a.track_id, a.confidence, b.species,
   (1e0 - abs(a.time_ms - b.time_ms) / {WINDOW_MS}e0) * b.confidence AS w
-  FROM t a JOIN t b ON a.collection = b.collection AND a.bruv_station = b.bruv_station AND a.video_id = b.video_id
+  FROM t{k} a JOIN t{k} b ON a.collection = b.collection AND a.bruv_station = b.bruv_station AND a.video_id = b.video_id
     AND a.track_id <> b.track_id AND abs(a.time_ms - b.time_ms) <= {WINDOW_MS}
   WHERE a.td = '' AND b.td = 'true' AND trim(b.species) <> ''),
-v AS (SELECT collection, bruv_station, video_id, track_id, species, count(*) AS n, round(sum(w), 9) AS weight
-  FROM p GROUP BY ALL),
-q AS (SELECT *, row_number() OVER k AS rn, sum(weight) OVER (PARTITION BY collection, bruv_station, video_id, track_id) AS total,
+v{k} AS (SELECT collection, bruv_station, video_id, track_id, species, count(*) AS n, round(sum(w), 9) AS weight
+  FROM p{k} GROUP BY ALL),
+q{k} AS (SELECT *, row_number() OVER k AS rn, sum(weight) OVER (PARTITION BY collection, bruv_station, video_id, track_id) AS total,
   CAST(sum(n) OVER (PARTITION BY collection, bruv_station, video_id, track_id) AS BIGINT) AS nearby
-  FROM v WINDOW k AS (PARTITION BY collection, bruv_station, video_id, track_id ORDER BY weight DESC, species)),
-a AS (SELECT collection, bruv_station, video_id, track_id,
+  FROM v{k} WINDOW k AS (PARTITION BY collection, bruv_station, video_id, track_id ORDER BY weight DESC, species)),
+a{k} AS (SELECT collection, bruv_station, video_id, track_id,
   max(species) FILTER (rn = 1) AS suggested_species,
   max(round(coalesce(weight / nullif(total, 0), 0), 3)) FILTER (rn = 1) AS species_proportion, max(nearby) AS nearby,
   string_agg(species || '=' || printf('%.3f', round(coalesce(weight / nullif(total, 0), 0), 3)), ';' ORDER BY rn) FILTER (rn <= 3) AS alternatives
-  FROM q GROUP BY ALL),
-pred AS (SELECT t.collection, t.bruv_station, t.video_id, t.track_id,
+  FROM q{k} GROUP BY ALL),
+pred{k} AS (SELECT t.collection, t.bruv_station, t.video_id, t.track_id,
   CASE WHEN td <> '' THEN 'validated' WHEN suggested_species IS NULL THEN 'unvalidated' ELSE 'suggested' END AS status,
   suggested_species, CASE WHEN suggested_species IS NULL THEN 0e0 ELSE round(confidence, 3) END AS suggestion_confidence,
   species_proportion, alternatives, td, trim(species) AS species, nearby, confidence
-  FROM t LEFT JOIN a USING (collection, bruv_station, video_id, track_id))
-"""
+  FROM t{k} t LEFT JOIN a{k} USING (collection, bruv_station, video_id, track_id))"""
+
+
+_VOTES = f"\nWITH {votes_sql()}\n"
 
 
 @query("species_votes", _VOTES + "SELECT collection, bruv_station, video_id, track_id, species, n, round(weight, 6) AS weight FROM v")

@@ -27,10 +27,15 @@ def one_per_track(validation: DataFrame) -> DataFrame:
     )
 
 
+def first_suggestions(predicted: DataFrame) -> DataFrame:
+    """One suggestion per track: the most confident of the tracks that share its id."""
+    return top_rows(suggested(predicted), TRACK_KEY, [F.col("suggestion_confidence").desc_nulls_last(), F.col("suggested_species")])
+
+
 def record_new(history: DataFrame, predicted: DataFrame) -> DataFrame:
     """Add suggestions for tracks that never had one; the first suggestion stays."""
     fresh = (
-        top_rows(suggested(predicted), TRACK_KEY, [F.col("suggestion_confidence").desc_nulls_last(), F.col("suggested_species")])
+        first_suggestions(predicted)
         .join(history.select(*TRACK_KEY), TRACK_KEY, "left_anti")
         .select(
             *TRACK_KEY,

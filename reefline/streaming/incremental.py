@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from reefline import schemas
-from reefline.operators.history import one_per_track, update_history
-from reefline.operators.ranking import top_rows
+from reefline.functions.names import blank
+from reefline.operators.history import first_suggestions, one_per_track
 from reefline.operators.suggest import predictions
 from reefline.schemas import TRACK_KEY
 from reefline.sources.tables import CSV
 
+# State that lives in files beside the executors; a batch saves only what it changed.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+# What a batch says of a track: a suggestion, a verdict, or both.
+EVENTS = T.StructType(
+    [
+        *schemas.HISTORY.fields[:6],
+        T.StructField("suggested_low", T.StringType()),
+        T.StructField("verdict", T.StringType()),
+        T.StructField("species", T.StringType()),
+        T.StructField("species_low", T.StringType()),
+    ]
+)
+# What is kept of a track: its history row, the suggestion in lower case, and the batch of its last verdict.
+KEPT = T.StructType(
+    [*schemas.HISTORY.fields[4:], T.StructField("suggested_low", T.StringType()), T.StructField("settled_in", T.LongType())]
+)
+
 
 def new_files(
     spark: SparkSession,
@@ -66,6 +89,69 @@ def process_new_results(
     process_available(stream, checkpoint, write)
 
 
+def track_events(batch: DataFrame, window_ms: int) -> DataFrame:
+    """One row per track of a batch that suggests a species for it or settles it."""
+    table = one_per_track(batch)
+    verdict = F.lower(F.trim("true_detection"))
+    verdicts = table.select(
+        *TRACK_KEY,
+        verdict.alias("verdict"),
+        F.when((verdict == "true") & ~blank(F.col("species")), F.trim("species")).alias("species"),
+    ).filter((F.col("verdict") == "false") | F.col("species").isNotNull())
+    made = first_suggestions(predictions(table, window_ms)).select(*TRACK_KEY, "suggested_species", "suggestion_confidence")
+    return (
+        made.unionByName(verdicts, allowMissingColumns=True)
+        .groupBy(*TRACK_KEY)
+        .agg(*[F.max(c).alias(c) for c in ("suggested_species", "suggestion_confidence", "verdict", "species")])
+        .withColumns({"suggested_low": F.lower("suggested_species"), "species_low": F.lower("species")})
+        .select(*EVENTS.names)
+    )
+
+
+def keep_history(events: DataFrame) -> DataFrame:
+    """The changed history rows of a stream of events (with their ``batch``); the state holds one row per track.
+
+    The first suggestion stays; a later verdict replaces an earlier one, and
+    events of an earlier batch that come again change nothing.
+    """
+    names = schemas.HISTORY.names
+
+    def fold(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        kept = list(state.get) if state.exists else None
+        before = kept and list(kept)
+        rows = [r for f in frames for r in f.itertuples(index=False)]
+        for r in sorted(rows, key=lambda r: r.batch):
+            if kept is None and isinstance(r.suggested_species, str):
+                kept = [r.suggested_species, r.suggestion_confidence, "pending", None, None, r.suggested_low, None]
+            if kept is None or not isinstance(r.verdict, str) or (kept[6] is not None and r.batch < kept[6]):
+                continue
+            if r.verdict == "false":
+                kept[2:5] = ["incorrect_fp", None, False]
+            else:
+                kept[2:5] = ["correct" if r.species_low == kept[5] else "incorrect", r.species, True]
+            kept[6] = int(r.batch)
+        if kept is not None and kept != before:
+            state.update(tuple(kept))
+            yield pd.DataFrame([[*key, *kept[:5]]], columns=names)
+
+    return events.groupBy(*TRACK_KEY).applyInPandasWithState(fold, schemas.HISTORY, KEPT, "update", "NoTimeout")
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Set the kind of state store for what starts inside."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def update_history_state(
     stream: DataFrame,
     state: str,
@@ -76,36 +162,46 @@ def update_history_state(
     """Fold each micro-batch into the stored history.
 
     A batch may hold several validation exports; a track they share counts once.
-    Batch n writes the rows that it adds or changes into the folder ``batch=n`` and
-    looks only at the tracks it names, so its work follows the batch, not the
-    history. A batch that is run again replaces its own rows and reads only
-    earlier ones.
+    Batch n becomes events (``events/batch=n``: a batch that is run again
+    replaces its own), and a second stream folds these into keyed state, one row
+    per track. The state store looks up and saves only the tracks that a batch
+    names, so the work of a batch depends neither on the number of earlier
+    batches nor on the length of the history.
     """
-    columns = [f.name for f in schemas.HISTORY.fields]
+    spark = stream.sparkSession
+
+    def say(batch: DataFrame, batch_id: int) -> None:
+        track_events(validation(batch), window_ms).write.mode("overwrite").parquet(f"{state}/events/batch={batch_id}")
+
+    process_available(stream, checkpoint, say)
+    # empty batches alone leave no folder to list
+    spark.createDataFrame([], EVENTS).write.mode("append").parquet(f"{state}/events/batch=-1")
+    events = T.StructType([*EVENTS.fields, T.StructField("batch", T.LongType())])
+    told = spark.readStream.schema(events).parquet(f"{state}/events")
+    with _state_store(spark):
+        query = (
+            keep_history(told)
+            .writeStream.outputMode("update")
+            .foreachBatch(lambda changed, n: changed.write.mode("overwrite").parquet(f"{state}/changes/batch={n}"))
+            .option("checkpointLocation", f"{state}/keyed")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table = one_per_track(validation(batch))
-        if batch_id:
-            before = _latest(_stored(spark, state).filter(F.col("batch") < batch_id))
-        else:
-            before = spark.createDataFrame([], schemas.HISTORY)
-        named = before.join(table.select(*TRACK_KEY), TRACK_KEY, "left_semi").select(*columns)
-        after = update_history(named, predictions(table, window_ms), table).select(*columns)
-        after.exceptAll(named).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
-    process_available(stream, checkpoint, fold)
+def read_history_state(spark: SparkSession, state: str) -> DataFrame:
+    """The history: what the keyed state holds of every track."""
+    with _state_store(spark):
+        kept = spark.read.format("statestore").load(f"{state}/keyed")
+    names = schemas.HISTORY.names
+    return kept.select(
+        *[F.col(f"key.{c}").alias(c) for c in TRACK_KEY],
+        *[F.col(f"value.groupState.{c}").alias(c) for c in names[len(TRACK_KEY) :]],
+    )
 
 
-def _stored(spark: SparkSession, state: str) -> DataFrame:
+def read_history_changes(spark: SparkSession, state: str) -> DataFrame:
+    """The rows that each run added or changed, with the run's number (``batch``)."""
     kept = T.StructType([*schemas.HISTORY.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(kept).parquet(state)
-
-
-def _latest(stored: DataFrame) -> DataFrame:
-    return top_rows(stored, TRACK_KEY, [F.col("batch").desc()]).drop("batch")
-
-
-def read_history_state(spark: SparkSession, state: str) -> DataFrame:
-    """The history: the latest row of every track."""
-    return _latest(_stored(spark, state))
+    return spark.read.schema(kept).parquet(f"{state}/changes")

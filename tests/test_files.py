@@ -177,11 +177,34 @@ def test_history_grows_over_runs(spark, folder, rows):
     assert later[2] == ("x", "incorrect")
     assert set(later) == {2, 3}
     # only what a batch adds or changes is written
-    assert {(r.batch, r.track_id) for r in spark.read.parquet(state).collect()} == {(0, 2), (1, 2), (1, 3)}
+    assert {(r.batch, r.track_id) for r in incremental.read_history_changes(spark, state).collect()} == {(0, 2), (1, 2), (1, 3)}
     # two exports in one batch: the shared track counts once
     last = run(("c", "s", "v", 3, 20, 0.5, "true", "x"), ("c", "s", "v", 3, 20, 0.5, "", ""))
     assert last[3][1] == "correct" and len(last) == 2
     assert incremental.read_history_state(spark, state).count() == 2
+    # a verdict that comes late; an open row or a run without news changes nothing
+    assert run(("c", "s", "v", 2, 10, 0.5, "FALSE ", ""))[2] == ("x", "incorrect_fp")
+    assert run(("c", "s", "v", 2, 10, 0.5, "", ""))[2] == ("x", "incorrect_fp")
+    assert {(r.batch, r.track_id) for r in incremental.read_history_changes(spark, state).collect()} == {(0, 2), (1, 2), (1, 3), (2, 3), (3, 2)}
+
+
+def test_a_batch_reads_and_saves_only_the_tracks_it_names(spark, folder, rows):
+    source, state, progress = (str(folder / n) for n in ("in", "state", "cp"))
+    schema = "collection string, bruv_station string, video_id string, track_id bigint, time_ms bigint, confidence double, true_detection string, species string"
+
+    def run(*data):
+        rows(schema, *data).coalesce(1).write.mode("append").parquet(source)
+        incremental.update_history_state(incremental.new_files(spark, source, rows(schema, data[0]).schema), state, progress)
+
+    run(("c", "s", "v", 0, 0, 0.9, "true", "x"), *[("c", "s", "v", k, 10, 0.5, "", "") for k in range(1, 400)])
+    for n in (5, 6, 7):
+        run(("c", "s", "v", n, 10, 0.5, "true", "x"))
+    said = spark.read.parquet(f"{state}/events").groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in said} == {0: 400, 1: 1, 2: 1, 3: 1}
+    changed = incremental.read_history_changes(spark, state).groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in changed} == {0: 399, 1: 1, 2: 1, 3: 1}
+    history = incremental.read_history_state(spark, state)
+    assert history.groupBy("outcome").count().collect() and history.filter("outcome = 'correct'").count() == 3
 
 
 def write_text(path, text):
