@@ -304,3 +304,34 @@ FROM t LEFT JOIN m ON m.species = t.species AND m.taxon_group = t.taxon_group"""
 def matched_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = inputs.table(spark, sf_dir, "part").selectExpr(*_TYPED)
     return lookup.match_species(typed, SPECIES_LISTS)
+
+
+# A list as long as the customers, of names of one length, and what was typed for them.
+_LISTED = ["c_custkey AS position", "c_mktsegment AS `group`", "concat('S ', substring(md5(c_name), 1, 11)) AS name"]
+_ENTERED = [
+    "o_orderkey",
+    "c_mktsegment",
+    "CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' ELSE c_mktsegment END AS taxon_group",
+    "CASE o_orderkey % 6 WHEN 0 THEN name WHEN 1 THEN concat(upper(name), ' ') WHEN 2 THEN concat(substring(name, 1, 4), substring(name, 6))"
+    " WHEN 3 THEN concat('x', substring(name, 1, 6), 'y', substring(name, 8)) WHEN 4 THEN concat(substring(name, 2, 9), 'zz') ELSE substring(name, 5) END AS species",
+]
+
+
+@query(
+    "species_of_a_long_list",
+    f"""WITH l AS (SELECT {', '.join(_LISTED).replace('`', '"')} FROM customer),
+t AS (SELECT {', '.join(c for c in _ENTERED if c != 'c_mktsegment')} FROM (SELECT o_orderkey, "group" AS c_mktsegment, name FROM orders JOIN l ON position = o_custkey)),
+d AS (SELECT DISTINCT species, taxon_group FROM t),
+w AS (SELECT DISTINCT lower(trim(species)) AS low FROM d),
+c AS (SELECT low, name, position, "group", levenshtein(low, lower(name)) AS dist FROM w JOIN l ON abs(length(low) - length(name)) <= 3 AND levenshtein(low, lower(name)) <= 3),
+m AS (SELECT species, taxon_group, name, dist, "group" = taxon_group AS own FROM d JOIN c ON c.low = lower(trim(species))
+  QUALIFY row_number() OVER (PARTITION BY species, taxon_group ORDER BY "group" = taxon_group DESC, dist, position) = 1)
+SELECT o_orderkey, t.taxon_group, t.species, name AS match, dist AS distance, CASE WHEN own THEN 'group' WHEN name IS NOT NULL THEN 'all' END AS scope
+FROM t LEFT JOIN m ON m.species = t.species AND m.taxon_group = t.taxon_group""",
+)
+def species_of_a_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names against a list that is a table."""
+    listed = inputs.table(spark, sf_dir, "customer").selectExpr(*_LISTED)
+    orders = inputs.table(spark, sf_dir, "orders")
+    rows = orders.join(listed, F.col("o_custkey") == F.col("position")).selectExpr("o_orderkey", "`group` AS c_mktsegment", "name")
+    return lookup.match_species(rows.selectExpr(*_ENTERED).drop("c_mktsegment"), listed)

@@ -151,35 +151,79 @@ def _touches(cell: Column, at: Column, size: float, band: float) -> Column:
     return (low + size > at - band - slack) & (low < at + band + slack)
 
 
+# Names up to this length are found by what is left when letters are taken out, longer ones by their length.
+SHORT_NAME = 40
+
+
+def deletion_forms(names: DataFrame, text: str, most: int) -> DataFrame:
+    """``_form`` (a hash) of every way to take up to ``most`` letters out of ``text``, beside the other columns.
+
+    Letters go from left to right, so each choice of places is made once: a text
+    of n letters has at most n choose ``most`` forms with that many letters out.
+    """
+    start = F.array(F.struct(F.col(text).alias("left"), F.lit(1).alias("at")))
+
+    def cut(form: Column) -> Column:
+        left, at = form["left"], form["at"]
+        places = F.when(at <= F.length(left), F.sequence(at, F.length(left))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.concat(F.left(left, i - 1), F.substr(left, i + 1)).alias("left"), i.alias("at")))
+
+    levels = names.withColumn("_level0", start)
+    for k in range(most):
+        levels = levels.withColumn(f"_level{k + 1}", F.flatten(F.transform(f"_level{k}", cut)))
+    forms = F.array_distinct(F.transform(F.concat(*[f"_level{k}" for k in range(most + 1)]), lambda f: F.xxhash64(f["left"])))
+    return levels.select(*names.columns, F.explode(forms).alias("_form"))
+
+
+def near_names(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """Pairs of ``_low`` texts and listed names (``_name_low`` and more) at most ``most`` edits apart, with ``_distance``.
+
+    Two texts at most k edits apart share a form with at most k letters out of
+    each, so texts and names meet by the hashes of such forms. Only names of
+    about the typed letters meet, whatever the number of names of that length.
+    """
+    close = F.levenshtein("_low", "_name_low", most)
+    size = F.length("_name_low")
+    listed = names.select("_name_low").distinct()
+    forms = deletion_forms(listed.filter(size <= SHORT_NAME), "_name_low", most)
+    probes = deletion_forms(words.filter(F.length("_low") <= SHORT_NAME + most), "_low", most)
+    short = probes.join(forms, "_form").select("_low", "_name_low").distinct()
+    long = (
+        words.withColumn("_size", F.explode(F.sequence(F.length("_low") - most, F.length("_low") + most)))
+        .join(listed.filter(size > SHORT_NAME).withColumn("_size", size), "_size")
+        .select("_low", "_name_low")
+    )
+    pairs = short.unionByName(long).withColumn("_distance", close).filter(F.col("_distance") >= 0)
+    return pairs.join(names, "_name_low")
+
+
 def match_species(
     inputs: DataFrame,
-    lists: dict[str, Sequence[str]],
+    lists: DataFrame | dict[str, Sequence[str]],
     text: str = "species",
     group: str = "taxon_group",
     most: int = 3,
 ) -> DataFrame:
     """Nearest listed species for typed names: in the track's own group, else in any.
 
-    Adds ``match``, ``distance`` and ``scope`` ('group', 'all' or null). The first
-    listed name wins a tie. Each distinct text is compared once. The lists are a
-    table of any length: texts and names meet by their length, since names of more
-    than ``most`` letters more or less are further away than that.
+    Adds ``match``, ``distance`` and ``scope`` ('group', 'all' or null). ``lists``
+    is a table ``group, name, position`` of any length, or a dict of names by
+    group; the lowest position wins a tie. Each distinct text is compared once,
+    and only with names that share most of its letters (see ``near_names``).
     """
-    spark = inputs.sparkSession
-    listed = [(g, n) for g, names in lists.items() for n in names]
-    names = spark.createDataFrame([(k, g, n) for k, (g, n) in enumerate(listed)], "_position int, _group string, _name string")
+    if isinstance(lists, dict):
+        listed = [(g, n) for g, names in lists.items() for n in names]
+        rows = [(g, n, k) for k, (g, n) in enumerate(listed)]
+        lists = inputs.sparkSession.createDataFrame(rows, "group string, name string, position bigint")
+    names = lists.filter(F.col("name").isNotNull()).select(
+        F.col("position").alias("_position"), F.col("group").alias("_group"), F.col("name").alias("_name"), F.lower("name").alias("_name_low")
+    )
     low = F.lower(F.trim(F.col(text)))
     distinct = inputs.select(text, group).distinct().filter(~blank(F.col(text)))
-    words = distinct.select(low.alias("_low")).distinct()
-    near = (
-        words.withColumn("_size", F.explode(F.sequence(F.length("_low") - most, F.length("_low") + most)))
-        .join(names.withColumn("_size", F.length("_name")), "_size")
-        .withColumn("_distance", F.levenshtein("_low", F.lower("_name"), most))
-        .filter(F.col("_distance") >= 0)
-    )
+    near = near_names(distinct.select(low.alias("_low")).distinct(), names, most)
     rank = F.struct(F.col("_distance").alias("distance"), F.col("_position").alias("position"), F.col("_name").alias("name"))
     by_group = near.groupBy("_low", "_group").agg(F.min(rank).alias("_own"))
-    by_text = near.groupBy("_low").agg(F.min(rank).alias("_all"))
+    by_text = by_group.groupBy("_low").agg(F.min("_own").alias("_all"))
     hit = F.coalesce("_own", "_all")
     answers = (
         distinct.withColumn("_low", low)

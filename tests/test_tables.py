@@ -324,6 +324,47 @@ def test_a_species_list_of_any_length(rows):
     assert got == {("species number 5999", 1, "group"), ("species number 17", 0, "all"), (None, None, None)}
 
 
+def test_species_of_short_long_and_crowded_names(rows):
+    rng = random.Random(9)
+
+    def edited(name):
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(name) + 1)
+            name = rng.choice([name[:k] + name[k + 1 :], name[:k] + "q" + name[k:], name[:k] + "z" + name[k + 1 :]])
+        return name
+
+    names = ["".join(rng.choices("ab", k=8)) for _ in range(40)] + ["ab", "c", "ba"] + ["".join(rng.choices("abc", k=n)) for n in (39, 40, 41, 42, 60)]
+    listed = [(rng.choice(["shark", "ray"]), n, k) for k, n in enumerate(names)]
+    typed = [(edited(rng.choice(names)), rng.choice(["shark", "ray", None])) for _ in range(120)] + [("x" * 3000, "ray")]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def want(text, group):
+        near = [(g == group, distance(text, n), k, n) for g, n, k in listed if abs(len(n) - len(text)) <= 3]
+        near = sorted((not own, d, k, n) for own, d, k, n in near if d <= 3)
+        return (near[0][3], near[0][1], "all" if near[0][0] else "group") if near and text else (None, None, None)
+
+    got = lookup.match_species(rows("species string, taxon_group string", *typed), rows("group string, name string, position int", *listed))
+    assert {(r.species, r.taxon_group): (r.match, r.distance, r.scope) for r in got.collect()} == {t: want(*t) for t in typed}
+
+
+def test_the_work_of_a_lookup_does_not_grow_with_names_of_one_length(spark, rows):
+    listed = spark.range(3000).selectExpr("'shark' as `group`", "substr(md5(cast(id as string)), 1, 12) as name", "id as position")
+    typed = listed.limit(20).selectExpr("concat(name, 'x') as species", "`group` as taxon_group")
+    words = typed.selectExpr("species as _low")
+    names = listed.selectExpr("name as _name_low")
+    for most in (2000, 3000):
+        forms = lookup.deletion_forms(names.limit(most), "_name_low", 3).join(lookup.deletion_forms(words, "_low", 3), "_form")
+        assert forms.select("_low", "_name_low").distinct().count() == 20
+    assert {(r.distance, r.scope) for r in lookup.match_species(typed, listed).collect()} == {(1, "group")}
+
+
 def test_a_track_with_two_verdicts_has_one_history_row(rows):
     key = "collection string, bruv_station string, video_id string, track_id bigint"
     predicted = rows(f"{key}, suggested_species string, suggestion_confidence double, status string", *[("c", "s", "v", 1, "Tiger", 0.9, "suggested")] * 2)
