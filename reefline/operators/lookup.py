@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,10 @@ def scatter(lat: Column, lon: Column) -> Column:
     return F.pmod(mixed, F.lit(1_000_003))
 
 
-# Grid cells start at half a band and are halved this many times where the edge of a point's box cuts them.
-HALVINGS = 6
+# A cell that holds more rows of a source is crowded: it is quartered, at most this many times.
+LEAF_ROWS = 128
+QUARTERINGS = 8
+HIT = ["lat", "lon", "source"]
 
 
 def nearby_best(
@@ -37,21 +40,24 @@ def nearby_best(
     timestamp) and the payload columns. Equal confidences are ordered by
     :func:`scatter`, then by (lat, lon).
 
-    Every cell of a halved grid keeps its best row. A cell that lies wholly in a
-    point's box answers with that row; a cell that the box's edge cuts is opened
-    into its quarters, and only if its best row beats what the point has already.
-    Rows themselves are looked at in the smallest cells alone. So a point's work
-    depends on the number of cells, not on how many rows crowd into them.
+    Rows lie in cells as wide as the band. A point looks at the rows of the cells
+    around it where these hold few. Crowded cells are quartered as often as the
+    fullest of them needs, and every such cell keeps its best row, so a point's
+    work there depends on the number of cells, not on how many rows crowd into
+    them (see ``_best_of_crowded``). One number, the fullest cell's rows, is
+    fetched to plan this.
     """
-    unit = band / 2
     fresh = candidates.filter(F.col("timestamp") > now - days * DAY)
+    cell = ["cx", "cy", "source"]
+    wide = [_cell("lat", band, 0).alias("cx"), _cell("lon", band, 0).alias("cy")]
+    full = fresh.groupBy(*wide, "source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_ROWS)
+    fullest = full.agg(F.max("n")).first()[0]
     rows = top_rows(
         fresh,
         ["lat", "lon", "source"],
         [F.col("confidence").desc(), F.col("timestamp").desc()],
     ).select(
-        _cell("lat", unit, HALVINGS).alias("cx"),
-        _cell("lon", unit, HALVINGS).alias("cy"),
+        *wide,
         "source",
         F.struct(
             F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
@@ -61,40 +67,77 @@ def nearby_best(
             *[c for c in payload if c != "confidence"],
         ).alias("hit"),
     )
-    cell = ["cx", "cy", "source"]
-    tops = [rows.groupBy(*cell).agg(F.max("hit").alias("hit"))]
-    for _ in range(HALVINGS):
-        halved = [F.floor(F.col(c) / 2).alias(c) for c in ("cx", "cy")]
-        tops.insert(0, tops[0].select(*halved, "source", "hit").groupBy(*cell).agg(F.max("hit").alias("hit")))
+    places = points.select("lat", "lon").distinct()
+    if fullest is None:
+        best = _best_of_sparse(places, rows, band)
+    else:
+        depth = min(QUARTERINGS, math.ceil(math.log(fullest / LEAF_ROWS, 4)))
+        sparse, crowded = rows.join(full, cell, "left_anti"), rows.join(full, cell, "left_semi")
+        both = _best_of_sparse(places, sparse, band).unionByName(_best_of_crowded(places, crowded, band, depth))
+        best = both.groupBy(*HIT).agg(F.max("hit").alias("hit"))
+    return best.select(
+        "lat",
+        "lon",
+        "source",
+        (-F.col("hit.nlat")).alias("match_lat"),
+        (-F.col("hit.nlon")).alias("match_lon"),
+        F.col("hit.confidence").alias("confidence"),
+        *[F.col(f"hit.{c}").alias(c) for c in payload if c != "confidence"],
+    )
+
+
+def _probes(places: DataFrame, band: float) -> DataFrame:
+    """Places with each cell (``cx, cy``) that their box touches."""
 
     def span(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - band * 1.001) / unit), F.floor((F.col(c) + band * 1.001) / unit))
+        return F.sequence(F.floor((F.col(c) - band * 1.001) / band), F.floor((F.col(c) + band * 1.001) / band))
+
+    return places.withColumn("cx", F.explode(span("lat"))).withColumn("cy", F.explode(span("lon")))
+
+
+def _near(band: float) -> Column:
+    return (F.abs(-F.col("hit.nlat") - F.col("lat")) < band) & (F.abs(-F.col("hit.nlon") - F.col("lon")) < band)
 
-    spread = points.select("lat", "lon").distinct().withColumn("cx", F.explode(span("lat")))
-    frontier = (
-        spread.withColumn("cy", F.explode(span("lon")))
-        .join(tops[0], ["cx", "cy"])
-        .withColumn("have", F.lit(None).cast(rows.schema["hit"].dataType))
+
+def _best_of_sparse(places: DataFrame, rows: DataFrame, band: float) -> DataFrame:
+    """``lat, lon, source, hit``: each place looks at all rows of its cells."""
+    return _probes(places, band).join(rows, ["cx", "cy"]).filter(_near(band)).groupBy(*HIT).agg(F.max("hit").alias("hit"))
+
+
+def _best_of_crowded(places: DataFrame, rows: DataFrame, band: float, depth: int) -> DataFrame:
+    """``lat, lon, source, hit``: a cell that lies wholly in a point's box answers with its best row; one that
+    the box's edge cuts is opened into its quarters, and only if its best row beats what the point has already.
+    Rows themselves are looked at in the smallest cells alone."""
+    unit = band
+    rows = rows.select(
+        F.floor(-F.col("hit.nlat") / unit * 2**depth).alias("cx"), F.floor(-F.col("hit.nlon") / unit * 2**depth).alias("cy"), "source", "hit"
     )
-    point = ["lat", "lon", "source"]
-    for level in range(HALVINGS + 1):
+    cell = ["cx", "cy", "source"]
+    tops = [rows.groupBy(*cell).agg(F.max("hit").alias("hit"))]
+    for _ in range(depth):
+        halved = [F.floor(F.col(c) / 2).alias(c) for c in ("cx", "cy")]
+        tops.insert(0, tops[0].select(*halved, "source", "hit").groupBy(*cell).agg(F.max("hit").alias("hit")))
+    frontier = _probes(places, band).join(tops[0], ["cx", "cy"]).withColumn("have", F.lit(None).cast(rows.schema["hit"].dataType))
+    # a finished point stays as one row; its key is scattered, since no cell has it
+    nowhere = -F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) - 2**40
+    for level in range(depth + 1):
         size = unit / 2**level
         inside = _within("cx", "lat", size, band) & _within("cy", "lon", size, band)
         opened = F.struct("cx", "cy", F.col("hit").alias("top"))
         state = (
-            frontier.groupBy(*point)
+            frontier.groupBy(*HIT)
             .agg(
                 F.max(F.greatest("have", F.when(inside, F.col("hit")))).alias("have"),
                 # cells along the edge of one box: a bounded list
                 F.collect_list(F.when(F.col("hit").isNotNull() & ~inside, opened)).alias("cut"),
             )
             .select(
-                *point,
+                *HIT,
                 "have",
                 F.filter("cut", lambda c: F.col("have").isNull() | (c["top"] > F.col("have"))).alias("cut"),
             )
         )
-        if level == HALVINGS:
+        if level == depth:
             break
         child = unit / 2 ** (level + 1)
         quarters = F.flatten(
@@ -106,31 +149,18 @@ def nearby_best(
             )
         )
         touching = F.filter(quarters, lambda c: _touches(c["cx"], F.col("lat"), child, band) & _touches(c["cy"], F.col("lon"), child, band))
-        # a finished point stays as one row; its key is scattered, since no cell has it
-        nowhere = -F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) - 2**40
         frontier = (
             state.withColumn("open", F.explode_outer(touching))
-            .select(*point, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
+            .select(*HIT, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
             .join(tops[level + 1], cell, "left")
         )
-    near = (F.abs(-F.col("hit.nlat") - F.col("lat")) < band) & (F.abs(-F.col("hit.nlon") - F.col("lon")) < band)
-    nowhere = -F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_003)) - 2**40
     return (
         state.withColumn("open", F.explode_outer("cut"))
-        .select(*point, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
+        .select(*HIT, "have", F.coalesce("open.cx", nowhere).alias("cx"), F.coalesce("open.cy", nowhere).alias("cy"))
         .join(rows, cell, "left")
-        .groupBy(*point)
-        .agg(F.max(F.greatest("have", F.when(near, F.col("hit")))).alias("hit"))
+        .groupBy(*HIT)
+        .agg(F.max(F.greatest("have", F.when(_near(band), F.col("hit")))).alias("hit"))
         .filter(F.col("hit").isNotNull())
-        .select(
-            "lat",
-            "lon",
-            "source",
-            (-F.col("hit.nlat")).alias("match_lat"),
-            (-F.col("hit.nlon")).alias("match_lon"),
-            F.col("hit.confidence").alias("confidence"),
-            *[F.col(f"hit.{c}").alias(c) for c in payload if c != "confidence"],
-        )
     )
 
 

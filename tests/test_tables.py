@@ -278,7 +278,9 @@ def test_review_filters_and_orders(rows):
 
 
 @pytest.mark.parametrize("levels", [50, 1])
-def test_band_lookup_in_a_crowded_cell(rows, levels):
+@pytest.mark.parametrize("leaf", [128, 1, 20])
+def test_band_lookup_in_a_crowded_cell(rows, levels, leaf, monkeypatch):
+    monkeypatch.setattr(lookup, "LEAF_ROWS", leaf)
     rng = random.Random(5)
     cand = [(rng.random() * 0.03, rng.random() * 0.03, rng.choice(["a", "b"]), rng.randrange(levels) / 50, 1000 * 86400, float(i)) for i in range(600)]
     points = [(rng.random() * 0.05 - 0.01, rng.random() * 0.05 - 0.01) for _ in range(120)]
@@ -299,7 +301,8 @@ def test_band_lookup_in_a_crowded_cell(rows, levels):
     assert {(r.lat, r.lon, r.source): r.depth for r in got} == want
 
 
-def test_band_lookup_where_confidence_follows_the_place(rows):
+def test_band_lookup_where_confidence_follows_the_place(rows, monkeypatch):
+    monkeypatch.setattr(lookup, "LEAF_ROWS", 4)
     rng = random.Random(8)
     cand = [(rng.random() * 0.03, rng.random() * 0.03, "a", 0.0, 1000 * 86400, 0.0) for _ in range(500)]
     cand = [(lat, lon, s, lat + lon / 1000, t, lat) for lat, lon, s, _, t, _ in cand]
