@@ -45,18 +45,18 @@ _VOTES = f"\nWITH {votes_sql()}\n"
 
 @query("species_votes", _VOTES + "SELECT collection, bruv_station, video_id, track_id, species, n, round(weight, 6) AS weight FROM v")
 def species_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.species_votes(_table(spark, sf_dir), WINDOW_MS).select(
+    return s.species_votes(inputs.validation(spark, sf_dir), WINDOW_MS).select(
         *TRACK_KEY, "species", "n", F.bround("weight", 6).alias("weight")
     )
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validation table, derived once: the plans below read it several times."""
+    """The validation table, derived once: the plans of the history read it several times."""
     return reliable_checkpoint(inputs.validation(spark, sf_dir))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.predictions(_table(spark, sf_dir), WINDOW_MS)
+    return s.predictions(inputs.validation(spark, sf_dir), WINDOW_MS)
 
 
 @query(

@@ -3,16 +3,15 @@
 A reviewed track with a species votes for it with weight
 ``(1 - |dt| / window) * confidence`` on every unreviewed track of its video that
 is at most ``window`` away. Summing over pairs would be quadratic in a busy
-video, so the sums come from running totals: with ``y`` the vote's and ``x`` the
-target's offset in their window-long buckets, the weight is linear in ``y``, and
-
-* same bucket:     sum of c (1 - |x - y| / W), split at x,
-* bucket before:   sum over y >= x of c (y - x) / W,
-* bucket after:    sum over y <= x of c (x - y) / W.
-
-Each needs only the running count, sum of c and sum of c*y at x. Votes and
-targets are first reduced to distinct milliseconds, so a bucket holds at most
-``window_ms`` distinct offsets on each side however many tracks share them.
+video. But over time a vote is a tent: its weight is a broken line, whose slope
+changes by c/W, -2c/W and c/W at t - W, t and t + W. So the weight of all votes
+at time x is x * (sum of slope changes so far) - (sum of change * its time).
+
+Times are cut into buckets as long as the window. A tent reaches into three of
+them; in each it is its value and slope at the bucket's start plus the changes
+inside, so running sums never leave a bucket. Votes and tracks of a bucket meet
+in one shuffle by (video, bucket): what else is needed are windows and groups
+within it. A track's own votes are the same sums over the votes of its id.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefline.functions.names import blank
-from reefline.operators.ranking import top_rows
 from reefline.schemas import VIDEO_KEY
 
 # Votes are compared at this many digits, so the order of summation cannot decide a tie.
@@ -46,71 +44,73 @@ def unreviewed(validation: DataFrame) -> DataFrame:
     return validation.filter(blank(F.col("true_detection")))
 
 
-def _running(video: Sequence[str], votes: DataFrame, targets: DataFrame, window_ms: int) -> DataFrame:
-    """Vote count and weight per (video, time, species) for every target time."""
-    video = list(video)
+def _slope_changes(votes: DataFrame, video: list[str], window_ms: int) -> DataFrame:
+    """What each vote adds in each bucket it reaches: at offset ``o`` a value ``v``, a change of slope ``s``
+    and a change of the number of votes ``n`` (a vote still counts at the very end of its window)."""
     w = float(window_ms)
-    bucket = F.floor(F.col("time_ms") / window_ms)
-    offset = F.col("time_ms") - F.floor(F.col("time_ms") / window_ms) * window_ms
-    per_ms = (
-        votes.groupBy(*video, "species", "time_ms")
-        .agg(F.count(F.lit(1)).alias("k"), F.sum("confidence").alias("c"))
-        .select(*video, "species", bucket.alias("b"), offset.alias("y"), "k", "c")
+    c, k, y = F.col("c"), F.col("k"), F.col("y")
+    none, zero = F.lit(0.0), F.lit(0).cast("bigint")
+    rise, start = c / w, F.lit(0).cast("bigint")
+
+    def change(side: int, o: Column, v: Column, s: Column, n: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), o.alias("o"), v.alias("v"), s.alias("s"), n.alias("n"))
+
+    changes = F.array(
+        change(-1, y, none, rise, k),
+        change(0, start, c * (1 - y / w), rise, k),
+        change(0, y, none, -2 * rise, zero),
+        change(1, start, c * y / w, -rise, k),
+        change(1, y, none, rise, zero),
+        change(1, y + 1, none, none, -k),
     )
-    totals = per_ms.groupBy(*video, "species", "b").agg(
-        F.sum("k").alias("tk"), F.sum("c").alias("tc"), F.sum(F.col("c") * F.col("y")).alias("tm")
+    return votes.withColumn("x", F.explode(changes)).select(
+        *video, (F.col("b") + F.col("x.side")).alias("b"), "track_id", F.col("species").alias("voted"), "x.o", "x.v", "x.s", "x.n"
     )
-    times = targets.select(*video, "time_ms").distinct()
-    # each target time looks at its own bucket and the ones before and after
-    probes = (
-        times.select(*video, "time_ms", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side"))
-        .withColumn("b", F.floor(F.col("time_ms") / window_ms) + F.col("side"))
-        .withColumn("y", offset)
-        .join(totals, [*video, "b"])
-    )
-    nothing = F.lit(None)
-    both = per_ms.select(
-        *video, "species", "b", "y", "k", "c",
-        nothing.cast("bigint").alias("time_ms"), nothing.cast("int").alias("side"),
-        *[nothing.cast(t).alias(n) for n, t in (("tk", "bigint"), ("tc", "double"), ("tm", "double"))],
-    ).unionByName(
-        probes.select(
-            *video, "species", "b", "y",
-            F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("c"),
-            "time_ms", "side", "tk", "tc", "tm",
-        )
-    )
-    key = Window.partitionBy(*video, "species", "b").orderBy("y")
-    # a range frame takes in every row with the same offset
-    upto = key.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = key.rangeBetween(Window.unboundedPreceding, -1)
-    running = both.withColumns(
-        {
-            "pk": F.sum("k").over(upto),
-            "pc": F.sum("c").over(upto),
-            "pm": F.sum(F.col("c") * F.col("y")).over(upto),
-            "sk": F.coalesce(F.sum("k").over(before), F.lit(0)),
-            "sc": F.coalesce(F.sum("c").over(before), F.lit(0.0)),
-            "sm": F.coalesce(F.sum(F.col("c") * F.col("y")).over(before), F.lit(0.0)),
-        }
-    ).filter(F.col("time_ms").isNotNull())
-    x, pc, pm, tc, tm = (F.col(n) for n in ("y", "pc", "pm", "tc", "tm"))
-    left, right = tc - F.col("sc"), tm - F.col("sm")
-    weight = (
-        F.when(F.col("side") == -1, (right - x * left) / w)
-        .when(F.col("side") == 1, (x * pc - pm) / w)
-        .otherwise(tc - (x * pc - pm + (tm - pm) - x * (tc - pc)) / w)
+
+
+def _scored(validation: DataFrame, window_ms: int, video: list[str], least_confidence: float | None) -> DataFrame:
+    """Every row of the table, the open ones once for each species voted for near them, with ``n`` and ``weight``."""
+    bucket = F.floor(F.col("time_ms") / window_ms)
+    offset = (F.col("time_ms") - bucket * window_ms).cast("bigint")
+    rows = validation.select(*video, "track_id", "time_ms", "confidence", "true_detection", "species")
+    votes = (
+        reviewed_true(rows)
+        .filter(F.col("time_ms").isNotNull())
+        .groupBy(*video, "track_id", "species", "time_ms")
+        .agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("c"))
+        .withColumns({"b": bucket, "y": offset})
     )
-    count = (
-        F.when(F.col("side") == -1, F.col("tk") - F.col("sk"))
-        .when(F.col("side") == 1, F.col("pk"))
-        .otherwise(F.col("tk"))
+    tracks = rows.withColumns({"b": bucket, "o": offset, "row": F.monotonically_increasing_id()})
+    both = _slope_changes(votes, video, window_ms).unionByName(tracks, allowMissingColumns=True)
+    is_track = F.col("row").isNotNull()
+    open_ = is_track & blank(F.col("true_detection"))
+    if least_confidence is not None:
+        open_ = open_ & (F.col("confidence") >= least_confidence)
+    near = F.collect_set("voted").over(Window.partitionBy(*video, "b"))
+    spread = (
+        both.repartition(*video, "b")
+        .withColumn("near", near)
+        .withColumn("vote", F.explode_outer(F.when(open_, F.col("near")).when(~is_track, F.array("voted"))))
+        .drop("near", "voted")
     )
+
+    def sums(*by: str) -> tuple[Column, Column]:
+        upto = Window.partitionBy(*video, "b", "vote", *by).orderBy("o", is_track).rowsBetween(Window.unboundedPreceding, 0)
+        level, slope, moment = (F.sum(x).over(upto) for x in ("v", "s", F.col("s") * F.col("o")))
+        weight = level + F.col("o") * slope - moment
+        return F.coalesce(F.sum("n").over(upto), F.lit(0)), F.coalesce(weight, F.lit(0.0))
+
+    (n, weight), (own_n, own_weight) = sums(), sums("track_id")
     return (
-        running.select(*video, "time_ms", "species", count.alias("n"), weight.alias("weight"))
-        .groupBy(*video, "time_ms", "species")
-        .agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-        .filter(F.col("n") > 0)
+        spread.withColumns({"_n": n, "_weight": weight, "_own_n": own_n, "_own_weight": own_weight})
+        .filter(is_track)
+        .withColumns(
+            {
+                "n": F.when(F.col("vote").isNotNull(), F.col("_n") - F.col("_own_n")),
+                "weight": F.round(F.greatest(F.lit(0.0), F.col("_weight") - F.col("_own_weight")), WEIGHT_DIGITS),
+            }
+        )
+        .drop("_n", "_weight", "_own_n", "_own_weight", "v", "s", "o")
     )
 
 
@@ -123,42 +123,11 @@ def species_votes(
     video, those votes are taken off again.
     """
     video = list(video)
-    keys = [*video, "track_id", "time_ms"]
-    voters = reviewed_true(validation)
-    targets = unreviewed(validation)
-    shared = _running(video, voters, targets, window_ms)
-    near = F.abs(F.col("vote_ms") - F.col("time_ms"))
-    own = (
-        targets.select(*keys)
-        .distinct()
-        .join(
-            voters.groupBy(*video, "track_id", "species", F.col("time_ms").alias("vote_ms")).agg(
-                F.count(F.lit(1)).alias("k"), F.sum("confidence").alias("c")
-            ),
-            [*video, "track_id"],
-        )
-        .filter(near <= window_ms)
-        .groupBy(*keys, "species")
-        .agg(
-            F.sum("k").alias("own_n"),
-            F.sum((F.lit(1.0) - near / float(window_ms)) * F.col("c")).alias("own_weight"),
-        )
-    )
     return (
-        targets.select(*keys)
-        .distinct()
-        .join(shared, [*video, "time_ms"])
-        .join(own, [*keys, "species"], "left")
-        .select(
-            *keys,
-            "species",
-            (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"),
-            F.round(
-                F.greatest(F.lit(0.0), F.col("weight") - F.coalesce("own_weight", F.lit(0.0))),
-                WEIGHT_DIGITS,
-            ).alias("weight"),
-        )
+        _scored(validation, window_ms, video, None)
         .filter(F.col("n") > 0)
+        .select(*video, "track_id", "time_ms", F.col("vote").alias("species"), "n", "weight")
+        .distinct()
     )
 
 
@@ -175,73 +144,52 @@ def predictions(
     goes to the species that sorts first. ``least_confidence`` is off by default.
     """
     video = list(video)
-    keys = [*video, "track_id", "time_ms"]
-    votes = species_votes(validation, window_ms, video)
-    if least_confidence is not None:
-        strong = unreviewed(validation).filter(F.col("confidence") >= least_confidence)
-        votes = votes.join(strong.select(*keys).distinct(), keys, "left_semi")
-    sums = votes.groupBy(*keys).agg(
-        F.sum("weight").alias("total"), F.sum("n").cast("bigint").alias("nearby_tracks")
-    )
-    share = F.bround(F.coalesce(F.try_divide(F.col("weight"), F.col("total")), F.lit(0.0)), 3)
-    first_three = (
-        top_rows(votes, keys, [F.col("weight").desc(), F.col("species").asc()], 3)
-        .join(sums, keys)
-        .groupBy(*keys)
+    heard = F.col("n") > 0
+    own = ["track_id", "time_ms", "confidence", "true_detection", "species"]
+    votes = (
+        _scored(validation, window_ms, video, least_confidence)
+        .groupBy(*video, "b", "row", *own)
         .agg(
-            # at most three entries
-            F.sort_array(
-                F.collect_list(F.struct((-F.col("weight")).alias("w"), "species", share.alias("share")))
-            ).alias("votes"),
-            F.first("nearby_tracks").alias("nearby_tracks"),
-        )
-        .select(
-            *keys,
-            "nearby_tracks",
-            F.col("votes")[0]["species"].alias("suggested_species"),
-            F.col("votes")[0]["share"].alias("species_proportion"),
-            F.map_from_entries(
-                F.transform("votes", lambda v: F.struct(v["species"], v["share"]))
-            ).alias("alternatives"),
+            # as many as there are species near one track
+            F.sort_array(F.collect_list(F.when(heard, F.struct((-F.col("weight")).alias("w"), F.col("vote").alias("species"))))).alias("votes"),
+            F.sum(F.when(heard, F.col("weight"))).alias("total"),
+            F.sum(F.when(heard, F.col("n"))).cast("bigint").alias("nearby_tracks"),
         )
     )
+    entry = F.transform(
+        F.slice("votes", 1, 3),
+        lambda v: F.struct(v["species"], F.bround(F.coalesce(F.try_divide(-v["w"], F.col("total")), F.lit(0.0)), 3).alias("share")),
+    )
     reviewed = ~blank(F.col("true_detection"))
-    found = ~reviewed & F.col("suggested_species").isNotNull()
+    found = ~reviewed & (F.size("votes") > 0)
 
     def when_reviewed(col: Column) -> Column:
         return F.when(reviewed, col)
 
-    # tracks were matched by key and time, so a reviewed row may share both with an open one
-    return (
-        validation.select(*keys, "confidence", "true_detection", "species")
-        .join(first_three, keys, "left")
-        .select(
-            *video,
-            "track_id",
-            F.when(reviewed, F.lit("validated"))
-            .when(found, F.lit("suggested"))
-            .otherwise(F.lit("unvalidated"))
-            .alias("status"),
-            when_reviewed(F.lower(F.trim("true_detection"))).alias("true_detection"),
-            when_reviewed(F.trim("species")).alias("species"),
-            F.when(found, F.col("suggested_species")).alias("suggested_species"),
-            F.when(found, F.bround("confidence", 3)).otherwise(F.lit(0.0)).alias(
-                "suggestion_confidence"
+    return votes.withColumn("first", F.when(found, entry)).select(
+        *video,
+        "track_id",
+        F.when(reviewed, F.lit("validated"))
+        .when(found, F.lit("suggested"))
+        .otherwise(F.lit("unvalidated"))
+        .alias("status"),
+        when_reviewed(F.lower(F.trim("true_detection"))).alias("true_detection"),
+        when_reviewed(F.trim("species")).alias("species"),
+        F.get("first", F.lit(0))["species"].alias("suggested_species"),
+        F.when(found, F.bround("confidence", 3)).otherwise(F.lit(0.0)).alias("suggestion_confidence"),
+        F.get("first", F.lit(0))["share"].alias("species_proportion"),
+        F.when(reviewed, F.lit("User validated"))
+        .when(
+            found,
+            F.format_string(
+                "Based on %d nearby tracks (detection conf: %.1f%%)",
+                F.col("nearby_tracks"),
+                F.col("confidence") * 100.0,
             ),
-            F.when(found, F.col("species_proportion")).alias("species_proportion"),
-            F.when(reviewed, F.lit("User validated"))
-            .when(
-                found,
-                F.format_string(
-                    "Based on %d nearby tracks (detection conf: %.1f%%)",
-                    F.col("nearby_tracks"),
-                    F.col("confidence") * 100.0,
-                ),
-            )
-            .otherwise(F.lit("No nearby validated tracks"))
-            .alias("reason"),
-            F.when(found, F.col("alternatives")).alias("alternatives"),
         )
+        .otherwise(F.lit("No nearby validated tracks"))
+        .alias("reason"),
+        F.map_from_entries("first").alias("alternatives"),
     )
 
 

@@ -327,6 +327,45 @@ def test_a_species_list_of_any_length(rows):
     assert got == {("species number 5999", 1, "group"), ("species number 17", 0, "all"), (None, None, None)}
 
 
+@pytest.mark.parametrize("window", [100, 7])
+def test_votes_against_pairs(rows, window):
+    """Bucket borders, window ends, tracks reviewed in one row and open in another, rows that repeat, null times."""
+    rng = random.Random(window)
+    made = [
+        (rng.choice(["v", "w", None]), rng.randrange(12), rng.choice([None, *range(0, 500, 10)] if window == 100 else list(range(0, 60))), rng.random(),
+         rng.choice(["true", "True ", "false", "", None]), rng.choice(["x", "y", "z ", ""]))
+        for _ in range(150)
+    ]
+    made += made[:5]
+    table = rows("video_id string, track_id bigint, time_ms bigint, confidence double, true_detection string, species string", *made)
+    want = {}
+    for v, t, x, _, verdict, _ in made:
+        for v2, t2, x2, c, verdict2, sp in made:
+            if (verdict or "").strip() or (verdict2 or "").strip().lower() != "true" or not sp.strip() or v != v2 or t == t2 or x is None or x2 is None:
+                continue
+            if abs(x - x2) <= window:
+                n, weight = want.get((v, t, x, sp.strip()), (0, 0.0))
+                want[v, t, x, sp.strip()] = (n + 1, weight + (1 - abs(x - x2) / window) * c)
+    seen = {}  # rows that repeat were counted each time
+    for key in {(v, t, x) for v, t, x, _, verdict, _ in made if not (verdict or "").strip()}:
+        times = sum((v, t, x) == key and not (verdict or "").strip() for v, t, x, _, verdict, _ in made)
+        seen.update({k: (n // times, w / times) for k, (n, w) in want.items() if k[:3] == key})
+    got = {(r.video_id, r.track_id, r.time_ms, r.species): (r.n, r.weight) for r in suggest.species_votes(table, window, ["video_id"]).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in seen.items()}
+    assert all(abs(w - seen[k][1]) < 1e-8 for k, (_, w) in got.items())
+
+
+def test_every_row_has_one_prediction(rows):
+    table = rows(
+        "video_id string, track_id bigint, time_ms bigint, confidence double, true_detection string, species string",
+        ("v", 1, 0, 0.5, "true", "x"), ("v", 2, 5, 0.5, "", ""), ("v", 2, 5, 0.5, "", ""), ("v", 3, None, 0.5, "", ""), ("v", 4, 900, 0.2, "", ""),
+        (None, 5, 0, None, None, None), ("v", 6, 1, 0.1, None, None))
+    got = sorted((r.track_id, r.status, r.suggested_species) for r in suggest.predictions(table, 100, ["video_id"]).collect())
+    assert got == [(1, "validated", None), (2, "suggested", "x"), (2, "suggested", "x"), (3, "unvalidated", None), (4, "unvalidated", None), (5, "unvalidated", None), (6, "suggested", "x")]
+    strong = suggest.predictions(table, 100, ["video_id"], least_confidence=0.3).filter("status = 'suggested'")
+    assert [r.track_id for r in strong.collect()] == [2, 2]
+
+
 def test_species_of_short_long_and_crowded_names(rows):
     rng = random.Random(9)
 
