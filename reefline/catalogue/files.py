@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reefline import schemas
 from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.catalogue.suggestions import _LATER, _LATER_SPECIES, _VOTES, WINDOW_MS, votes_sql
 from reefline.operators import maxn as m
 from reefline.operators import tracks as t
-from reefline.operators import review
 from reefline.schemas import TRACK_KEY
 from reefline.session import checkpoint_root
 from reefline.sources import tables
@@ -65,6 +65,61 @@ def consolidated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Each run's tracker wrote other columns; the second run is appended twice, the first time cut short.
+_RUN_SQL = "CASE WHEN video_no % 2 = 0 THEN 'day 1' ELSE 'day 2+' END AS run"
+
+
+@query(
+    "appended_raw_runs",
+    f"""SELECT video_path, video_name, frame, time, xmin, ymin, xmax, ymax, w, h, confidence, label, track_id % 5 > 0 AS has_track_id,
+  CASE WHEN video_no % 2 = 0 THEN track_id END AS track_id, {_RUN_SQL} FROM detections""",
+)
+def appended_raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of two runs in one CSV table."""
+    folder = _folder(spark)
+    rows = inputs.detections(spark, sf_dir).withColumn("has_track_id", F.col("track_id") % 5 > 0)
+    raw = rows.select(*_ROWS[:-1], "has_track_id", "track_id", "video_no")
+    second = raw.filter("video_no % 2 = 1").drop("track_id", "video_no")
+    tables.append_run(raw.filter("video_no % 2 = 0").drop("video_no"), folder, "day 1", "csv")
+    tables.append_run(second.filter("frame < 20"), folder, "day 2+", "csv")
+    tables.append_run(second, folder, "day 2+", "csv")
+    return tables.read_runs(spark, folder, schemas.RAW_DETECTIONS, "csv").select(
+        *_ROWS[:-1], "has_track_id", "track_id", "run"
+    )
+
+
+@query(
+    "appended_overviews",
+    f"SELECT video_path, count(DISTINCT track_id) AS tracks_found, {_RUN_SQL} FROM detections GROUP BY video_path, video_no",
+)
+def appended_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overviews of two runs; the second run is appended twice."""
+    folder = _folder(spark)
+    counted = inputs.detections(spark, sf_dir).groupBy("video_path", "video_no").agg(F.count_distinct("track_id").alias("tracks_found"))
+    for run, odd in (("day 1", 0), ("day 2+", 1), ("day 2+", 1)):
+        tables.append_run(counted.filter(F.col("video_no") % 2 == odd).drop("video_no"), folder, run)
+    return tables.read_runs(spark, folder, schemas.OVERVIEW)
+
+
+_NOTES = (
+    "CASE track_id % 5 WHEN 0 THEN concat('first line', chr(10), 'second, line') WHEN 1 THEN concat('said \"yes\"', chr(13), chr(10), ' at ', video_id)"
+    " WHEN 2 THEN concat(chr(10), chr(10)) WHEN 3 THEN NULL ELSE 'plain' END"
+)
+
+
+@query(
+    "reviews_with_line_breaks",
+    f"""SELECT collection, bruv_station, video_id, track_id, lower(trim(true_detection)) AS true_detection, trim(species) AS species,
+  coalesce(trim({_NOTES}), '') AS notes FROM validation""",
+)
+def reviews_with_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with line breaks, commas and quotes, through a CSV file."""
+    folder = _folder(spark)
+    table = inputs.validation(spark, sf_dir).withColumn("notes", F.expr(_NOTES))
+    tables.write_table(table.drop("video_no", "time_ms"), folder, "csv")
+    return tables.read_review_files(spark, folder).select(*TRACK_KEY, "true_detection", "species", "notes")
+
+
 @query(
     "overview_with_missing_columns",
     """SELECT video_path, CAST(tracks_found AS BIGINT) AS tracks_found, note FROM (SELECT DISTINCT video_path, video_no % 7 AS tracks_found, NULL::VARCHAR AS note FROM detections WHERE video_no % 2 = 0
@@ -86,10 +141,8 @@ def overview_with_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame
 def exported_validation_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     tables.write_table(inputs.validation(spark, sf_dir).drop("video_no", "time_ms"), folder, "csv")
-    raw = spark.read.option("header", True).csv(folder)
-    return review.clean_validation(raw).select(
-        *TRACK_KEY[:3],
-        F.col("track_id").try_cast("bigint").alias("track_id"),
+    return tables.read_review_files(spark, folder).select(
+        *TRACK_KEY,
         "time_seconds",
         "confidence",
         "true_detection",

@@ -29,9 +29,9 @@ fr AS (SELECT *, list_transform(range(0, {ROWS * COLS}), lambda p: v[p % 64 + 1]
 
 
 def frames(
-    spark: SparkSession, sf_dir: str, strides: tuple[int, int, int] = _STRIDES
+    spark: SparkSession, sf_dir: str, strides: tuple[int, int, int] = _STRIDES, enlarge: int = 1
 ) -> DataFrame:
-    """One 8 x 9 frame per vector, as rows of the ``image`` source look."""
+    """One 8 x 9 frame per vector, as rows of the ``image`` source look; ``enlarge`` makes squares of its pixels."""
     vectors = inputs.table(spark, sf_dir, "embeddings")
     levels = F.transform(
         "embedding",
@@ -48,13 +48,17 @@ def frames(
             ]
         )
 
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)), pixel), "")
+    def line(y):
+        wide = F.transform(F.sequence(y * COLS, y * COLS + COLS - 1), lambda p: F.repeat(pixel(p), enlarge))
+        return F.repeat(F.array_join(wide, ""), enlarge)
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), line), "")
     return vectors.withColumn("v", levels).select(
         F.concat(F.lit("v"), F.floor(F.col("vec_id") / PER_VIDEO).cast("string")).alias("video_path"),
         (F.col("vec_id") % PER_VIDEO).alias("frame"),
         F.col("label").alias("kind"),
-        F.lit(ROWS).alias("height"),
-        F.lit(COLS).alias("width"),
+        F.lit(ROWS * enlarge).alias("height"),
+        F.lit(COLS * enlarge).alias("width"),
         F.lit(3).alias("nChannels"),
         F.unhex(text).alias("data"),
     )
@@ -98,6 +102,14 @@ def motion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("frame_flow")
+def frame_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far grid points move between frames of 80 x 90 pixels, and the mean of each video."""
+    sampled = frames(spark, sf_dir, enlarge=10).withColumnRenamed("frame", "sample_idx")
+    flows = im.flow_magnitudes(sampled)
+    return flows.join(im.motion_magnitude(flows), "video_path")
+
+
 # A box of two by two pixels in the middle of the frame, and an empty one.
 @query(
     "crop_scores",

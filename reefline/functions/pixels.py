@@ -1,14 +1,21 @@
 """Pixel arithmetic on one frame, in numpy. Frames are height x width x 3, blue first.
 
-Canny edges and optical flow have no numpy counterpart; edges are pixels whose
-Sobel gradient exceeds a limit, and motion is the mean absolute frame difference.
+Edges are thin: a pixel counts where its gradient is the largest across the edge,
+and if it is weak, only where a chain of edge pixels joins it to a strong one.
+Motion of a frame is followed on a grid of points through smaller and smaller
+copies of both frames (sparse pyramidal flow).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-EDGE_LIMIT = 150.0
+# Gradients (sum of both directions) of weak and strong edge pixels.
+WEAK_EDGE, STRONG_EDGE = 50.0, 150.0
+# Spacing of flow points, half the window around one, smaller copies, steps and the step that ends them.
+FLOW_GRID, FLOW_REACH, FLOW_LEVELS, FLOW_STEPS, FLOW_END = 20, 10, 3, 30, 0.01
+# Mean squared gradient, in the direction where it is least, below which a window shows no motion.
+FLOW_TEXTURE = 0.1
 
 
 def to_array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -62,14 +69,115 @@ def laplacian(g: np.ndarray) -> np.ndarray:
     return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
 
 
+def _slopes(p: np.ndarray, middle: float = 2.0, side: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes along and across the rows of what lies inside the padding."""
+    across = p[:, 2:] - p[:, :-2]
+    down = p[2:] - p[:-2]
+    return (
+        side * across[:-2] + middle * across[1:-1] + side * across[2:],
+        side * down[:, :-2] + middle * down[:, 1:-1] + side * down[:, 2:],
+    )
+
+
+def thin_edges(g: np.ndarray, weak: float = WEAK_EDGE, strong: float = STRONG_EDGE) -> np.ndarray:
+    """Edge pixels: gradient maxima across the edge above ``weak`` that touch, in chains, one above ``strong``.
+
+    A gradient within 22.5 degrees of a row or column is compared with its two
+    neighbours there, else with the two on its diagonal. Along a row or column
+    the later of two neighbours may be equal, so an even edge is one pixel wide.
+    """
+    h, w = g.shape
+    dx, dy = _slopes(np.pad(g, 1, mode="edge"))
+    size = np.abs(dx) + np.abs(dy)
+    around = np.pad(size, 1)
+
+    def at(y: int, x: int) -> np.ndarray:
+        return around[1 + y : 1 + y + h, 1 + x : 1 + x + w]
+
+    flat = np.abs(dy) < np.abs(dx) * np.tan(np.pi / 8)
+    steep = np.abs(dy) > np.abs(dx) * np.tan(3 * np.pi / 8)
+    rising = (dx < 0) != (dy < 0)
+    peak = np.select(
+        [flat, steep, rising],
+        [
+            (size > at(0, -1)) & (size >= at(0, 1)),
+            (size > at(-1, 0)) & (size >= at(1, 0)),
+            (size > at(-1, 1)) & (size > at(1, -1)),
+        ],
+        (size > at(-1, -1)) & (size > at(1, 1)),
+    )
+    open_ = np.pad(peak & (size > weak), 1)
+    edge = open_ & (np.pad(size, 1) > strong)
+    front = np.flatnonzero(edge)
+    edge, open_ = edge.ravel(), open_.ravel()
+    steps = np.array([y * (w + 2) + x for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x])
+    while len(front):  # what the chains reach next
+        near = np.unique((front[:, None] + steps).ravel())
+        front = near[open_[near] & ~edge[near]]
+        edge[front] = True
+    return edge.reshape(h + 2, w + 2)[1:-1, 1:-1]
+
+
+def _smaller(g: np.ndarray) -> np.ndarray:
+    """Every second pixel of the blurred frame."""
+    blur = np.array([1, 4, 6, 4, 1]) / 16
+    p = np.pad(g, 2, mode="reflect" if min(g.shape) > 2 else "edge")
+    rows = sum(b * p[k : k + g.shape[0] : 2] for k, b in enumerate(blur))
+    return sum(b * rows[:, k : k + g.shape[1] : 2] for k, b in enumerate(blur))
+
+
+def _windows(plane: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values in the window around each point (y, x), between pixels too; beyond the border its nearest pixel."""
+    h, w = plane.shape
+    reach = np.arange(-FLOW_REACH, FLOW_REACH + 1)
+    y, x = at[:, 0, None, None] + reach[:, None], at[:, 1, None, None] + reach[None, :]
+    y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+    fy, fx = y - y0, x - x0
+    ya, yb, xa, xb = (np.clip(v, 0, n - 1) for v, n in ((y0, h), (y0 + 1, h), (x0, w), (x0 + 1, w)))
+    return (plane[ya, xa] * (1 - fx) + plane[ya, xb] * fx) * (1 - fy) + (plane[yb, xa] * (1 - fx) + plane[yb, xb] * fx) * fy
+
+
+def flow(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """(y, x) motion of each grid point from one grey frame to the next.
+
+    At each size, from the smallest, a point moves until its window in the later
+    frame looks like the earlier one's. A window without texture keeps what the
+    smaller sizes said.
+    """
+    sizes = [(before, after)]
+    for _ in range(FLOW_LEVELS):
+        if min(sizes[-1][0].shape) <= 2 * FLOW_REACH + 1:
+            break
+        sizes.append((_smaller(sizes[-1][0]), _smaller(sizes[-1][1])))
+    grid = np.stack(np.meshgrid(*[np.arange(0, n, FLOW_GRID) for n in before.shape], indexing="ij"), axis=-1)
+    points = grid.reshape(-1, 2).astype(np.float64)
+    moved = np.zeros_like(points)
+    for k in reversed(range(len(sizes))):
+        old, new = sizes[k]
+        at = points / 2**k
+        across, down = (s / 32 for s in _slopes(np.pad(old, 1, mode="edge"), middle=10.0, side=3.0))
+        seen, sx, sy = (_windows(plane, at) for plane in (old, across, down))
+        xx, xy, yy = ((a * b).sum(axis=(1, 2)) for a, b in ((sx, sx), (sx, sy), (sy, sy)))
+        least = (xx + yy - np.sqrt((xx - yy) ** 2 + 4 * xy**2)) / 2 / seen[0].size
+        move = moved * 2 if k < len(sizes) - 1 else moved
+        open_ = np.flatnonzero(least > FLOW_TEXTURE)
+        for _ in range(FLOW_STEPS):
+            if not len(open_):
+                break
+            gap = seen[open_] - _windows(new, at[open_] + move[open_])
+            bx, by = (gap * sx[open_]).sum(axis=(1, 2)), (gap * sy[open_]).sum(axis=(1, 2))
+            det = xx[open_] * yy[open_] - xy[open_] ** 2
+            step = np.stack([xx[open_] * by - xy[open_] * bx, yy[open_] * bx - xy[open_] * by], axis=1) / det[:, None]
+            move[open_] += step
+            inside = ((at[open_] + move[open_] >= 0) & (at[open_] + move[open_] <= np.array(new.shape) - 1)).all(axis=1)
+            open_ = open_[inside & (np.hypot(step[:, 0], step[:, 1]) > FLOW_END)]
+        moved = move
+    return moved
+
+
 def gradient(g: np.ndarray) -> np.ndarray:
     """Sobel magnitude."""
-    p = _padded(g)
-    right = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]
-    left = p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2]
-    below = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]
-    above = p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:]
-    return np.hypot(right - left, below - above)
+    return np.hypot(*_slopes(_padded(g)))
 
 
 def neighbour_pattern(g: np.ndarray) -> np.ndarray:

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from reefline.functions import pixels as px
 from reefline.functions.names import UNCLASSIFIABLE
@@ -74,7 +76,7 @@ def _bottom_moments(bgr: np.ndarray) -> dict[str, float]:
         out[f"sum_{name}"] = float(plane.sum())
         out[f"sq_{name}"] = float((plane**2).sum())
     quarter = max(g.shape[0] // 4, 1)
-    out["edges"] = float((px.gradient(g) > px.EDGE_LIMIT).sum())
+    out["edges"] = float(px.thin_edges(g).sum())
     out["top"] = float(g[:quarter].mean())
     out["bottom"] = float(g[-quarter:].mean())
     out["blue"] = float(part[..., 0].sum())
@@ -322,8 +324,36 @@ def motion_scores(frames: DataFrame, video: str = "video_path", index: str = "sa
     )
 
 
-def motion_magnitude(scores: DataFrame, video: Sequence[str] = ("video_path",)) -> DataFrame:
-    return scores.groupBy(*video).agg(F.avg("mean_difference").alias("motion_magnitude"))
+def flow_magnitudes(frames: DataFrame, video: str = "video_path", index: str = "sample_idx") -> DataFrame:
+    """Mean length of the motion of grid points (see ``pixels.flow``) from each sampled frame to the next.
+
+    Frames become grey bytes first and are paired by a join on the sample number,
+    so a long video spreads over many tasks. A pair whose sizes differ has none.
+    """
+    plain = _per_frame(
+        frames,
+        [video, index],
+        lambda a: {"height": a.shape[0], "width": a.shape[1], "grey": px.grey(a).astype(np.uint8).tobytes()},
+        "height int, width int, grey binary",
+    )
+    before = plain.select(video, (F.col(index) + 1).alias(index), "height", "width", F.col("grey").alias("before"))
+
+    @F.pandas_udf("double")
+    def length(a: pd.Series, b: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        found = []
+        for x, y, h, w in zip(a, b, height, width, strict=True):
+            old, new = (np.frombuffer(v, np.uint8).reshape(h, w).astype(np.float64) for v in (x, y))
+            found.append(float(np.hypot(*px.flow(old, new).T).mean()))
+        return pd.Series(found, dtype="float64")
+
+    return plain.join(before, [video, index, "height", "width"]).select(
+        video, index, length("before", "grey", "height", "width").alias("flow")
+    )
+
+
+def motion_magnitude(flows: DataFrame, video: Sequence[str] = ("video_path",)) -> DataFrame:
+    """Mean motion per video, in pixels from frame to frame."""
+    return flows.groupBy(*video).agg(F.avg("flow").alias("motion_magnitude"))
 
 
 # --- crops ----------------------------------------------------------------
@@ -364,7 +394,7 @@ def _crop_scores(crop: np.ndarray) -> tuple[float, float]:
     g = px.grey(crop)
     slope = px.gradient(g)
     blue = min(float(crop[..., 0].astype(np.float64).var()) / 10000.0, 1.0)
-    texture = float((slope > px.EDGE_LIMIT).mean()) * 0.5 + float(slope.mean()) / 255.0 * 0.5
+    texture = float(px.thin_edges(g).mean()) * 0.5 + float(slope.mean()) / 255.0 * 0.5
     return blue, min(texture, 1.0)
 
 
@@ -414,6 +444,28 @@ def surface_filter(
     )
 
 
+def crops_of_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(video_path, frame, box_id, height, width, crop): the pixels of every box, blue first; ``crop`` may be empty."""
+    joined = frames_with_boxes(frames, boxes)
+    bounded_batches(frames.sparkSession)
+    kind = dict(joined.dtypes)
+    names = [*FRAME, "box_id", "height", "width", "crop"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                image = px.to_array(r.data, r.height, r.width, r.nChannels)
+                for b in r.boxes:
+                    crop = _cut(image, b)
+                    rows.append((r.video_path, r.frame, b["box_id"], *crop.shape[:2], crop.tobytes()))
+            yield pd.DataFrame(rows, columns=names)
+
+    return joined.mapInPandas(
+        run, f"video_path {kind['video_path']}, frame {kind['frame']}, box_id bigint, height int, width int, crop binary"
+    )
+
+
 def classify_crops(
     frames: DataFrame,
     boxes: DataFrame,
@@ -424,49 +476,35 @@ def classify_crops(
 ) -> DataFrame:
     """Species of every box by a model of the user's.
 
-    ``make_model`` runs once per Python worker task and returns a function from a
-    list of crops to probabilities (crops x classes). An empty crop, and a best
-    probability below ``least``, give no species.
+    ``make_model`` runs once per Python worker, however many tasks and Arrow
+    batches that worker sees, and returns a function from a list of crops to
+    probabilities (crops x classes). An empty crop, and a best probability below
+    ``least``, give no species. The first of equal classes wins.
     """
-    joined = frames_with_boxes(frames, boxes)
-    bounded_batches(frames.sparkSession)
-    kind = dict(joined.dtypes)
-    names = list(classes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make_predict() -> Callable:
         model = make_model()
 
-        def score(waiting: list) -> list:
-            shares = np.asarray(model([crop for _, crop in waiting]))
-            best = shares.argmax(axis=1)
-            return [
-                (*key, names[k] if p >= least else None, float(p))
-                for (key, _), k, p in zip(waiting, best, shares.max(axis=1), strict=True)
-            ]
-
-        for pdf in batches:
-            rows, waiting = [], []
-            for r in pdf.itertuples(index=False):
-                image = px.to_array(r.data, r.height, r.width, r.nChannels)
-                for b in r.boxes:
-                    key, crop = (r.video_path, r.frame, b["box_id"]), _cut(image, b)
-                    if crop.size == 0:
-                        rows.append((*key, None, 0.0))
-                    else:
-                        waiting.append((key, crop))
-                    if len(waiting) == batch:
-                        rows += score(waiting)
-                        waiting = []
-            if waiting:
-                rows += score(waiting)
-            yield pd.DataFrame(
-                rows, columns=[*FRAME, "box_id", "species", "classification_confidence"]
-            )
-
-    return joined.mapInPandas(
-        run,
-        f"video_path {kind['video_path']}, frame {kind['frame']}, box_id bigint, "
-        "species string, classification_confidence double",
+        def predict(crops: np.ndarray, heights: np.ndarray, widths: np.ndarray) -> np.ndarray:
+            shares = np.zeros((len(crops), size))
+            whole = np.flatnonzero([len(c) for c in crops])
+            if len(whole):
+                shaped = [np.frombuffer(crops[k], np.uint8).reshape(heights[k], widths[k], 3) for k in whole]
+                shares[whole] = model(shaped)
+            return shares
+
+        return predict
+
+    size = len(classes)
+    predict = predict_batch_udf(make_predict, return_type=ArrayType(DoubleType()), batch_size=batch)
+    scored = crops_of_boxes(frames, boxes).withColumn("shares", predict("crop", "height", "width"))
+    best = F.array_max("shares")
+    name = F.get(F.array(*[F.lit(c) for c in classes]), F.array_position("shares", best).cast("int") - 1)
+    return scored.select(
+        *FRAME,
+        "box_id",
+        F.when((best >= least) & (F.octet_length("crop") > 0), name).alias("species"),
+        best.alias("classification_confidence"),
     )
 
 

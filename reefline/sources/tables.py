@@ -15,8 +15,10 @@ from reefline.functions.paths import basename
 from reefline.operators.metadata import normalise_user_metadata
 from reefline.operators.review import clean_validation
 
-# Quotes inside quoted text are doubled, as spreadsheet programs write them.
-CSV = {"header": True, "escape": '"'}
+# Quotes inside quoted text are doubled, as spreadsheet programs write them, and quoted text may hold line breaks:
+# a file is then read from its start to its end by one task, row by row.
+# White space around values is written as it is.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -31,7 +33,10 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def file_headers(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(``source_file``, ``header``): the first line of every file that has one."""
+    """(``source_file``, ``header``): the first line of every file that has one.
+
+    A first line that ends inside quotes is not the whole header; the file's path stands behind it.
+    """
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
         "value",
@@ -43,6 +48,7 @@ def file_headers(spark: SparkSession, path: str | list[str], glob: str | None =
         lines.filter(F.col("_start") == 0)
         .groupBy("source_file")
         .agg(F.min_by("value", "_at").alias("header"))
+        .withColumn("header", F.when(F.length(F.regexp_replace("header", '[^"]', "")) % 2 == 1, F.concat_ws("\n", "header", "source_file")).otherwise(F.col("header")))
     )
 
 
@@ -53,7 +59,8 @@ def csv_by_name(
 
     Files may have their columns in different orders and numbers: files with the
     same first line are read together, and the tables are united by name. A file
-    whose first line names none of the ``known`` columns stops the job.
+    whose header names none of the ``known`` columns stops the job. Quoted
+    text may hold commas, quotes and line breaks.
     """
     groups: dict[str, list[str]] = {}
     for r in file_headers(spark, path, glob).collect():  # one row per file, as in Spark's own listing
@@ -94,6 +101,33 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+RUN = "run"
+
+
+def append_run(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+    """Add the rows of a run. Appending a run again, after a failure or by mistake, replaces its rows.
+
+    Each run owns the folder ``run=<name>``; other runs are neither read nor
+    rewritten. A run without rows leaves earlier rows of that name as they are.
+    """
+    writer = df.withColumn(RUN, F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN)
+    if fmt == "csv":
+        writer = writer.options(**CSV)
+    writer.format(fmt).save(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """The rows of all appended runs with their ``run``; columns that a run lacks are null."""
+    if fmt == "csv":
+        rows = csv_by_name(spark, f"{path}/{RUN}=*", schema.names)
+        name = F.regexp_extract("source_file", rf"/{RUN}=([^/]*)/[^/]*$", 1)
+        for _ in range(2):  # a folder's name is encoded, and so is a file's address
+            name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        return typed(rows.withColumn(RUN, name).drop("source_file"), schema)
+    kept = T.StructType([*schema.fields, T.StructField(RUN, T.StringType())])
+    return spark.read.schema(kept).format(fmt).load(path)
+
+
 def union_tables(*tables: DataFrame) -> DataFrame:
     """Rows of all tables; columns one of them lacks are null there."""
     out = tables[0]
@@ -153,7 +187,8 @@ def validation_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _validation_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_review_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The rows of given validation files, cleaned and typed."""
     raw = csv_by_name(spark, paths, schemas.VALIDATION_COLUMNS).drop("source_file")
     missing = [c for c in schemas.VALIDATION_COLUMNS if c not in raw.columns]
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
@@ -165,7 +200,7 @@ def read_validation(spark: SparkSession, folder: str) -> DataFrame:
     chosen = validation_files(spark, folder).limit(1).collect()
     if not chosen:
         return spark.createDataFrame([], _empty_validation())
-    return _validation_csv(spark, chosen[0]["path"])
+    return read_review_files(spark, chosen[0]["path"])
 
 
 def _empty_validation() -> T.StructType:

@@ -229,6 +229,39 @@ def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
         tables.consolidate(spark, f"{tmp_path}/*/output.csv")
 
 
+def test_line_breaks_commas_and_quotes_in_notes(spark, tmp_path):
+    """As other programs write them: one file by hand, one by Python's csv module."""
+    import csv
+
+    note = 'first line\r\nsecond, line with "quotes"\n\nlast'
+    head = ["collection", "bruv_station", "video_id", "track_id", "true_detection", "species", "notes"]
+    for name, track in (("validation_results_TG.csv", "1"), ("validation_results_2024.csv", "2")):
+        path = tmp_path / "reviews" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with path.open("w", newline="") as f:
+            csv.writer(f).writerows([head, ["c", "s", "v", track, "true", "x", note], ["c", "s", "v", "9", "", "", ""]])
+    folder, note = str(tmp_path / "reviews"), note.replace("\r\n", "\n")  # where lines end so, text has plain line breaks
+    assert [(r.track_id, r.notes) for r in tables.read_validation(spark, folder).collect()] == [(1, note), (9, "")]
+    assert sorted((r.track_id, r.notes) for r in tables.read_all_reviews(spark, folder).collect()) == [(1, note), (2, note), (9, ""), (9, "")]
+    write_text(tmp_path / "meta" / "m.csv", 'video_filename,notes\na.MP4,"one\ntwo, three"\nb.MP4,\n')
+    rows = tables.read_user_metadata(spark, str(tmp_path / "meta")).collect()
+    assert [(r.video_filename, r.notes) for r in rows] == [("a.MP4", "one\ntwo, three"), ("b.MP4", None)]
+    write_text(tmp_path / "wide" / "a.csv", '"video_path","odd\nname",frame\nv,x,1\n')
+    write_text(tmp_path / "wide" / "b.csv", '"video_path","odd\nname",confidence\nw,y,0.5\n')
+    wide = tables.read_detections(spark, str(tmp_path / "wide")).collect()
+    assert {(r.video_path, r["odd\nname"], r.frame, r.confidence) for r in wide} == {("v", "x", 1, None), ("w", "y", None, 0.5)}
+
+
+def test_a_run_that_is_appended_again_replaces_its_rows(spark, tmp_path, rows):
+    for fmt in ("csv", "parquet"):
+        path = str(tmp_path / fmt)
+        for run, found in (("a+b %", 1), ("c", 2), ("a+b %", 3)):
+            tables.append_run(rows("video_path string, tracks_found bigint", (f"v{found}", found), ("w", None)), path, run, fmt)
+        tables.append_run(rows("tracks_found bigint", (4,)), path, "d", fmt)
+        got = {tuple(r) for r in tables.read_runs(spark, path, schemas.OVERVIEW, fmt).select("run", "video_path", "tracks_found").collect()}
+        assert got == {("a+b %", "v3", 3), ("a+b %", "w", None), ("c", "v2", 2), ("c", "w", None), ("d", None, 4)}
+
+
 def test_more_header_forms_than_any_limit(spark, tmp_path):
     for k in range(120):
         write_text(tmp_path / f"r{k}" / "output.csv", f"video_path,depth_{k}\nv{k},{k}\n")

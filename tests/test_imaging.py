@@ -147,6 +147,111 @@ def test_crop_classes_reach_the_tracks(spark):
     assert labels == [(1, "x"), (1, "x"), (3, "ESU"), (7, "e")]
 
 
+def test_a_worker_loads_the_model_once(spark, tmp_path):
+    loads = str(tmp_path)
+
+    def make_model():
+        import os
+        import uuid
+
+        open(f"{loads}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda crops: np.array([[c.mean() / 255, 1 - c.mean() / 255] for c in crops])
+
+    df = frames_of(spark, *[("v", k, np.full((4, 4, 3), k, np.uint8)) for k in range(60)]).repartition(12)
+    boxes = df.select("video_path", "frame", F.col("frame").alias("box_id"), F.lit(0).alias("xmin"), F.lit(0).alias("ymin"), F.lit(4).alias("xmax"), F.lit(4).alias("ymax"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = im.classify_crops(df, boxes, make_model, ["pale", "dark"], least=0.8, batch=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.box_id: (r.species, r.classification_confidence) for r in found} == {
+        k: ("dark" if 1 - k / 255 >= 0.8 else None, max(k / 255, 1 - k / 255)) for k in range(60)}
+    workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert 0 < len(workers) == len(set(workers)) < 30  # of 12 tasks or more and 30 batches
+
+
+def edges_by_hand(g, weak=50, strong=150):
+    """Pixel by pixel, chains by a stack."""
+    h, w = g.shape
+
+    def value(y, x):
+        return g[min(max(y, 0), h - 1), min(max(x, 0), w - 1)]
+
+    slopes = {}
+    for y in range(h):
+        for x in range(w):
+            dx = sum(k * (value(y + d, x + 1) - value(y + d, x - 1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            dy = sum(k * (value(y + 1, x + d) - value(y - 1, x + d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            slopes[y, x] = (dx, dy, abs(dx) + abs(dy))
+
+    def peak(y, x):
+        dx, dy, m = slopes[y, x]
+
+        def size(v, u):
+            return slopes.get((y + v, x + u), (0, 0, 0))[2]
+
+        if abs(dy) < abs(dx) * np.tan(np.pi / 8):
+            return m > size(0, -1) and m >= size(0, 1)
+        if abs(dy) > abs(dx) * np.tan(3 * np.pi / 8):
+            return m > size(-1, 0) and m >= size(1, 0)
+        s = -1 if (dx < 0) != (dy < 0) else 1
+        return m > size(-1, -s) and m > size(1, s)
+
+    some = {p for p in slopes if slopes[p][2] > weak and peak(*p)}
+    stack = [p for p in some if slopes[p][2] > strong]
+    out = set(stack)
+    while stack:
+        y, x = stack.pop()
+        for q in ((y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+            if q in some and q not in out:
+                out.add(q)
+                stack.append(q)
+    return out
+
+
+def test_thin_edges():
+    step = np.zeros((10, 12))
+    step[:, 6:] = 200
+    assert np.argwhere(px.thin_edges(step)).tolist() == [[y, 5] for y in range(10)]  # one pixel wide
+    assert not px.thin_edges(step / 20).any()
+    fading = np.zeros((12, 12))
+    fading[:, 6:] = np.linspace(20, 60, 12)[:, None]  # weak at one end, strong at the other
+    assert px.thin_edges(fading).sum() == 12 and not px.thin_edges(fading, strong=300).any()
+    rng = np.random.default_rng(4)
+    for shape in ((20, 30), (1, 9), (2, 2), (17, 3)):
+        for scale in (20, 60, 255):
+            g = np.rint(rng.random(shape) * scale)
+            assert {tuple(p) for p in np.argwhere(px.thin_edges(g)).tolist()} == edges_by_hand(g)
+
+
+def scene(dy, dx, height=200, width=260):
+    y, x = np.mgrid[0:height, 0:width].astype(float)
+    y, x = y - dy, x - dx
+    return np.rint(128 + 40 * np.sin(x / 9 + 1) * np.cos(y / 7) + 30 * np.sin((x + 2 * y) / 13) + 20 * np.cos((x - y) / 5))
+
+
+@pytest.mark.parametrize("shift", [(0, 0), (3, -2), (0.5, 1.25), (12, 9), (-8, 11)])
+def test_flow_finds_the_shift(shift):
+    found = px.flow(scene(0, 0), scene(*shift)).reshape(10, 13, 2)[2:-2, 2:-2].reshape(-1, 2)
+    assert (np.abs(found - np.array(shift)).max(axis=1) < 0.1).mean() > 0.95
+
+
+def test_flow_of_plain_and_small_frames():
+    assert not px.flow(np.zeros((100, 100)), np.full((100, 100), 9.0)).any()
+    assert px.flow(np.zeros((3, 4)), np.zeros((3, 4))).shape == (1, 2)
+
+
+def test_motion_magnitude(spark):
+    moves = [(0, 0), (3, 4), (3, 4), (6, 8)]
+    rows = [("v", k, np.repeat(scene(*m, 120, 160).astype(np.uint8)[:, :, None], 3, axis=2)) for k, m in enumerate(moves)]
+    df = frames_of(spark, *rows, ("w", 0, rows[0][2]), ("w", 1, rows[0][2][:50])).withColumnRenamed("frame", "sample_idx")
+    flows = im.flow_magnitudes(df)
+    got = {(r.video_path, r.sample_idx): r.flow for r in flows.collect()}
+    assert set(got) == {("v", 1), ("v", 2), ("v", 3)}  # frames of two sizes have no flow
+    assert abs(got["v", 1] - 5) < 0.5 and got["v", 2] == 0 and abs(got["v", 3] - 5) < 0.5
+    assert abs(im.motion_magnitude(flows).first().motion_magnitude - 10 / 3) < 0.4
+
+
 def test_surface_filter(spark):
     df = spark.createDataFrame([(0.0, 100, 0.0, 1.0, 1.0, 0.8), (90.0, 100, 20.0, 0.0, 0.0, 0.8)], "ymin double, h int, depth_m double, blue_variance double, texture double, confidence double")
     got = im.surface_filter(df).orderBy("ymin").collect()
