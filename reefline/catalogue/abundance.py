@@ -62,12 +62,14 @@ def maxn_by_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "maxn_by_label",
     _FRAMES
-    + """SELECT label, video_path, frame, n FROM f
+    + """SELECT label, video_path, frame, n, tracks_in_maxn FROM f
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, video_path, video_name, frame) = 1""",
 )
 def maxn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _cleaned(spark, sf_dir).drop("folder1", "folder2")
-    return m.maxn_by_chapter(flat, with_tracks=False).select("label", "video_path", "frame", "n")
+    return m.maxn_by_chapter(flat).select(
+        "label", "video_path", "frame", "n", F.array_join("tracks_in_maxn", ",").alias("tracks_in_maxn")
+    )
 
 
 @query(
@@ -81,15 +83,10 @@ def frame_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "labelled_detections",
-    """SELECT video_path, label, count(*) AS detections, CAST(sum(track_id) AS BIGINT) AS track_sum
-FROM cleaned GROUP BY ALL""",
+    "SELECT video_path, label, frame, track_id, xmin, ymin, xmax, ymax, confidence FROM cleaned",
 )
 def labelled_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _cleaned(spark, sf_dir)
-        .groupBy("video_path", "label")
-        .agg(F.count(F.lit(1)).alias("detections"), F.sum("track_id").alias("track_sum"))
-    )
+    return _cleaned(spark, sf_dir).select("video_path", "label", "frame", "track_id", "xmin", "ymin", "xmax", "ymax", "confidence")
 
 
 LABELS = ["Carcharhinus perezi", "ESU", "Ginglymostoma cirratum", "elasmobranch"]

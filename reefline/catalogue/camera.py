@@ -86,8 +86,8 @@ def skip_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stable_detections",
     _PERIODS
-    + """SELECT d.video_path, d.frame, count(*) AS boxes FROM detections d JOIN p ON p.video_no = d.video_no
-WHERE d.frame BETWEEN p.start_idx AND p.end_idx GROUP BY ALL""",
+    + """SELECT d.video_path, d.frame, d.track_id, d.xmin, d.ymin, d.xmax, d.ymax, d.confidence FROM detections d JOIN p ON p.video_no = d.video_no
+WHERE d.frame BETWEEN p.start_idx AND p.end_idx""",
 )
 def stable_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inputs.detections(spark, sf_dir).withColumnRenamed("video_path", "path").withColumnRenamed(
@@ -98,8 +98,4 @@ def stable_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("start_idx").alias("start_frame"),
         F.col("end_idx").alias("end_frame"),
     )
-    return (
-        t.inside_stable_period(found, periods)
-        .groupBy(F.col("path").alias("video_path"), "frame")
-        .agg(F.count(F.lit(1)).alias("boxes"))
-    )
+    return t.inside_stable_period(found, periods).select(F.col("path").alias("video_path"), "frame", "track_id", "xmin", "ymin", "xmax", "ymax", "confidence")

@@ -48,8 +48,8 @@ def detections_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "consolidated_results",
-    """SELECT folder1, folder2, count(*) AS boxes, count(DISTINCT video_path) AS videos FROM (SELECT video_path, folder1,
-  CASE WHEN video_no % 2 = 0 THEN folder2 END AS folder2 FROM detections) GROUP BY ALL""",
+    f"""SELECT {', '.join(_ROWS)}, folder1, CASE WHEN video_no % 2 = 0 THEN folder2 END AS folder2, CASE WHEN video_no % 2 = 0 THEN 'run1' ELSE 'run2' END AS run
+FROM detections""",
 )
 def consolidated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs with different folder depths, read back as one table."""
@@ -60,9 +60,7 @@ def consolidated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.filter("video_no % 2 = 1").drop("video_no", "folder2"), f"{folder}/run2/internal_results", "csv"
     )
     together = tables.consolidate(spark, f"{folder}/*/internal_results/*.csv")
-    return together.groupBy("folder1", "folder2").agg(
-        F.count(F.lit(1)).alias("boxes"), F.count_distinct("video_path").alias("videos")
-    )
+    return together.select(*_ROWS, "folder1", "folder2", F.regexp_extract("source_file", "/(run[12])/", 1).alias("run"))
 
 
 # Each run's tracker wrote other columns; the second run is appended twice, the first time cut short.
@@ -153,8 +151,9 @@ def exported_validation_through_csv(spark: SparkSession, sf_dir: str) -> DataFra
 
 @query(
     "incremental_maxn",
-    """WITH f AS (SELECT video_path, video_name, frame, label, count(track_id) AS n FROM detections GROUP BY ALL)
-SELECT video_path, frame, label, n FROM f QUALIFY row_number() OVER (PARTITION BY video_path, video_name, label ORDER BY n DESC, frame) = 1""",
+    """WITH f AS (SELECT video_path, video_name, frame, label, count(track_id) AS n, array_to_string(list_sort(list(track_id)), ',') AS tracks_in_maxn
+  FROM detections GROUP BY ALL)
+SELECT video_path, frame, label, n, tracks_in_maxn FROM f QUALIFY row_number() OVER (PARTITION BY video_path, video_name, label ORDER BY n DESC, frame) = 1""",
 )
 def incremental_maxn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows arrive as a stream, are appended once, and MaxN is read from the sink.
@@ -173,7 +172,9 @@ def incremental_maxn(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = incremental.new_files(spark, sf_dir, schema, pattern="lineitem.parquet")
         incremental.process_new_results(stream, f"{folder}/sink", f"{folder}/progress", shape)
     stored = spark.read.parquet(f"{folder}/sink").withColumn("time", F.col("time_ms").cast("string"))
-    return m.maxn_by_video(stored, with_tracks=False).select("video_path", "frame", "label", "n")
+    return m.maxn_by_video(stored).select(
+        "video_path", "frame", "label", "n", F.array_join("tracks_in_maxn", ",").alias("tracks_in_maxn")
+    )
 
 
 @query(

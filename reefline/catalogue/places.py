@@ -227,6 +227,17 @@ def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "clarity_statistics",
+    _BATCH
+    + """SELECT count(water_clarity) AS videos, round(avg(water_clarity), 6) AS mean_clarity, round(median(water_clarity), 6) AS median_clarity,
+  min(water_clarity) AS min_clarity, max(water_clarity) AS max_clarity FROM bat""",
+)
+def clarity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = md.clarity_stats(md.batch_table(_results(spark, sf_dir)))
+    return stats.withColumns({c: F.bround(c, 6) for c in ("mean_clarity", "median_clarity")})
+
+
 # --- places ---------------------------------------------------------------
 
 @query(
@@ -459,26 +470,23 @@ def deployment_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     "storage_estimate",
     _FILES_SQL
     + """ SELECT round(sum(size) / 1073741824e0, 6) AS input_size_gb, count(*) AS video_count,
-  round(sum(size) / 1073741824e0 * 1.15e0 * 1.2e0, 6) AS safety_margin_gb FROM fil""",
+  round(sum(size) / 1073741824e0 * 0.05e0, 6) AS analysis_size_gb, round(sum(size) / 1073741824e0 * 0.1e0, 6) AS temp_space_gb,
+  round(sum(size) / 1073741824e0 * 1.15e0, 6) AS total_required_gb, round(sum(size) / 1073741824e0 * 1.15e0 * 1.2e0, 6) AS safety_margin_gb FROM fil""",
 )
 def storage_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.storage_estimate(_files(spark, sf_dir)).select(
-        F.bround("input_size_gb", 6).alias("input_size_gb"),
-        "video_count",
-        F.bround("safety_margin_gb", 6).alias("safety_margin_gb"),
-    )
+    found = inv.storage_estimate(_files(spark, sf_dir))
+    return found.select("video_count", *[F.bround(c, 6).alias(c) for c in found.columns if c != "video_count"])
 
 
 @query(
     "time_estimate",
     _FILES_SQL
-    + " SELECT round(count(*) * 3.7e0 / 60, 6) AS total_hours, round(60 / 3.7e0, 6) AS videos_per_hour FROM fil",
+    + """ SELECT round(count(*) * 2 / 60e0, 6) AS reformat_hours, round(count(*) * 1.2e0 / 60, 6) AS detection_hours,
+  round(count(*) * 0.5e0 / 60, 6) AS metadata_hours, round(count(*) * 3.7e0 / 60, 6) AS total_hours, round(60 / 3.7e0, 6) AS videos_per_hour FROM fil""",
 )
 def time_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.time_estimate(_files(spark, sf_dir)).select(
-        F.bround("total_hours", 6).alias("total_hours"),
-        F.bround("videos_per_hour", 6).alias("videos_per_hour"),
-    )
+    found = inv.time_estimate(_files(spark, sf_dir))
+    return found.select(*[F.bround(c, 6).alias(c) for c in found.columns])
 
 
 _TASK = [

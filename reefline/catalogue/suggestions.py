@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from reefline.catalogue.registry import query
 from reefline.operators import history as h
 from reefline.operators import review as r
 from reefline.operators import suggest as s
+from reefline.plans import reports
 from reefline.schemas import TRACK_KEY
-from reefline.session import reliable_checkpoint
+from reefline.session import checkpoint_root, reliable_checkpoint
 
 WINDOW_MS = 5000
 
@@ -170,6 +173,31 @@ def suggestion_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.confusion(_history(spark, sf_dir), least=3)
 
 
+@query(
+    "saved_suggestion_reports",
+    _HISTORY
+    + f""", c AS ({_CONFUSION})
+SELECT suggested_species, actual, n, total_suggestions_made, correct, incorrect, pending, accuracy_percent
+FROM (SELECT count(*) AS total_suggestions_made, count(*) FILTER (outcome = 'correct') AS correct,
+  count(*) FILTER (outcome IN ('incorrect', 'incorrect_fp')) AS incorrect, count(*) FILTER (outcome = 'pending') AS pending,
+  round(coalesce(100e0 * count(*) FILTER (outcome = 'correct') / nullif(count(*) FILTER (outcome <> 'pending'), 0), 0), 1) AS accuracy_percent FROM res) a
+LEFT JOIN c ON true""",
+)
+def saved_suggestion_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and confusions as they come back from a run's files."""
+    resolved = reliable_checkpoint(_history(spark, sf_dir))
+    update = {
+        "predictions": resolved.select(*TRACK_KEY, "suggested_species"),
+        "history": resolved.drop("in_validation", "outcome_now"),
+        "accuracy": h.accuracy(resolved),
+        "confusion": h.confusion(resolved),
+    }
+    folder = f"{checkpoint_root(spark)}/suggestions-{uuid.uuid4().hex}"
+    reports.save_suggestions(update, folder, "run 1")
+    accuracy, confusion = reports.read_saved(spark, folder, "run 1")
+    return confusion.join(accuracy, F.lit(True), "right")  # the summary is one row
+
+
 # --- review ---------------------------------------------------------------
 
 _STATE = """

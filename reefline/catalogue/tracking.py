@@ -52,7 +52,7 @@ _RAW_TRACK = "CASE WHEN det_p % 4 = 0 THEN NULL ELSE track_id END"
 @query(
     "shaped_raw_detections",
     f"""SELECT video_path, video_name, ({_RAW_TRACK}) IS NOT NULL AS has_track_id,
-  coalesce({_RAW_TRACK}, -1) AS track_id, count(*) AS boxes FROM detections GROUP BY ALL""",
+  coalesce({_RAW_TRACK}, -1) AS track_id, frame, time, xmin, ymin, xmax, ymax, w, h, confidence, label FROM detections""",
 )
 def shaped_raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = (
@@ -60,10 +60,8 @@ def shaped_raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("track_id", F.expr(_RAW_TRACK))
         .withColumn("video_path", F.concat(F.lit("/surveys/"), F.col("video_path")))
     )
-    return (
-        t.shape_raw_detections(boxes, "/surveys")
-        .groupBy("video_path", "video_name", "has_track_id", "track_id")
-        .agg(F.count(F.lit(1)).alias("boxes"))
+    return t.shape_raw_detections(boxes, "/surveys").select(
+        "video_path", "video_name", "has_track_id", "track_id", "frame", "time", "xmin", "ymin", "xmax", "ymax", "w", "h", "confidence", "label"
     )
 
 
@@ -78,14 +76,10 @@ def raw_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "confident_detections",
-    "SELECT video_path, track_id, count(*) AS n FROM detections WHERE confidence >= 0.25e0 GROUP BY ALL",
+    "SELECT video_path, frame, track_id, xmin, ymin, xmax, ymax, confidence FROM detections WHERE confidence >= 0.25e0",
 )
 def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        t.confident(inputs.detections(spark, sf_dir))
-        .groupBy("video_path", "track_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return t.confident(inputs.detections(spark, sf_dir)).select("video_path", "frame", "track_id", "xmin", "ymin", "xmax", "ymax", "confidence")
 
 
 @query(
@@ -136,15 +130,11 @@ def track_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "globally_numbered_tracks",
     _STATS
     + """, i AS (SELECT video_path, track_id, row_number() OVER (ORDER BY video_path, track_id) - 1 AS new_id FROM k)
-SELECT e.video_path, i.new_id AS track_id, count(*) AS n FROM short e JOIN i USING (video_path, track_id) GROUP BY ALL""",
+SELECT e.video_path, i.new_id AS track_id, frame, xmin, ymin, xmax, ymax, confidence FROM short e JOIN i USING (video_path, track_id)""",
 )
 def globally_numbered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = _short(spark, sf_dir)
-    return (
-        t.global_track_ids(short, t.surviving_tracks(short, fps=3))
-        .groupBy("video_path", "track_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return t.global_track_ids(short, t.surviving_tracks(short, fps=3)).select("video_path", "frame", "track_id", "xmin", "ymin", "xmax", "ymax", "confidence")
 
 
 @query(

@@ -298,6 +298,21 @@ def substrate_counts(batch: DataFrame) -> DataFrame:
     )
 
 
+def clarity_stats(batch: DataFrame) -> DataFrame:
+    """Mean, exact median, least and greatest water clarity, and the videos where it is known."""
+    known = batch.filter(F.col("water_clarity").isNotNull())
+    simple = known.agg(
+        F.count(F.lit(1)).alias("videos"),
+        F.avg("water_clarity").alias("mean_clarity"),
+        F.min("water_clarity").alias("min_clarity"),
+        F.max("water_clarity").alias("max_clarity"),
+    )
+    # clarity lies between 0 and 1
+    middle = exact_median(known, "water_clarity", 0.01).withColumnRenamed("median", "median_clarity")
+    names = ("videos", "mean_clarity", "min_clarity", "max_clarity", "median_clarity")
+    return simple.unionByName(middle, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+
+
 def depth_stats(batch: DataFrame) -> DataFrame:
     """Mean, exact median, least and greatest depth of videos whose depth is known and not 0."""
     known = batch.filter(F.coalesce("depth", F.lit(0.0)) != 0.0)

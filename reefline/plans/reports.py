@@ -61,10 +61,23 @@ def suggestion_update(
 
 
 def save_suggestions(update: dict[str, DataFrame], folder: str, version: str) -> None:
-    """JSON rows keyed by ``collection|station|video|track``, each run in its own folder."""
+    """JSON rows of each run in its own folder: predictions and history keyed by
+    ``collection|station|video|track``, the accuracy summary and the confusions."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in TRACK_KEY]).alias("key")
     for name in ("predictions", "history"):
         tables.write_table(update[name].select(key, "*"), f"{folder}/{version}/{name}", "json")
+    for name in ("accuracy", "confusion"):
+        tables.write_table(update[name], f"{folder}/{version}/{name}", "json")
+
+
+ACCURACY = "total_suggestions_made bigint, correct bigint, incorrect bigint, pending bigint, accuracy_percent double"
+CONFUSION = "suggested_species string, actual string, n bigint"
+
+
+def read_saved(spark: SparkSession, folder: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """The accuracy summary and the confusions of a saved run."""
+    kept = f"{folder}/{version}"
+    return spark.read.schema(ACCURACY).json(f"{kept}/accuracy"), spark.read.schema(CONFUSION).json(f"{kept}/confusion")
 
 
 def thumbnail_table(all_tracks: DataFrame, base_dirs: dict[str, str]) -> DataFrame:
