@@ -157,17 +157,90 @@ def substrate_colour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every pixel with its colours as the frame has them: grey, hue, saturation, value. Row and column count from 0.
+_PIXELS_SQL = (
+    _FRAMES_SQL
+    + f""", rgb AS (SELECT video, k, i - 1 AS p, px[i] AS b, gpx[i] AS g, v[((i - 1) * 13) % 64 + 1] AS r, {_GREY_SQL} AS y
+  FROM fr, unnest(range(1, {ROWS * COLS + 1})) AS u(i)),
+ext AS (SELECT *, greatest(b, g, r) AS val, greatest(b, g, r) - least(b, g, r) AS span FROM rgb),
+hue AS (SELECT *, CASE WHEN span = 0 THEN 0e0 WHEN val = r THEN 60 * (g - b) / CAST(span AS DOUBLE) WHEN val = g THEN 120 + 60 * (b - r) / CAST(span AS DOUBLE)
+  ELSE 240 + 60 * (r - g) / CAST(span AS DOUBLE) END AS deg FROM ext),
+pix AS (SELECT video, k, p // {COLS} AS row, p % {COLS} AS col, b, g, r, y, val, round_even(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END / 2, 0) AS h,
+  CASE WHEN val = 0 THEN 0e0 ELSE round_even(255e0 * span / val, 0) END AS s FROM hue)
+"""
+)
+
+
+def _laplace_sql(first: int, rows: int, name: str) -> str:
+    """Laplacian and neighbour pattern of each pixel of the part that starts at row ``first``; borders are mirrored."""
+    def side(c: str, d: int, n: int, least: int) -> str:
+        return f"CASE WHEN q.{c} + {d} < {least} THEN q.{c} - {d} WHEN q.{c} + {d} >= {least + n} THEN q.{c} - {d} ELSE q.{c} + {d} END"
+
+    near = " + ".join(
+        f"(SELECT y FROM {name}_of z WHERE z.video = q.video AND z.k = q.k AND z.row = {side('row', dy, rows, first)} AND z.col = {side('col', dx, COLS, 0)})"
+        for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))
+    )
+    return f"""{name}_of AS (SELECT video, k, row, col, y FROM pix WHERE row >= {first}),
+{name} AS (SELECT q.video, q.k, {near} - 4 * q.y AS lap FROM {name}_of q)"""
+
+
+_LIGHT_SQL = """CASE WHEN lin > 0.008856e0 THEN 116 * cbrt(lin) - 16 ELSE 903.3e0 * lin END * 255 / 100"""
+_LINEAR_SQL = "CASE WHEN {0} / 255e0 <= 0.04045e0 THEN {0} / 255e0 / 12.92e0 ELSE pow(({0} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END"
+
+
+@query(
+    "substrate_texture_features",
+    _PIXELS_SQL
+    + ", "
+    + _laplace_sql(4, 4, "low")
+    + f""", c AS (SELECT video, avg(h) AS mh, stddev_pop(h) AS sh, avg(s) AS ms, stddev_pop(s) AS ss FROM pix WHERE row >= 4 GROUP BY video),
+l AS (SELECT video, var_pop(lap) AS rough FROM low GROUP BY video),
+n AS (SELECT a.video, a.k, a.row, a.col, count(*) FILTER (b.y >= a.y) - 1 AS pattern FROM low_of a JOIN low_of b
+  ON a.video = b.video AND a.k = b.k AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1
+  WHERE a.row BETWEEN 5 AND 6 AND a.col BETWEEN 1 AND {COLS - 2} GROUP BY ALL),
+t AS (SELECT video, stddev_pop(pattern) AS lbp FROM n GROUP BY video),
+e AS (SELECT video, k, avg(y) FILTER (row = 4) AS top, avg(y) FILTER (row = 7) AS bottom FROM low_of GROUP BY ALL),
+d AS (SELECT video, abs(avg(top) - avg(bottom)) AS slope FROM e GROUP BY video)
+SELECT concat('v', CAST(video AS VARCHAR)) AS video_path, round(mh, 6) AS mean_hue, round(sh, 6) AS std_hue, round(ms, 6) AS mean_saturation, round(ss, 6) AS std_saturation,
+  round(lbp, 6) AS local_binary_pattern, round(slope, 6) AS depth_gradient, round(rough, 4) AS surface_roughness
+FROM c JOIN l USING (video) JOIN t USING (video) JOIN d USING (video)""",
+)
+def substrate_texture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = im.substrate_features(frames(spark, sf_dir, _COLOUR_STRIDES))
+    six = ("mean_hue", "std_hue", "mean_saturation", "std_saturation", "local_binary_pattern", "depth_gradient")
+    return found.select("video_path", *[F.bround(c, 6).alias(c) for c in six], F.bround("surface_roughness", 4).alias("surface_roughness"))
+
+
 @query("substrate_features")
 def substrate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.substrate_features(frames(spark, sf_dir, _COLOUR_STRIDES))
 
 
-@query("clarity_and_light_of_frames")
+@query(
+    "clarity_and_light_of_frames",
+    _PIXELS_SQL
+    + ", "
+    + _laplace_sql(0, ROWS, "every")
+    + f""", c AS (SELECT video, k, least(var_pop(lap) / 1000e0, 1e0) AS clarity FROM every GROUP BY ALL),
+i AS (SELECT video, k, 0.072169e0 * {_LINEAR_SQL.format('b')} + 0.715160e0 * {_LINEAR_SQL.format('g')} + 0.212671e0 * {_LINEAR_SQL.format('r')} AS lin FROM pix),
+l AS (SELECT video, k, avg(round_even({_LIGHT_SQL}, 0)) / 255e0 AS light FROM i GROUP BY ALL)
+SELECT concat('v', CAST(video AS VARCHAR)) AS video_path, round(avg(clarity), 9) AS water_clarity, round(avg(light), 9) AS light_level FROM c JOIN l USING (video, k) GROUP BY video""",
+)
 def clarity_and_light_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.clarity_and_light(frames(spark, sf_dir, _COLOUR_STRIDES))
+    found = im.clarity_and_light(frames(spark, sf_dir, _COLOUR_STRIDES))
+    return found.select("video_path", *[F.bround(c, 9).alias(c) for c in ("water_clarity", "light_level")])
 
 
-@query("substrate_votes")
+@query(
+    "substrate_votes",
+    _PIXELS_SQL
+    + """, f AS (SELECT video, k, avg(h) AS hue, avg(s) AS sat, stddev_pop(y) AS std FROM pix WHERE row >= 5 GROUP BY ALL),
+o AS (SELECT video, CASE WHEN sat < 50 AND std < 30 THEN 'sand' WHEN hue > 40 AND hue < 80 AND sat > 80 THEN 'seagrass' WHEN std > 60 THEN 'rock'
+  WHEN sat > 60 AND hue < 30 THEN 'coral' ELSE 'unknown' END AS substrate_type FROM f),
+n AS (SELECT video, substrate_type, count(*) AS votes, list_position(['sand', 'rock', 'coral', 'seagrass', 'unknown'], substrate_type) AS place FROM o GROUP BY ALL)
+SELECT concat('v', CAST(video AS VARCHAR)) AS video_path, arg_max(substrate_type, votes * 10 - place) AS substrate_type,
+  max(votes) / CAST(sum(votes) AS DOUBLE) AS substrate_confidence FROM n GROUP BY video""",
+)
 def substrate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.substrate_votes(im.frame_floor_colours(frames(spark, sf_dir, _COLOUR_STRIDES)))
 
@@ -298,5 +371,5 @@ def substrate_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reefline.session import reliable_checkpoint
 
     marked = reliable_checkpoint(sm.split(rows, "id"))
-    model = sm.train(marked.filter("NOT is_test"), features, trees=20, depth=5)
+    model = sm.train(marked.filter("NOT is_test"), features)
     return sm.report(model, marked.filter("is_test"), features)

@@ -9,25 +9,33 @@ the latest back; the pair is valid if no merge across the border came first.)
 
 Cases: null text is empty; an empty text has no tokens and decodes to the empty
 text. Rows are independent: equal rows give equal rows, any ``doc_id`` (null as
-well) is handed on, other columns are left out.
+well) is handed on, other columns (also ones named like an output) are left out.
+A very long text is encoded in parts cut at white space, which no piece holds,
+so it needs its own size and that of its ids, not one object a word.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from reefline.llm.common import SLICE_BYTES, ship, slices, texts
+from reefline.llm.common import ship, slices, texts
 
 ship(__name__)
 
-# Words of a generation; a Python worker keeps two, so memory is bounded.
-CACHED_WORDS = 250_000
+SLICE_BYTES = 1024 * 1024
+# Of a generation of cached words; a Python worker keeps two, so memory is bounded.
+CACHE_BYTES = 20 * 1024 * 1024
+KNOWN_PAIRS = 300_000
+SPACE = re.compile("[ \n]")
 END = "</w>"
 
 
@@ -59,7 +67,7 @@ class PairRule:
 
     def learn(self, left: int, right: int) -> bool:
         """Decide a pair that is not in ``known`` yet, and note it there under ``left << 32 | right``."""
-        if len(self.known) >= 4 * CACHED_WORDS:
+        if len(self.known) >= KNOWN_PAIRS:
             self.known.clear()
         found = self.known[left << 32 | right] = self._holds(left, right)
         return found
@@ -143,9 +151,12 @@ class Encoder:
         # The pieces that the vocabulary's merges stay within.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, model["added"])) + ")") if model["added"] else None
-        self.names = {i: t for t, i in [*model["ids"].items(), *model["added"].items()]}
-        self.fresh: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        names = {i: t for t, i in [*model["ids"].items(), *model["added"].items()]}
+        # what an id adds to the decoded text: its name and a space
+        self.names = pa.array([names.get(i, "") + " " for i in range(max(names) + 1)], pa.large_string())
+        self.fresh: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text. Special tokens stay whole, told apart by a leading space."""
@@ -165,34 +176,61 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Encode the words that the cache lacks, all in one walk."""
         new = words.difference(self.fresh)
-        if len(self.fresh) + len(new) > CACHED_WORDS:
-            self.older, self.fresh = self.fresh, {}
+        if self.held > CACHE_BYTES:
+            self.older, self.fresh, self.held = self.fresh, {}, 0
             new = words
-        kept = {w: self.older[w] for w in new.intersection(self.older)}
-        self.fresh.update(kept)
+        for w in new.intersection(self.older):
+            self.keep(w, self.older[w])
         letters = self.letters
         spelled = {
             w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]): w
-            for w in new.difference(kept)
+            for w in new.difference(self.older)
             if w[0] != " "
         }
         for w in new:
             if w[0] == " ":
-                self.keep(w, [self.model["added"][w[1:]]])
+                self.keep(w, array("I", [self.model["added"][w[1:]]]).tobytes())
         for w, ids in walk(list(spelled), self.model, self.rule):
-            self.keep(spelled[w], ids)
-
-    def keep(self, word: str, ids: list[int]) -> None:
-        names = self.names
-        self.fresh[word] = (array("I", ids).tobytes(), " ".join([names[i] for i in ids]))
-
-    def encode(self, batch: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids as little-endian 32-bit numbers, and the decoded text, per text."""
+            self.keep(spelled[w], array("I", ids).tobytes())
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self.fresh[word] = ids
+        self.held += 200 + 2 * len(word) + len(ids)  # about what the entry takes
+
+    def encode(self, batch: list[str]) -> Iterator[bytes]:
+        """Ids as little-endian 32-bit numbers, per text."""
+        if len(batch) == 1:
+            found = []
+            for part in parts(batch[0]):
+                words = self.split(part)
+                self.learn(set(words))
+                found.append(b"".join(map(self.fresh.__getitem__, words)))
+            yield b"".join(found)
+            return
         split = [self.split(t) for t in batch]
         self.learn(set().union(*split))
         for words in split:
-            found = list(map(self.fresh.__getitem__, words))
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            yield b"".join(map(self.fresh.__getitem__, words))
+
+    def decode(self, batch: list[bytes]) -> list[str]:
+        """The texts of ids: their names, joined by spaces."""
+        ids = np.frombuffer(b"".join(batch), dtype="<u4")
+        taken = pc.take(self.names, pa.array(ids))  # its bytes lie one behind the other
+        starts = np.frombuffer(taken.buffers()[1], np.int64)[np.cumsum([0] + [len(i) // 4 for i in batch])]
+        data = memoryview(taken.buffers()[2] or b"")
+        return [str(data[i : max(i, j - 1)], "utf-8") for i, j in zip(starts, starts[1:])]
+
+
+def parts(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, each but the first starting with white space."""
+    start = 0
+    while len(text) - start > size:
+        cut = SPACE.search(text, start + size)
+        if not cut:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -210,10 +248,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             model["encoder"] = Encoder({k: v for k, v in model.items()})
         encoder = model["encoder"]
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
-                pairs = list(encoder.encode(part.column("text").to_pylist()))
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids = list(encoder.encode(part.column("text").to_pylist()))
+                decoded = encoder.decode(ids)
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())],
+                    [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     schema=schema,
                 )
 

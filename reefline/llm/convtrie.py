@@ -44,7 +44,7 @@ from reefline.operators.ranking import bucketed_index
 ship(__name__)
 
 POSITIONS = 4096  # positions of a conversation that are ranked and hashed together
-MEMBERS = 4096
+MEMBERS = 256
 TOP_NODES = 100_000
 QUEUED = 200_000  # messages in memory
 NODE = ["depth", "n1", "n2"]

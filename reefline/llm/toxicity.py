@@ -47,7 +47,8 @@ SPAN, DECAY = 7, 0.7
 BITS = 22  # places of triples
 ROUNDS, EPOCHS = 3, 30
 LOWEST = -4.0  # margin of a text without words
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+SLICE_BYTES = 2 * 1024 * 1024  # of texts whose words are held at once
 LETTER = re.compile(r"[\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
@@ -233,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 whole = part.column("text").to_pylist()
                 found = [sorted({unit(w) for w in units(t)} - {""}) for t in whole]
                 prints = np.array([fingerprints(t, hashes) for t in whole], dtype=np.int64).T
@@ -279,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(shared.value)
             for batch in batches:
-                for piece in slices(batch, "text"):
+                for piece in slices(batch, "text", SLICE_BYTES):
                     m = scorer.texts(piece.column("text").to_pylist())
                     yield pa.record_batch([piece.column("y"), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(m[:, 2])], names=["y", "m1", "m2", "n"])
 
@@ -302,7 +303,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         own = shared.value
         scorer = Scorer(own) if own is not None else None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 scores = np.zeros(part.num_rows)
                 if scorer is not None:
                     x = np.c_[scorer.texts(part.column("text").to_pylist()), np.ones(part.num_rows)]
