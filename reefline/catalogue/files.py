@@ -16,6 +16,7 @@ from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.catalogue.suggestions import _LATER, _LATER_SPECIES, _VOTES, WINDOW_MS, votes_sql
 from reefline.operators import maxn as m
+from reefline.operators import metadata, training
 from reefline.operators import tracks as t
 from reefline.schemas import TRACK_KEY
 from reefline.session import checkpoint_root
@@ -149,6 +150,98 @@ def exported_validation_through_csv(spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
+# File names as reviewers leave them: labelled, renamed twice, plain, copied into a second folder, and unreadable.
+_LABEL_FILES = (
+    "CASE WHEN c_custkey % 7 = 6 THEN 'cover.jpg' WHEN c_custkey % 7 = 5 THEN concat(CAST(c_custkey AS STRING), '.jpg')"
+    " ELSE concat(CAST(c_custkey AS STRING), '-', CASE c_custkey % 3 WHEN 0 THEN 'Tiger-shark' WHEN 1 THEN '' ELSE 'ESU' END, '.jpg') END"
+)
+_MORE_FILES = "CASE c_custkey % 5 WHEN 0 THEN {0} ELSE concat(' ', CAST(c_custkey AS STRING), ' - Ray.jpg') END"
+
+
+@query(
+    "labels_of_file_names",
+    f"""WITH f AS (SELECT {_LABEL_FILES} AS name FROM customer UNION ALL SELECT {_MORE_FILES.format(_LABEL_FILES)} FROM customer WHERE c_custkey % 11 = 0),
+p AS (SELECT name, CASE WHEN regexp_matches(name, '^[0-9]+[.]') THEN CAST(regexp_extract(name, '^([0-9]+)[.]', 1) AS BIGINT)
+    WHEN regexp_matches(name, '^ *[0-9]+ *-') THEN CAST(regexp_extract(name, '^ *([0-9]+) *-', 1) AS BIGINT) END AS track_id,
+  CASE WHEN regexp_matches(name, '^ *[0-9]+ *-') THEN replace(regexp_extract(name, '^[^-]*-(.*)$', 1), '.jpg', '') END AS human_label FROM f),
+n AS (SELECT name, track_id, human_label, count(*) AS files FROM p GROUP BY ALL),
+t AS (SELECT track_id, count(*) AS names FROM n WHERE track_id IS NOT NULL GROUP BY ALL)
+SELECT name, track_id, human_label, CASE WHEN track_id IS NULL THEN 'name' WHEN files > 1 THEN 'duplicate' WHEN names > 1 THEN 'conflict' END AS problem
+FROM n LEFT JOIN t USING (track_id)""",
+)
+def labels_of_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that reviewers wrote into the names of thumbnails."""
+    files = inputs.table(spark, sf_dir, "customer")
+    more = files.filter("c_custkey % 11 = 0").selectExpr(f"concat('/run/b/', {_MORE_FILES.format(_LABEL_FILES)}) AS path")
+    return tables.parse_label_names(files.selectExpr(f"concat('/run/a/', {_LABEL_FILES}) AS path").unionByName(more))
+
+
+@query(
+    "metadata_of_text_files",
+    """SELECT s_suppkey, s_name AS site, CAST(s_acctbal AS VARCHAR) AS depth, 'kept: with colon' AS notes FROM supplier""",
+)
+def metadata_of_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``key: value`` file per site; of equal keys the last counts, lines without a colon are passed over."""
+    folder = _folder(spark)
+    lines = F.array(
+        F.lit("site: overwritten"),
+        F.concat(F.lit("  site : "), "s_name"),
+        F.lit("a line of text"),
+        F.concat(F.lit("depth:"), F.col("s_acctbal").cast("string")),
+        F.lit("notes: kept: with colon"),
+    )
+    text = inputs.table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(lines, "\n").alias("value"))
+    text.write.partitionBy("s_suppkey").text(folder)
+    found = tables.read_metadata_text(spark, f"{folder}/*")
+    key = F.regexp_extract("source_file", "/s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+    return found.select(key, *[F.col("metadata")[c].alias(c) for c in ("site", "depth", "notes")])
+
+
+@query(
+    "metadata_of_json_files",
+    "SELECT concat('v', CAST(loc_id AS VARCHAR)) AS video_path, lat AS latitude, lon AS longitude, depth FROM locations",
+)
+def metadata_of_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested metadata through JSON files with a declared schema."""
+    folder = _folder(spark)
+    rows = inputs.locations(spark, sf_dir).select(
+        F.concat(F.lit("v"), F.col("loc_id").cast("string")).alias("video_path"),
+        F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("gps_location"),
+        "depth",
+    )
+    tables.write_table(rows, folder, "json")
+    found = tables.read_metadata_json(spark, folder, rows.schema, lines=True)
+    return found.select("video_path", "gps_location.latitude", "gps_location.longitude", "depth")
+
+
+@query(
+    "class_mapping_file",
+    """SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS VARCHAR) || chr(9) || label AS line FROM (SELECT DISTINCT label FROM cleaned)""",
+)
+def class_mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping from class number to class, as it stands in its file."""
+    folder = _folder(spark)
+    labels = m.apply_human_labels(inputs.detections(spark, sf_dir), inputs.labeled(spark, sf_dir)).select(F.col("label").alias("class"))
+    tables.write_class_mapping(training.class_index(labels), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query(
+    "metadata_preview",
+    """SELECT video_filename, coalesce(site_name, '') AS site_name, CAST(depth_m AS VARCHAR) AS depth_m FROM (
+  SELECT concat('GH', CAST(c_custkey AS VARCHAR), '.MP4') AS video_filename, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS site_name, c_nationkey AS depth_m
+  FROM customer ORDER BY c_custkey LIMIT 5)""",
+)
+def metadata_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a metadata table, with '' for what is missing."""
+    rows = inputs.table(spark, sf_dir, "customer").orderBy("c_custkey").select(
+        F.concat(F.lit("GH"), F.col("c_custkey").cast("string"), F.lit(".MP4")).alias("video_filename"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("site_name"),
+        F.col("c_nationkey").alias("depth_m"),
+    )
+    return metadata.preview(rows)
+
+
 @query(
     "incremental_maxn",
     """WITH f AS (SELECT video_path, video_name, frame, label, count(track_id) AS n, array_to_string(list_sort(list(track_id)), ',') AS tracks_in_maxn

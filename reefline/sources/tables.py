@@ -323,8 +323,11 @@ def read_user_metadata(spark: SparkSession, path: str) -> DataFrame:
     return normalise_user_metadata(spark.read.options(**CSV).csv(path))
 
 
-def read_metadata_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_metadata_json(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False
+) -> DataFrame:
+    """JSON files of one object or array each; with ``lines``, of an object on every line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
