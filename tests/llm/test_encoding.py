@@ -27,7 +27,8 @@ def encoder():
 
 
 def same(encoder, library, texts):
-    for text, (ids, decoded), want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+    found = list(encoder.encode(texts))
+    for text, ids, decoded, want in zip(texts, found, encoder.decode(found), library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ids, dtype="<u4").tolist() == want.ids, repr(text)
         assert decoded == library.decode(want.ids, skip_special_tokens=False), repr(text)
 
@@ -48,12 +49,25 @@ def test_common_letters_of_the_first_plane(encoder, library):
 
 
 def test_a_small_cache_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1_000)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 5)
     encoder = bpe.Encoder(bpe.read_model(PATH))
     for _ in range(3):
         same(encoder, library, ["the cat sat on the mat again and again", "other words the cat"])
 
 
+def test_a_long_text_is_cut_at_white_space(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1)
+    rng = random.Random(4)
+    for size in (3, 40):
+        text = "".join(rng.choices("ab'sé ́Σ\n\t\x1c.!<|endoftext|> ", k=2_000))
+        pieces = list(bpe.parts(text, size))
+        assert "".join(pieces) == text and len(pieces) > 10
+        monkeypatch.setattr(bpe, "parts", lambda t: iter(pieces))
+        same(encoder, library, [text])
+        monkeypatch.undo()
+
+
 def test_awkward_rows(spark, library):
     for docs in (documents(spark), clashing(spark)):
         rows = bpe.encode(docs, PATH).collect()
