@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.llm import bpe, decontam, linededup, neardup, toxicity
-from reefline.llm.common import folder, table, written
+from reefline.llm.common import folder, remove, table, written
 from reefline.llm.queries import digests, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what its predecessor kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), folder(spark, name.split()[0]))
+        where = folder(spark, name.split()[0])
+        docs = written(stage(spark, docs, sf_dir), where)
+        if before:  # nothing reads the stage before the last one any more
+            remove(spark, before)
+        before = where
     return STAGES[-1][1](spark, docs, sf_dir)
