@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.operators import dedup
 from reefline.operators import imaging as im
+from reefline.session import checkpoint_root
+from reefline.sources import tables
 
 ROWS, COLS = 8, 9
 PER_VIDEO = 25
@@ -84,6 +87,19 @@ def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "frame_hashes_of_files",
+    _FRAMES_SQL
+    + f"""SELECT concat('v', CAST(video AS VARCHAR)) AS video_path, k AS frame, {ROWS * 40} AS rows, {COLS * 40} AS cols, {_BITS} AS image_bits FROM fr""",
+)
+def frame_hashes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 320 x 360 pixels, saved as PNG files, decoded and shrunk again."""
+    folder = f"{checkpoint_root(spark)}/frames-{uuid.uuid4().hex}"
+    tables.write_frames(frames(spark, sf_dir, enlarge=40), folder)
+    read = tables.read_frames(spark, folder).withColumns({"rows": F.col("height"), "cols": F.col("width")})
+    return im.frame_hashes(read, ["video_path", "frame", "rows", "cols"])
+
+
 @query(
     "motion_scores",
     _FRAMES_SQL

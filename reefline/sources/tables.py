@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import struct
+import sys
+import zlib
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +21,9 @@ from reefline.functions.paths import basename
 from reefline.operators.metadata import normalise_user_metadata
 from reefline.operators.review import clean_validation
 
+# The functions below travel to the executors whole: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Quotes inside quoted text are doubled, as spreadsheet programs write them, and quoted text may hold line breaks:
 # a file is then read from its start to its end by one task, row by row.
 # White space around values is written as it is.
@@ -319,6 +328,44 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def png(pixels: bytes, height: int, width: int, channels: int) -> bytes:
+    """A PNG file of 8-bit pixels, grey or blue first."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = np.frombuffer(pixels, np.uint8).reshape(height, width, channels)
+    if channels > 1:
+        rows = rows[:, :, 2::-1]
+    marked = np.zeros((height, 1 + rows[0].size), np.uint8)  # a row starts with its filter, none
+    marked[:, 1:] = rows.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels > 1 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(marked.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def write_frames(frames: DataFrame, folder: str) -> int:
+    """Save frames as ``<folder>/<video path>/<frame>.png``, from the tasks that hold them; the number of files.
+
+    A task that runs again writes the same files. ``folder`` is a path or an
+    address that pyarrow's file systems know.
+    """
+    make, root = png, folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for video, frame, height, width, channels, data in zip(*[c.to_pylist() for c in batch.columns]):
+                system.create_dir(f"{base}/{video}", recursive=True)
+                with system.open_output_stream(f"{base}/{video}/{frame}.png") as out:
+                    out.write(make(data, height, width, channels))
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["files"])
+
+    columns = ["video_path", "frame", "height", "width", "nChannels", "data"]
+    return frames.select(*columns).mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+
+
 def read_user_metadata(spark: SparkSession, path: str) -> DataFrame:
     return normalise_user_metadata(spark.read.options(**CSV).csv(path))
 

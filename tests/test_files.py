@@ -1,9 +1,7 @@
 """File sources and sinks, and incremental runs."""
 
 import json
-import struct
 import tempfile
-import zlib
 from pathlib import Path
 
 import pytest
@@ -91,17 +89,7 @@ def test_video_listing(spark, folder):
 
 
 def png(path, height, width, rgb):
-    raw = b"".join(b"\0" + bytes(rgb) * width for _ in range(height))
-
-    def chunk(kind, data):
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    path.write_bytes(
-        b"\x89PNG\r\n\x1a\n"
-        + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
-        + chunk(b"IDAT", zlib.compress(raw))
-        + chunk(b"IEND", b"")
-    )
+    path.write_bytes(tables.png(bytes(rgb[::-1]) * (height * width), height, width, 3))
 
 
 def test_frames_are_blue_first(spark, folder):
@@ -112,6 +100,16 @@ def test_frames_are_blue_first(spark, folder):
     assert list(bytes(r.data)[:3]) == [30, 20, 10]
 
 
+def test_frames_come_back_from_their_files(spark, folder):
+    pixels = {k: bytes((k * 7 + i * i) % 256 for i in range(190 * 330 * c)) for k, c in ((3, 3), (4, 1))}
+    rows = [("a b/G.MP4", k, 190, 330, len(d) // (190 * 330), bytearray(d)) for k, d in pixels.items()]
+    frames = spark.createDataFrame(rows, "video_path string, frame bigint, height int, width int, nChannels int, data binary")
+    assert tables.write_frames(frames, str(folder)) == 2 == tables.write_frames(frames, f"file://{folder}")
+    back = {r.frame: r for r in tables.read_frames(spark, str(folder)).collect()}
+    assert {k: bytes(r.data) for k, r in back.items()} == pixels
+    assert [(r.height, r.width, r.nChannels) for _, r in sorted(back.items())] == [(190, 330, 3), (190, 330, 1)]
+
+
 def test_user_metadata(spark, folder):
     (folder / "m.csv").write_text("video,site_name\n/card/G1.MP4,A\n")
     assert [tuple(r) for r in tables.read_user_metadata(spark, str(folder / "m.csv")).collect()] == [("G1.MP4", "A")]

@@ -61,6 +61,29 @@ def test_area_resize_is_a_mean():
     assert px.area_resize(image(5, 7), 8, 9).shape == (8, 9, 3)
 
 
+@pytest.mark.parametrize("shape, target", [((190, 330), (180, 320)), ((7, 11), (3, 4)), ((5, 5), (8, 9))])
+def test_area_resize_by_parts_of_pixels(shape, target):
+    a = RNG.integers(0, 256, shape).astype(float)
+    sy, sx = shape[0] / target[0], shape[1] / target[1]
+    got = px.area_resize(a, *target)
+    for i, j in [(0, 0), (1, 2), (target[0] - 1, target[1] - 1)]:
+        total = 0.0
+        for y in range(shape[0]):
+            for x in range(shape[1]):
+                tall = max(0.0, min(y + 1, (i + 1) * sy) - max(y, i * sy))
+                wide = max(0.0, min(x + 1, (j + 1) * sx) - max(x, j * sx))
+                total += a[y, x] * tall * wide
+        assert abs(got[i, j] - total / (sy * sx)) <= 0.5 + 1e-6
+
+
+def test_motion_of_frames_that_are_shrunk(spark):
+    a, b = image(190, 330), image(190, 330)
+    small = [px.area_resize(px.grey(x), 180, 320).astype(np.uint8).astype(float) for x in (a, b)]
+    gap = np.abs(small[1] - small[0])
+    got = im.motion_scores(frames_of(spark, ("v", 0, a), ("v", 1, b)).withColumnRenamed("frame", "sample_idx")).first()
+    assert got.motion_score == pytest.approx((gap > 25).mean() * 0.6 + gap.mean() / 255 * 0.3 + gap.max() / 255 * 0.1)
+
+
 def test_features_of_all_pixels_together(spark):
     a, b = image(20, 16), image(20, 16)
     got = im.substrate_features(frames_of(spark, ("v", 0, a), ("v", 1, b))).first()
