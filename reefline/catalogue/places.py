@@ -160,9 +160,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested batch results, one row per video."""
     return (
         inputs.table(spark, sf_dir, "customer")
-        .join(
-            inputs.locations(spark, sf_dir).withColumnRenamed("loc_id", "c_custkey"), "c_custkey"
-        )
+        .selectExpr("*", *inputs.LOCATION_EXPRESSIONS)
         .select(
             F.expr(_PATH).alias("video_path"),
             F.when(F.col("c_custkey") % 9 == 0, F.lit("failed"))

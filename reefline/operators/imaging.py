@@ -1,8 +1,10 @@
 """Frame images: colour and texture features, hashes, motion, crop scores, models.
 
 Frames are rows (video_path, frame, height, width, nChannels, data). Python sees
-one Arrow batch at a time and returns a few numbers per frame; grouping, joining
-and all rules on the numbers stay in Spark.
+one Arrow batch at a time, which Spark bounds by bytes
+(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster says
+otherwise), and returns a few numbers per frame; grouping, joining and all rules
+on the numbers stay in Spark.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -34,17 +36,10 @@ FRAME = ["video_path", "frame"]
 BOXES_TOGETHER = 256
 
 
-
-def bounded_batches(spark: SparkSession, megabytes: int = 64) -> None:
-    """Limit an Arrow batch by bytes: a batch of full-size frames would not fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes * 1024 * 1024))
-
-
 def _per_frame(frames: DataFrame, keys: Sequence[str], measure: Callable, schema: str) -> DataFrame:
     """``measure(image array)`` -> dict, for every frame, beside the keys."""
     names = [*keys, *PIXELS]
     kinds = dict(frames.dtypes)
-    bounded_batches(frames.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -401,7 +396,6 @@ def _crop_scores(crop: np.ndarray) -> tuple[float, float]:
 def crop_scores(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Blue variance and texture of every box, keyed by (video_path, frame, box_id)."""
     joined = frames_with_boxes(frames, boxes)
-    bounded_batches(frames.sparkSession)
     kind = dict(joined.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,7 +441,6 @@ def surface_filter(
 def crops_of_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """(video_path, frame, box_id, height, width, crop): the pixels of every box, blue first; ``crop`` may be empty."""
     joined = frames_with_boxes(frames, boxes)
-    bounded_batches(frames.sparkSession)
     kind = dict(joined.dtypes)
     names = [*FRAME, "box_id", "height", "width", "crop"]
 
