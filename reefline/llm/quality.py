@@ -45,7 +45,7 @@ SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 def shape(word: str) -> str:
     """The word's form: one letter for each run of a kind, other marks as they are."""
     out = []
-    for c in word[:64]:  # a form of 64 letters tells enough
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "o" if c.isalpha() else c
         if not out or out[-1] != kind:
             out.append(kind)

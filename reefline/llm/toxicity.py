@@ -14,7 +14,7 @@ with the highest margin as its witness (multiple-instance learning). A text's
 score is a logistic function of its highest margins, fitted on other texts.
 
 Training reads at most ``MOST_ROWS`` labelled rows of each class, chosen by a hash
-of the id, one of each group of near copies; what reaches the driver is bounded by
+of the id, of each group of near copies the one with the smallest id; what reaches the driver is bounded by
 the constants below. Scoring is a map over all texts.
 
 Cases: null or empty text has no word and gets the score of the lowest margin.
@@ -31,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm.common import folder, remove, ship, slices, written
 from reefline.llm.quality import sampled
 from reefline.llm.substrings import WordHashes, mixed, rolling
+from reefline.operators.ranking import top_rows
 
 ship(__name__)
 
@@ -248,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         run, "doc_id bigint, y int, text string, words array<string>, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
     )
     for p in ("p0", "p1", "p2", "p3"):  # texts that agree on any of four smallest hashes are near copies
-        rows = rows.dropDuplicates([p, "y"])
+        rows = top_rows(rows, [p, "y"], [F.col("doc_id"), F.xxhash64("text")])
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
     rows = written(rows.select("doc_id", "y", "text", "words", (part == 0).alias("fits")), where)
     learn = rows.filter(~F.col("fits"))
@@ -285,6 +287,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                     yield pa.record_batch([piece.column("y"), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(m[:, 2])], names=["y", "m1", "m2", "n"])
 
         got = rows.filter("fits").select("y", "text").mapInArrow(margins, "y int, m1 double, m2 double, n double").collect()
+        got.sort(key=tuple)  # sums do not depend on the order of partitions
         x = np.array([[r["m1"], r["m2"], r["n"]] for r in got]).reshape(-1, 3)
         model["curve"] = logistic(x, np.array([r["y"] for r in got], dtype=float)) if len(got) else np.array([4.0, 0.0, 0.0, 0.0])
     remove(spark, where)
@@ -294,16 +297,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents with ``score``: how likely they are toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select(
-        F.struct(*[c for c in docs.columns if c != "score"]).alias("rest"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    held = docs.select(F.struct(*[c for c in docs.columns if c != "score"]).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         scorer = Scorer(own) if own is not None else None
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            text = pc.fill_null(pc.struct_field(batch.column("rest"), "text").cast(pa.string()), "")
+            for part in slices(pa.record_batch([batch.column("rest"), text], names=["rest", "text"]), "text", SLICE_BYTES):
                 scores = np.zeros(part.num_rows)
                 if scorer is not None:
                     x = np.c_[scorer.texts(part.column("text").to_pylist()), np.ones(part.num_rows)]

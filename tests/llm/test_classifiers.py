@@ -35,6 +35,77 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
 
 
+def test_toxicity_training_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n + 2)) for n in (3, 10))
+    assert all(np.array_equal(one[k], two[k]) for k in ("place", "weight", "bias", "curve"))
+
+
+def test_a_words_form_is_that_of_the_whole_word():
+    assert quality.shape("Ab" + "c" * 500 + "99-xY") == "Aa9-aA"
+
+
+def features_by_hand(text):
+    """Places and counts of words, forms and their pairs, one by one."""
+    import xxhash
+
+    def high(x):
+        return x * int(quality.SALTS[1]) % 2**64 >> 64 - quality.BITS
+
+    words = text.split()
+    hashes = [xxhash.xxh3_64_intdigest(w.lower()) for w in words]
+    forms = [xxhash.xxh3_64_intdigest("\0" + quality.shape(w)) for w in words]
+    forms = [f if k == 0 or hashes[k] != hashes[k - 1] else (f + 0x51ED270B) % 2**64 for k, f in enumerate(forms)]
+    salts = [int(x) for x in quality.SALTS]
+    found = [high(h * salts[0] % 2**64) for h in hashes] + [high(f * salts[1] % 2**64) for f in forms]
+    for values, salt in ((hashes, salts[2]), (forms, salts[3])):
+        found += [high((a * salt % 2**64) ^ (b * salts[0] % 2**64)) for a, b in zip(values, values[1:])]
+    weight = {p: np.log1p(found.count(p)) for p in found}
+    size = sum(w * w for w in weight.values()) ** 0.5
+    return {p: w / size for p, w in weight.items()}
+
+
+def test_features_and_scores_against_brute_force(spark):
+    texts = ["One two TWO two.", "x", "a1 b2 a1 b2 " * 20, "é ß\tÉ  Ω9"]
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=1 << quality.BITS)
+    for text in texts:
+        place, weight = quality.Features()(text)
+        assert dict(zip(place.tolist(), weight)) == pytest.approx(features_by_hand(text))
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, (w, 0.25)).collect()}
+    for k, text in enumerate([*texts, "", ""]):
+        total = sum(w[p] * v for p, v in features_by_hand(text).items()) + 0.25 if text else 0.25
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-5)
+
+
+def test_ftrl_against_its_formula():
+    """Two features, three rows, one pass, step by step."""
+    rows = [(np.array([3]), np.array([1.0]), 1), (np.array([3, 9]), np.array([0.6, 0.8]), 0), (np.array([9]), np.array([1.0]), 1)]
+    z, n = {}, {}
+    share = {1: 3 / 4, 0: 3 / 2}
+
+    def solve(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for r in np.random.default_rng(7).permutation(3):
+        place, value, y = rows[r]
+        # the bias is a feature of value 1 (its own step is not scaled by 8)
+        parts = [(int(k), 8 * v) for k, v in zip(place, value)] + [("bias", 1.0)]
+        weights = {k: solve(k) for k, _ in parts}
+        p = 1 / (1 + np.exp(-sum(weights[k] * v for k, v in parts)))
+        for k, v in parts:
+            g = (p - y) * share[y] * v
+            after = n.get(k, 0.0) + g * g
+            z[k] = z.get(k, 0.0) + g - (after**0.5 - n.get(k, 0.0) ** 0.5) / quality.ALPHA * weights[k]
+            n[k] = after
+    w, bias = quality.ftrl(rows, epochs=1)
+    assert {k: w[k] for k in (3, 9)} == pytest.approx({k: 8 * solve(k) for k in (3, 9)})
+    assert bias == pytest.approx(solve("bias")) and np.count_nonzero(w) == 2
+
+
 def test_ftrl_learns_a_linear_rule():
     rng = np.random.default_rng(0)
     rows = []
