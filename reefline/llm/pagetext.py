@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. Pass one decides each block by
 itself: stop-word density, length and link density, the element it lies in
 (navigation, forms, asides and the like are never main text) and the names that
-``class``, ``id`` and ``role`` give that element. Short blocks stay open. In pass
+``class``, ``id`` and ``role`` give that element; such names are set aside where
+nothing else would be left. In scripts without spaces frequent characters count
+in place of stop words. Short blocks stay open. In pass
 two an open block takes the label of the nearest decided block, first of its own
 article. On a page with an ``article`` or ``main`` element, blocks outside it are
 not main text; inside it length alone can stand for stop words. That does not hold
@@ -63,14 +65,25 @@ MANY_STOP_WORDS, SOME_STOP_WORDS = 0.30, 0.15
 LONG, SHORT = 100, 70
 MANY_LINKS = 0.33
 
+# What stands between a tag's name and its end: names, each with a value in quotes or up to white space. A stray quote is a
+# name, a quote that is never closed belongs to its value.
+INSIDE_TAG = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</""",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({INSIDE_TAG})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</",
     re.S | re.I,
 )
 HAS_PARSED = re.compile(rf"<(?:{'|'.join(sorted(PARSED))})\b", re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+TELLING = frozenset("class id role hidden aria-hidden".split())
+# Parts of names that say what a container has, lacks or is about, not what it is.
+SAYS_HAS = frozenset("has have with without no not is show hide".split())
+CONTENT = frozenset("article post entry content story body text page".split())
+# Characters that stand in most sentences of languages written without spaces.
+COMMON_CHARACTERS = frozenset("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之のにはをたがでてとしれさいるもなか")
+UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+MANY_COMMON, SOME_COMMON, WIDE = 0.12, 0.05, 2.5  # shares of such characters; letters that one character stands for
 WORD = re.compile(r"[^\W\d_]+")
+ROOT = ("", False, False, 0)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -79,28 +92,49 @@ class Block:
     text: str
     links: float  # share of the letters inside links
     outside: bool
+    named: bool  # outside by class, id or role alone
     article: int  # number of the article it lies in, 0 for none
     heading: bool
     label: str = "open"
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no main text by its kind or its names."""
+def by_element(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is no main text by its kind, or because it is hidden."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    if tag == "article":  # whole names only: articles list their topics here
-        return any(not NAMES.isdisjoint("".join(values).lower().split()) for _, *values in ATTRIBUTE.findall(attributes))
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-            return True
-        if not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and "".join(values).lower() == "true"):
             return True
     return False
 
 
+def by_name(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether class, id or role name an element as no main text."""
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() not in TELLING:
+            continue
+        for word in "".join(values).lower().split():
+            # whole names only: articles list their topics here
+            if word in NAMES or (tag != "article" and _names_boilerplate(word, in_article)):
+                return True
+    return False
+
+
+def _names_boilerplate(word: str, in_article: bool) -> bool:
+    """``main-nav``, ``comment-list`` and ``site-header-wrap`` are boilerplate; ``has-sidebar`` says what the element
+    has, and ``article-share-count`` or ``entry-header`` belong to the article."""
+    parts = [p for p in re.split(r"[^a-z]+", word) if p]
+    if not parts or parts[0] in SAYS_HAS:
+        return False
+    if parts[0] in CONTENT:
+        return len(parts) > 1 and parts[-1] in NAMES
+    return not NAMES.isdisjoint(parts) or (not in_article and "header" in parts)
+
+
 def closed(page: str) -> dict[int, int]:
     """Where each closed parsed element starts and ends."""
     out: dict[int, int] = {}
@@ -125,7 +159,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = depth_a = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, inside boilerplate, article
+    # open elements: name, inside boilerplate by kind, by name, article
+    stack: list[tuple[str, bool, bool, int]] = []
     articles = 0
     heading = False
 
@@ -133,8 +168,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(text, min(1.0, linked / len(text)), outside, article, heading))
+            _, kind, name, article = stack[-1] if stack else ROOT
+            out.append(Block(text, min(1.0, linked / len(text)), kind or name, name and not kind, article, heading))
         parts.clear()
         linked = 0
 
@@ -164,10 +199,13 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "a":
             depth_a = 0 if m[2] else 1
         if tag not in BLOCK:
-            if not m[2] and tag not in VOID and tag in ("span", "button", "label", "ins") and boilerplate(tag, m[4], False):
+            if not m[2] and tag not in VOID and tag in ("span", "button", "label", "ins") and (
+                by_element(tag, m[4], False) or by_name(tag, m[4], False)
+            ):
                 end_block()
-                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                stack.append((tag, True, article))
+                _, kind, name, article = stack[-1] if stack else ROOT
+                kind = kind or by_element(tag, m[4], False)
+                stack.append((tag, kind, name or by_name(tag, m[4], False), article))
             elif m[2] and any(s[0] == tag for s in stack):
                 end_block()
                 while stack.pop()[0] != tag:
@@ -183,34 +221,47 @@ def blocks_of(page: str) -> list[Block]:
         elif tag not in VOID:
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()  # these end where the next one starts
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            _, kind, name, article = stack[-1] if stack else ROOT
             if tag in MAIN and not article:
                 articles += 1
                 article = articles
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            stack.append((tag, outside or boilerplate(tag, m[4], article > 0), article))
+            kind = kind or by_element(tag, m[4], article > 0)
+            stack.append((tag, kind, name or by_name(tag, m[4], article > 0), article))
     if at < len(page):
         take(page[at:])
     end_block()
     return out
 
 
+def density(text: str) -> tuple[float, bool, bool]:
+    """A block's size in letters, and whether many or some of its words are stop words.
+
+    Where most letters belong to scripts without spaces, characters take the place of words.
+    """
+    unspaced = len(UNSPACED.findall(text))
+    if unspaced * 2 > len(text):
+        common = sum(c in COMMON_CHARACTERS for c in text) / unspaced
+        return len(text) + unspaced * (WIDE - 1), common >= MANY_COMMON, common >= SOME_COMMON
+    words = WORD.findall(text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return len(text), stops >= MANY_STOP_WORDS, stops >= SOME_STOP_WORDS
+
+
 def decide_alone(b: Block, page_has_article: bool) -> str:
     """Pass one: the label of a block by itself."""
     if b.outside or b.links > MANY_LINKS or (page_has_article and not b.article):
         return "bad"
-    size = len(b.text)
-    words = WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    size, many, some = density(b.text)
     if b.article:
-        return "good" if size >= SHORT or stops >= MANY_STOP_WORDS else "open"
+        return "good" if size >= SHORT or many else "open"
     if b.heading or (size < SHORT and "©" not in b.text):
         return "open" if b.links == 0 else "bad"
     if "©" in b.text and size < LONG:
         return "bad"
-    if stops >= MANY_STOP_WORDS:
+    if many:
         return "good" if size >= LONG else "near"
-    return "near" if stops >= SOME_STOP_WORDS else "bad"
+    return "near" if some else "bad"
 
 
 def decide_by_neighbours(blocks: list[Block]) -> None:
@@ -248,7 +299,15 @@ def decide_by_neighbours(blocks: list[Block]) -> None:
 
 
 def classify(page: str) -> list[Block]:
-    blocks = blocks_of(page)
+    """The labelled blocks of a page. Names alone do not empty a page: then they are set aside."""
+    blocks = weighed(blocks_of(page))
+    if not any(b.label == "good" for b in blocks) and any(b.named for b in blocks):
+        freed = weighed([replace(b, outside=b.outside and not b.named) for b in blocks])
+        return freed if any(b.label == "good" for b in freed) else blocks
+    return blocks
+
+
+def weighed(blocks: list[Block]) -> list[Block]:
     has_article = any(b.article and not b.outside for b in blocks)
     decide(blocks, has_article)
     if has_article and any(not b.article and not b.outside for b in blocks):

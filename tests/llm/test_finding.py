@@ -237,6 +237,38 @@ def test_awkward_pages(spark):
     assert pagetext.extract(pages.limit(0)).count() == 0
 
 
+SENTENCE = "The people of the town were at the market and they had all that was in it for the day. "
+CHINESE = "我们在这个城市里生活了很多年，他们也都是我的朋友，所以今天大家要一起去看那一座新的桥。"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><p class="a"">Hello "world" of the people and it is what they were in.' + SENTENCE * 2 + "</p><p>" + SENTENCE * 2 + "</p>", "Hello"),
+        ("<body><article><p title='it's'>" + SENTENCE * 2 + "</p></article>", "The people"),
+        ('<body><div class="post has-sidebar"><p>' + SENTENCE * 2 + "</p></div>", "The people"),
+        ('<body><div class="article-share-count"><p>' + SENTENCE * 2 + "</p></div>", "The people"),
+        ('<body><div class="widget"><p>' + SENTENCE * 2 + "</p></div>", "The people"),  # a name alone does not empty a page
+        ("<body><div><p>" + CHINESE * 3 + "</p><p>" + CHINESE * 4 + '</p></div><div><a href="/">首页</a> <a href="/b">目录</a></div>', "我们"),
+    ],
+)
+def test_text_that_stays(page, want):
+    found = main_text(page)
+    assert found.startswith(want) and "目录" not in found
+    assert found.count("market") == page.count("market") and found.count("城市") == page.count("城市")
+
+
+@pytest.mark.parametrize("name", ["site-header-wrap", "main-nav", "comment-list", "sidebar-left", "post-comments", "cookie-banner", "related"])
+def test_names_of_what_goes(name):
+    page = f'<body><div class="{name}"><p>Gone. {SENTENCE * 2}</p></div><div class="entry-header"><p>Kept. {SENTENCE * 2}</p></div><p>{SENTENCE * 2}</p>'
+    assert main_text(page).startswith("Kept.") and "Gone" not in main_text(page)
+
+
+def test_tags_are_read_as_browsers_read_them():
+    page = f"""<body><div data-x='a > b' class = "main" hidden-not ="x" =odd="1"/ ><p>{SENTENCE * 2}</p></div><p class="x>{SENTENCE}"""
+    assert main_text(page) == " ".join((SENTENCE * 3).split())  # a quote that is never closed takes no text with it
+
+
 # secrets
 
 
