@@ -104,12 +104,14 @@ def maxn_wide(
 ) -> DataFrame:
     """One row per video: a column per label, the total and the number of labels seen.
 
-    Give ``labels`` for a fixed schema; otherwise Spark finds the distinct labels.
+    Give ``labels`` for a fixed schema; otherwise the distinct labels become the
+    columns, however many there are (a schema is known to the driver in any case).
+    Rows without a label count for nothing.
     """
-    per_label = maxn.groupBy(key, "label").agg(F.max("n").alias("n"))
-    pivot = per_label.groupBy(key)
-    pivot = pivot.pivot("label", list(labels)) if labels is not None else pivot.pivot("label")
-    wide = pivot.agg(F.max("n"))
+    per_label = maxn.filter(F.col("label").isNotNull()).groupBy(key, "label").agg(F.max("n").alias("n"))
+    if labels is None:
+        labels = [r["label"] for r in per_label.select("label").distinct().orderBy("label").collect()]
+    wide = per_label.groupBy(key).pivot("label", list(labels)).agg(F.max("n"))
     names = [c for c in wide.columns if c != key]
     columns = metric_columns("maxn_", names)
     wide = wide.select(
