@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from reefline.llm.common import folder, remove
 
 KEY = ["h1", "h2"]
+NOTES = "notes"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,6 +55,9 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.repeats: list[str] = []
         self.names: list[str] = []
+        self.version = 0
+        self.keeps = False  # whether runs that were replaced stay until the next save
+        self.stale: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -67,6 +71,37 @@ class LineRuns:
         self.names.append(name)
         return name
 
+    def save(self) -> None:
+        """Note the runs there are, as a new version beside the earlier ones."""
+        rows = [(level, name) for level, names in enumerate(self.levels) for name in names]
+        rows += [(-1, name) for name in self.repeats]
+        noted = self.spark.createDataFrame(rows, "level int, name string")
+        noted = noted.withColumns({"buckets": F.lit(self.buckets), "fan_in": F.lit(self.fan_in)})
+        self.version += 1
+        noted.coalesce(1).write.mode("overwrite").parquet(f"{self.where}/{NOTES}/version={self.version}")
+        stale, self.stale, self.keeps = self.stale, [], True
+        for name in stale:  # no saved version needs them any more
+            self._delete(name)
+
+    @classmethod
+    def open(cls, spark: SparkSession, where: str) -> LineRuns:
+        """The runs as the last saved version has them. Tables that this session does not know are declared again."""
+        noted = spark.read.schema("level int, name string, buckets int, fan_in int, version int").parquet(f"{where}/{NOTES}")
+        last = noted.agg(F.max("version")).first()[0]
+        rows = noted.filter(F.col("version") == last).orderBy("name").collect()  # a logarithmic number of runs
+        found = cls(spark, where, rows[0]["buckets"], rows[0]["fan_in"])
+        found.version, found.keeps = last, True
+        found.levels = [[] for _ in range(1 + max(0, *[r["level"] for r in rows]))]
+        for r in rows:
+            if not spark.catalog.tableExists(r["name"]):
+                spark.sql(
+                    f"CREATE TABLE {r['name']} (h1 BIGINT, h2 BIGINT, n_docs BIGINT, last_doc BIGINT) USING parquet "
+                    f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {found.buckets} BUCKETS LOCATION '{where}/{r['name']}'"
+                )
+            found.names.append(r["name"])
+            (found.repeats if r["level"] < 0 else found.levels[r["level"]]).append(r["name"])
+        return found
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(n) for level in self.levels for n in level]
 
@@ -108,9 +143,15 @@ class LineRuns:
             self._drop(name)
 
     def _drop(self, name: str) -> None:
+        self.names.remove(name)
+        if self.keeps:
+            self.stale.append(name)
+        else:
+            self._delete(name)
+
+    def _delete(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, f"{self.where}/{name}")
-        self.names.remove(name)
 
     def common(self, min_docs: int) -> DataFrame:
         """Keys in at least ``min_docs`` documents, with the largest doc_id."""
@@ -128,6 +169,7 @@ class LineRuns:
 
     def close(self) -> None:
         """Forget the tables' names and delete their files."""
+        self.keeps = False
         for name in list(self.names):
             self._drop(name)
         remove(self.spark, self.where)
@@ -151,6 +193,23 @@ def batch_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def deliver(docs: DataFrame, where: str, first: bool, min_docs: int = 3, min_chars: int = 20, fan_in: int = 3) -> DataFrame:
+    """Add a delivery of documents to the runs in ``where`` (begin them if ``first``); the keys to drop by now.
+
+    Deliveries hold different documents: one that is added twice counts twice. A
+    delivery that failed before it was saved may be added again.
+    """
+    spark = docs.sparkSession
+    runs = LineRuns(spark, where, int(spark.conf.get("spark.sql.shuffle.partitions")), fan_in) if first else LineRuns.open(spark, where)
+    plain = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    runs.keeps = True
+    runs.add(batch_keys(plain, min_chars).repartition(runs.buckets, *KEY))
+    runs.save()
+    return runs.common(min_docs)
+
+
 def common_lines(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fan_in: int) -> DataFrame:
     """Feed the documents to the runs batch by batch; the keys to drop as a written table."""
     spark = docs.sparkSession

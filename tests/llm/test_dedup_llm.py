@@ -55,6 +55,36 @@ def test_runs_keep_every_key_once_and_find_fresh_keys(spark):
     runs.close()
 
 
+def test_deliveries_reopen_the_levels(spark):
+    """Each delivery comes in a session that knows no table; one fails before it is saved and comes again."""
+    from reefline.llm.common import folder
+
+    rng = random.Random(7)
+    pool = [f"line number {k} with some more words" for k in range(15)]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.randint(1, 4)))) for k in range(60)]
+    where = folder(spark, "test-deliveries")
+    for start in range(0, 60, 10):
+        for t in spark.catalog.listTables():
+            if t.name.startswith("line_run_"):
+                spark.sql(f"DROP TABLE {t.name}")
+        part = spark.createDataFrame(rows[start : start + 10], "doc_id long, text string")
+        if start == 30:
+            lost = linededup.LineRuns.open(spark, where)
+            lost.add(linededup.batch_keys(part, 20))
+            before = lost.version
+        common = linededup.deliver(part, where, first=start == 0, fan_in=2)
+        seen = {}
+        for doc_id, text in rows[: start + 10]:
+            for line in text.split("\n"):
+                seen.setdefault(line, set()).add(doc_id)
+        want = sorted((len(v), max(v)) for v in seen.values() if len(v) >= 3)
+        assert sorted((r.n_docs, r.last_doc) for r in common.collect()) == want
+    runs = linededup.LineRuns.open(spark, where)
+    assert runs.version == 6 > before and len(runs.levels) > 1
+    assert sum(r.count() for r in runs.runs()) == len(seen)
+    runs.close()
+
+
 def test_lines_of_awkward_rows(spark):
     for docs in (documents(spark), clashing(spark)):
         rows = linededup.drop_common_lines(docs).collect()
