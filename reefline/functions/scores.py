@@ -1,4 +1,7 @@
-"""Bands, labels and probabilities computed from numbers already in the row."""
+"""Bands, labels and probabilities computed from numbers already in the row.
+
+The limits and weights of these rules are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -182,7 +182,7 @@ VOTE_ORDER = ["sand", "rock", "coral", "seagrass", "unknown"]
 
 
 def substrate_votes(colours: DataFrame, video: Sequence[str] = ("video_path",)) -> DataFrame:
-    """Most voted substrate per video and its share of the frames."""
+    """Most voted substrate per video and its share of the frames. Limits are fixed values."""
     hue, sat, std = F.col("hue"), F.col("saturation"), F.col("grey_std")
     vote = (
         F.when((sat < 50) & (std < 30), F.lit("sand"))
@@ -204,7 +204,7 @@ def substrate_votes(colours: DataFrame, video: Sequence[str] = ("video_path",))
 
 
 def substrate_by_rules(features: DataFrame) -> DataFrame:
-    """Substrate and confidence from the features; ``motion_magnitude`` may be null."""
+    """Substrate and confidence from the features; ``motion_magnitude`` may be null. Limits and confidences are fixed values."""
     sat, val, hue = (F.col(f"mean_{c}") for c in ("saturation", "value", "hue"))
     texture, edge, rough = (F.col(c) for c in ("texture_variance", "edge_density", "surface_roughness"))
     moving = F.coalesce("motion_magnitude", F.lit(0.0))

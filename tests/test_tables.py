@@ -18,6 +18,7 @@ def plain(df, *order):
 
 def test_maxn_of_one_video(rows):
     path = "2020_RS_004/100GOPRO/GH044053.MP4"
+    # Detections of one published video.
     found = [
         (732, "02:26:40", 0), (733, "02:26:60", 0), (734, "02:26:80", 0), (737, "02:27:40", 0), (738, "02:27:60", 0),
         (2481, "08:16:20", 1), (2483, "08:16:60", 1), (2484, "08:16:80", 1), (2532, "08:26:40", 2), (2533, "08:26:60", 2),
