@@ -95,13 +95,17 @@ def _probes(places: DataFrame, band: float) -> DataFrame:
     return places.withColumn("cx", F.explode(span("lat"))).withColumn("cy", F.explode(span("lon")))
 
 
-def _near(band: float) -> Column:
-    return (F.abs(-F.col("hit.nlat") - F.col("lat")) < band) & (F.abs(-F.col("hit.nlon") - F.col("lon")) < band)
+def _near(band: float, hit: Column | None = None) -> Column:
+    hit = F.col("hit") if hit is None else hit
+    return (F.abs(-hit["nlat"] - F.col("lat")) < band) & (F.abs(-hit["nlon"] - F.col("lon")) < band)
 
 
 def _best_of_sparse(places: DataFrame, rows: DataFrame, band: float) -> DataFrame:
-    """``lat, lon, source, hit``: each place looks at all rows of its cells."""
-    return _probes(places, band).join(rows, ["cx", "cy"]).filter(_near(band)).groupBy(*HIT).agg(F.max("hit").alias("hit"))
+    """``lat, lon, source, hit``: each place looks through the rows of its cells, best first (``LEAF_ROWS`` at most)."""
+    cells = rows.groupBy("cx", "cy", "source").agg(F.sort_array(F.collect_list("hit"), asc=False).alias("hits"))
+    first = F.get(F.filter("hits", lambda h: _near(band, h)), F.lit(0))
+    found = _probes(places, band).join(cells, ["cx", "cy"]).withColumn("hit", first).filter(F.col("hit").isNotNull())
+    return found.groupBy(*HIT).agg(F.max("hit").alias("hit"))
 
 
 def _best_of_crowded(places: DataFrame, rows: DataFrame, band: float, depth: int) -> DataFrame:
