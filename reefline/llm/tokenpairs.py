@@ -103,8 +103,8 @@ class Tokenizers:
     def units(self, text: str) -> list[str]:
         text = " " + text
         units = UNITS.findall(text) if self.cuttable else [text]
-        # trailing white space is a unit of its own only if it starts with a space
-        if len(units) > 1 and units[-1].isspace() and units[-1][0] != " ":
+        # B's library encodes nothing for the empty text, which a lone trailing space would be
+        if len(units) > 1 and units[-1].isspace():
             units[-2:] = ["".join(units[-2:])]
         return units
 

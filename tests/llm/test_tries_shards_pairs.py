@@ -251,6 +251,13 @@ def test_alignment_against_the_libraries(spark, models, by_hand, monkeypatch):
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in rows if r.n_a)
 
 
+@pytest.mark.parametrize("text", ["x ", "a b ", " x ", "été ", "a\t "])
+def test_alignment_of_a_text_that_ends_in_one_space(spark, models, by_hand, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(repr(r.doc_id), *[r[c] for c in COLUMNS]) for r in tokenpairs.aligned(docs, *models).collect()]
+    assert got == by_hand([(1, text)]) and got[0][1] > 0
+
+
 def test_alignment_of_the_given_texts(spark, models, by_hand):
     from reefline.llm.queries import op13_token_alignment
 
