@@ -13,7 +13,7 @@ from reefline.catalogue import inputs
 from reefline.catalogue.registry import query
 from reefline.operators import dedup
 from reefline.operators import imaging as im
-from reefline.session import checkpoint_root
+from reefline.session import checkpoint_root, spread
 from reefline.sources import tables
 
 ROWS, COLS = 8, 9
@@ -36,6 +36,8 @@ def frames(
 ) -> DataFrame:
     """One 8 x 9 frame per vector, as rows of the ``image`` source look; ``enlarge`` makes squares of its pixels."""
     vectors = inputs.table(spark, sf_dir, "embeddings")
+    if enlarge > 1:  # a few vectors make very many pixels, so their rows are spread first
+        vectors = vectors.repartition(spread(spark), "vec_id")
     levels = F.transform(
         "embedding",
         lambda x: F.floor(

@@ -1,6 +1,7 @@
 """Pixel functions against plain loops, and the image operators."""
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -304,3 +305,27 @@ def test_forest_learns_a_simple_rule(spark):
     assert {r.label for r in report} == {"sand", "rock"} and report[0].accuracy > 0.85
     with pytest.raises(ValueError):
         sm.train(rows.limit(3), trees=1)
+
+
+def test_flows_of_many_pairs_are_those_of_each():
+    frames = [scene(k, 2 * k) for k in range(5)]
+    together = px.flows(np.stack(frames[:-1]), np.stack(frames[1:]))
+    assert together.shape == (4, 130, 2)
+    for k, moved in enumerate(together):
+        assert np.array_equal(moved, px.flow(frames[k], frames[k + 1]))
+
+
+def test_large_frames_shrink_one_axis_at_a_time_and_halves_round_to_even():
+    start = time.perf_counter()
+    for _ in range(20):
+        px.difference_bits(image(320, 360))
+    assert (time.perf_counter() - start) / 20 < 0.03
+    a = np.array([[0, 1, 2, 3, 4, 5]] * 3, np.uint8)
+    assert px.area_resize(a, 1, 3).tolist() == [[0, 2, 4]]
+
+
+def test_large_frames_are_made_in_many_tasks(spark):
+    from reefline.catalogue.pictures import frames
+    from reefline.session import spread
+
+    assert frames(spark, "/root/testdata/sf0.001", enlarge=2).rdd.getNumPartitions() >= spread(spark)
