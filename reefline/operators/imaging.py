@@ -24,6 +24,7 @@ from reefline.functions import pixels as px
 from reefline.functions.names import UNCLASSIFIABLE
 from reefline.functions.scores import surface_probability
 from reefline.operators.ranking import top_rows
+from reefline.session import spread
 
 # The functions below travel to the executors whole: the package need not be installed there.
 cloudpickle.register_pickle_by_value(px)
@@ -34,6 +35,8 @@ FRAME = ["video_path", "frame"]
 
 # Boxes of one frame travel to Python in groups of about this many.
 BOXES_TOGETHER = 256
+# The flow of frame pairs of one size is found together, for about this many pixels.
+FLOW_PIXELS = 100_000
 
 
 def _per_frame(frames: DataFrame, keys: Sequence[str], measure: Callable, schema: str) -> DataFrame:
@@ -335,13 +338,18 @@ def flow_magnitudes(frames: DataFrame, video: str = "video_path", index: str = "
 
     @F.pandas_udf("double")
     def length(a: pd.Series, b: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        found = []
-        for x, y, h, w in zip(a, b, height, width, strict=True):
-            old, new = (np.frombuffer(v, np.uint8).reshape(h, w).astype(np.float64) for v in (x, y))
-            found.append(float(np.hypot(*px.flow(old, new).T).mean()))
+        found = np.zeros(len(a))
+        for (h, w), at in pd.DataFrame({"h": height, "w": width}).groupby(["h", "w"]).indices.items():
+            together = max(1, FLOW_PIXELS // (h * w))
+            for part in np.split(at, range(together, len(at), together)):
+                old, new = (np.stack([np.frombuffer(x, np.uint8) for x in s.iloc[part]]).reshape(-1, h, w).astype(np.float64) for s in (a, b))
+                found[part] = [np.hypot(*moved.T).mean() for moved in px.flows(old, new)]
         return pd.Series(found, dtype="float64")
 
-    return plain.join(before, [video, index, "height", "width"]).select(
+    # both sides in fixed parts: the pairs are few bytes, but each takes milliseconds
+    keys = [video, index, "height", "width"]
+    parts = spread(frames.sparkSession)
+    return plain.repartition(parts, *keys).join(before.repartition(parts, *keys), keys).select(
         video, index, length("before", "grey", "height", "width").alias("flow")
     )
 
