@@ -280,3 +280,42 @@ def test_empty_files_are_listed(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.length for r in tables.list_files(spark, str(tmp_path), "*jpg").collect()}
     assert got == {"13-b.jpg": 0, "14-a b%c.jpg": 2}
     assert {r.track_id for r in tables.read_label_names(spark, str(tmp_path)).collect()} == {13, 14}
+
+
+def test_history_is_kept_without_python_rows(spark, rows):
+    events = spark.createDataFrame([], incremental.EVENTS).selectExpr("*", "0L AS batch")
+    plan = incremental.keep_history(events)._jdf.queryExecution().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_verdict_counts_from_the_suggestion_on(spark, folder, rows):
+    source, state, progress = (str(folder / n) for n in ("in", "state", "cp"))
+    schema = "collection string, bruv_station string, video_id string, track_id bigint, time_ms bigint, confidence double, true_detection string, species string"
+
+    def run(*data):
+        rows(schema, *data).coalesce(1).write.mode("append").parquet(source)
+        incremental.update_history_state(incremental.new_files(spark, source, rows(schema, data[0]).schema), state, progress)
+        return [(r.track_id, r.outcome, r.validated_species, r.validated_as_true) for r in incremental.read_history_state(spark, state).collect()]
+
+    voter = ("c", "s", "v", 1, 0, 0.9, "true", "x")
+    assert run(("c", "s", "v", 2, 10, 0.5, "false", "")) == []
+    assert run(voter, ("c", "s", "v", 2, 10, 0.5, "", "")) == [(2, "pending", None, None)]
+    assert run(("c", "s", "v", 2, 10, 0.5, "true", "X ")) == [(2, "correct", "X", True)]
+    assert {(r.batch, r.track_id) for r in incremental.read_history_changes(spark, state).collect()} == {(1, 2), (2, 2)}
+
+
+def test_text_files_are_written_in_place(spark, folder):
+    texts = spark.range(300).selectExpr("concat(id % 7, '/', id, '.txt') AS path", "concat('a: ', id, chr(10), 'b: é') AS value")
+    assert tables.write_texts(texts.repartition(3), str(folder / "t")) == 300
+    found = tables.read_metadata_text(spark, f"{folder}/t/*").selectExpr("source_file", "metadata['a'] AS a", "metadata['b'] AS b").collect()
+    assert sorted(int(r.a) for r in found) == list(range(300)) and {r.b for r in found} == {"é"}
+    assert all(r.source_file.endswith(f"/{int(r.a) % 7}/{r.a}.txt") for r in found)
+
+
+def test_csv_files_hold_a_bounded_number_of_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "CSV_ROWS", 10)
+    for k, write in enumerate((lambda d, p: tables.append_table(d, p, "csv"), lambda d, p: tables.write_table(d, p, "csv"))):
+        path = f"{folder}/{k}"
+        write(spark.range(35).coalesce(1).selectExpr("id AS frame", "'v' AS video_path"), path)
+        assert len(tables.list_files(spark, path, "*.csv").collect()) == 4
+        assert sorted(r.frame for r in tables.read_detections(spark, path).collect()) == list(range(35))
