@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.names import blank
 from reefline.operators.ranking import null_safe_join, top_rows
+from reefline.session import spread
 
 DAY = 86_400
 
@@ -189,45 +190,74 @@ def _touches(cell: Column, at: Column, size: float, band: float) -> Column:
 SHORT_NAME = 40
 
 
-def deletion_forms(names: DataFrame, text: str, most: int) -> DataFrame:
-    """``_form`` (a hash) of every way to take up to ``most`` letters out of ``text``, beside the other columns.
+def _needed(lengths: DataFrame, others: DataFrame, most: int) -> DataFrame:
+    """``_size, _need``: how many letters to take out of a text of a length to meet the lengths of the other side."""
+    near = others.select(F.col("_size").alias("_other"), F.explode(F.sequence(F.col("_size") - most, F.col("_size") + most)).alias("_size"))
+    out = F.lit(most) - F.greatest(F.lit(0), F.col("_other") - F.col("_size"))
+    # a row for each length up to a short name's
+    return lengths.join(F.broadcast(near.join(F.broadcast(lengths), "_size").groupBy("_size").agg(F.collect_set(out).alias("_need"))), "_size")
 
-    Letters go from left to right, so each choice of places is made once: a text
-    of n letters has at most n choose ``most`` forms with that many letters out.
+
+def deletion_forms(names: DataFrame, text: str, most: int, need: Column | None = None) -> DataFrame:
+    """``_form`` (a hash) of every way to take letters out of ``text``, beside the other columns.
+
+    ``need`` lists how many letters are taken out (up to ``most``), by default
+    every number from 0. Of a text with fewer letters, all go. Letters go from
+    left to right, so each choice of places is made once: a text of n letters has
+    at most n choose k forms with k letters out.
     """
-    start = F.array(F.struct(F.col(text).alias("left"), F.lit(1).alias("at")))
+    need = F.array(*[F.lit(k) for k in range(most + 1)]) if need is None else need
+    size = F.length(F.col(text))
+    none = F.array().cast("array<struct<left: string, at: int>>")
 
     def cut(form: Column) -> Column:
         left, at = form["left"], form["at"]
         places = F.when(at <= F.length(left), F.sequence(at, F.length(left))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(F.concat(F.left(left, i - 1), F.substr(left, i + 1)).alias("left"), i.alias("at")))
 
-    levels = names.withColumn("_level0", start)
+    wanted = F.transform(need, lambda k: F.least(k, F.col("_letters")))
+    levels = names.withColumn("_letters", size).withColumn("_wanted", wanted).withColumn("_level0", F.array(F.struct(F.col(text).alias("left"), F.lit(1).alias("at"))))
     for k in range(most):
-        levels = levels.withColumn(f"_level{k + 1}", F.flatten(F.transform(f"_level{k}", cut)))
-    forms = F.array_distinct(F.transform(F.concat(*[f"_level{k}" for k in range(most + 1)]), lambda f: F.xxhash64(f["left"])))
+        deeper = F.flatten(F.transform(f"_level{k}", cut))
+        levels = levels.withColumn(f"_level{k + 1}", F.when(F.array_max("_wanted") > k, deeper).otherwise(none))
+    kept = [F.when(F.array_contains("_wanted", F.lit(k)), F.col(f"_level{k}")).otherwise(none) for k in range(most + 1)]
+    forms = F.array_distinct(F.transform(F.concat(*kept), lambda f: F.xxhash64(f["left"])))
     return levels.select(*names.columns, F.explode(forms).alias("_form"))
 
 
 def near_names(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """Pairs of ``_low`` texts and listed names (``_name_low`` and more) at most ``most`` edits apart, with ``_distance``.
 
-    Two texts at most k edits apart share a form with at most k letters out of
-    each, so texts and names meet by the hashes of such forms. Only names of
-    about the typed letters meet, whatever the number of names of that length.
+    Two texts at most k edits apart have a common form: the shorter with k
+    letters less their difference in length out, the longer with k. So texts and
+    names meet by the hashes of such forms, made only for lengths that the other
+    side has. Only names of about the typed letters meet, whatever the number of
+    names of that length. Equal texts meet as they are.
+
+    Forms are hundreds of times the rows Spark sees in the tables: both sides are
+    spread first, and they are joined by sorting, since neither can be sent whole.
     """
     close = F.levenshtein("_low", "_name_low", most)
-    size = F.length("_name_low")
+    parts = spread(words.sparkSession)
     listed = names.select("_name_low").distinct()
-    forms = deletion_forms(listed.filter(size <= SHORT_NAME), "_name_low", most)
-    probes = deletion_forms(words.filter(F.length("_low") <= SHORT_NAME + most), "_low", most)
-    short = probes.join(forms, "_form").select("_low", "_name_low").distinct()
+    typed = words.select("_low", F.length("_low").alias("_size")).filter(F.col("_size") <= SHORT_NAME + most).repartition(parts, "_low")
+    short_names = listed.withColumn("_size", F.length("_name_low")).filter(F.col("_size") <= SHORT_NAME).repartition(parts, "_name_low")
+    word_sizes, name_sizes = typed.select("_size").distinct(), short_names.select("_size").distinct()
+    probes = deletion_forms(typed.join(F.broadcast(_needed(word_sizes, name_sizes, most)), "_size"), "_low", most, F.col("_need")).select("_low", "_form")
+    forms = deletion_forms(short_names.join(F.broadcast(_needed(name_sizes, word_sizes, most)), "_size"), "_name_low", most, F.col("_need")).select("_name_low", "_form")
+    short = (
+        probes.join(forms.hint("merge"), "_form")
+        .filter(F.col("_low") != F.col("_name_low"))
+        .select("_low", "_name_low")
+        .distinct()
+    )
+    same = words.join(listed, F.col("_low") == F.col("_name_low")).filter(F.length("_low") <= SHORT_NAME).select("_low", "_name_low")
     long = (
         words.withColumn("_size", F.explode(F.sequence(F.length("_low") - most, F.length("_low") + most)))
-        .join(listed.filter(size > SHORT_NAME).withColumn("_size", size), "_size")
+        .join(listed.withColumn("_size", F.length("_name_low")).filter(F.col("_size") > SHORT_NAME), "_size")
         .select("_low", "_name_low")
     )
-    pairs = short.unionByName(long).withColumn("_distance", close).filter(F.col("_distance") >= 0)
+    pairs = short.unionByName(same).unionByName(long).withColumn("_distance", close).filter(F.col("_distance") >= 0)
     return pairs.join(names, "_name_low")
 
 

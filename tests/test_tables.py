@@ -510,3 +510,26 @@ def test_labels_that_share_a_column_name_are_told_apart(rows):
     assert len(set(wide.columns)) == len(wide.columns)
     row = wide.first().asDict()
     assert {row["maxn_C__perezi"], row["maxn_C__perezi_2"]} == {2, 3} and row["maxn_total"] == 5
+
+
+def test_names_meet_by_forms_of_the_lengths_there_are(spark):
+    rng = np.random.default_rng(4)
+
+    def made(n, low, high, letters):
+        return {"".join(rng.choice(list(letters), rng.integers(low, high))) for _ in range(n)}
+
+    for letters, low, high in (("ab", 1, 9), ("abc", 3, 13), ("ab", 37, 46)):
+        typed, listed = made(60, low, high, letters), made(60, low, high, letters)
+        words = spark.createDataFrame([(t,) for t in typed], "_low string")
+        names = spark.createDataFrame([(t,) for t in listed | set(list(typed)[:5])], "_name_low string")
+        got = lookup.near_names(words, names, 3).collect()
+        want = words.crossJoin(names).withColumn("_distance", F.levenshtein("_low", "_name_low")).filter("_distance <= 3").collect()
+        assert sorted((r._low, r._name_low, r._distance) for r in got) == sorted((r._low, r._name_low, r._distance) for r in want)
+
+
+def test_forms_are_not_sent_whole_to_every_task(spark):
+    words = spark.range(10).selectExpr("concat('word', id) AS _low")
+    names = spark.range(10).selectExpr("concat('name', id) AS _name_low")
+    plan = lookup.near_names(words, names, 3)._jdf.queryExecution().sparkPlan().toString()
+    by_form = [line for line in plan.splitlines() if "Join" in line and "[_form#" in line]
+    assert by_form and all("SortMergeJoin" in line for line in by_form)
