@@ -40,34 +40,33 @@ def near_duplicates(
 
     ``order`` is a column that orders the detections of a video. Boxes are whole
     numbers and reduced to distinct ones first. In buckets of width
-    4 * tolerance a box reaches at most two buckets per side, and a bucket
-    holds a fixed number of distinct boxes, so no bucket can grow with the data.
+    8 * tolerance a box reaches at most two buckets per side, one for most, and a
+    bucket holds a fixed number of distinct boxes, so no bucket can grow with the
+    data. A row names its bucket by one hash; equal hashes are only candidates.
     """
-    width = max(4 * tolerance, 1)
+    width = max(8 * tolerance, 1)
     boxes = detections.groupBy(
         video, *[c.alias(n) for c, n in zip(whole_box(), BOX, strict=True)]
     ).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("detections"))
     earlier = boxes.select(
         video,
-        *[F.floor(F.col(c) / width).alias(f"b_{c}") for c in BOX],
+        F.xxhash64(*[F.floor(F.col(c) / width) for c in BOX]).alias("bucket"),
         *[F.col(c).alias(f"e_{c}") for c in BOX],
         F.col("first_seen").alias("e_seen"),
     )
-    reach = boxes
-    for c in BOX:
-        reach = reach.withColumn(
-            f"b_{c}",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col(c) - tolerance) / width), F.floor((F.col(c) + tolerance) / width)
-                )
-            ),
-        )
+    reached = [
+        F.array_distinct(F.array(F.floor((F.col(c) - tolerance) / width), F.floor((F.col(c) + tolerance) / width)))
+        for c in BOX
+    ]
+    reach = boxes.select(video, *BOX, "first_seen")
+    for c, near in zip(BOX, reached, strict=True):
+        reach = reach.withColumn(f"b_{c}", F.explode(near))
+    reach = reach.select(video, *BOX, "first_seen", F.xxhash64(*[F.col(f"b_{c}") for c in BOX]).alias("bucket"))
     near = F.col("e_seen") < F.col("first_seen")
     for c in BOX:
         near = near & (F.abs(F.col(c) - F.col(f"e_{c}")) <= tolerance)
     hits = (
-        reach.join(earlier, [video, *[f"b_{c}" for c in BOX]])
+        reach.join(earlier, [video, "bucket"])
         .filter(near)
         .select(video, *BOX)
         .distinct()

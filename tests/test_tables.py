@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reefline.operators import history, inventory, lookup, maxn, metadata, ranking, review, stability, suggest, tracks, training
+from reefline.operators import dedup, history, inventory, lookup, maxn, metadata, ranking, review, stability, suggest, tracks, training
 
 BOX = "video_path string, video_name string, frame bigint, time string, track_id bigint, label string"
 
@@ -533,3 +533,15 @@ def test_forms_are_not_sent_whole_to_every_task(spark):
     plan = lookup.near_names(words, names, 3)._jdf.queryExecution().sparkPlan().toString()
     by_form = [line for line in plan.splitlines() if "Join" in line and "[_form#" in line]
     assert by_form and all("SortMergeJoin" in line for line in by_form)
+
+
+def test_near_boxes_reach_few_buckets(rows):
+    at = lambda k: (k * 37 % 400, k * 91 % 300)
+    boxes = [("v", *at(k), at(k)[0] + 50 + k % 50, at(k)[1] + 30 + k % 50, k) for k in range(400)]
+    found = rows("video_path string, xmin int, ymin int, xmax int, ymax int, seen bigint", *boxes)
+    plan = dedup.near_duplicates(found, "seen")
+    got = {(r.xmin, r.ymin, r.xmax, r.ymax): r.duplicate for r in plan.collect()}
+    want = {b[1:5]: any(e[5] < b[5] and all(abs(x - y) <= 2 for x, y in zip(e[1:5], b[1:5], strict=True)) for e in boxes) for b in boxes}
+    assert got == want
+    keys = [line for line in plan._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "bucket#" in line]
+    assert keys and all("b_xmin" not in line for line in keys)
