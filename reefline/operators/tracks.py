@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefline.functions.paths import basename, strip_prefix, with_folder_columns
-from reefline.operators.ranking import bucketed_index, running_total, top_rows
+from reefline.operators.ranking import bucketed_index, null_safe_join, running_total, top_rows
 
 TRACK = ("video_path", "track_id")
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -20,6 +20,9 @@ SURE_CONFIDENCE = 0.7
 # Track ids are cut into runs of this many values when they are numbered.
 ID_RUN = 65_536
 
+# Tracks of up to this many detections are ranked whole, each by one task.
+WHOLE_TRACK = 65_536
+
 
 def shape_detections(boxes: DataFrame, input_root: str, folder_depth: int = 0) -> DataFrame:
     """Tracker boxes to detection rows: relative path, name, track key, folder columns."""
@@ -159,40 +162,78 @@ def middle_detections(
     key: Sequence[str] = TRACK,
     ties: Sequence[str] = BOX,
     frame_run: int = 4096,
+    over: Mapping[str, Column] | None = None,
+    whole: int = WHOLE_TRACK,
 ) -> DataFrame:
-    """Detection number n div 2 of each track in frame order, with the track's n.
+    """Detection number n div 2 of each track in frame order, with the track's n and the aggregates ``over`` it.
+
+    A window ranks tracks of up to ``whole`` detections in one shuffle; longer
+    ones, which would fill a task, are ranked by counts. The leading hash keeps
+    sorts from comparing long paths that start alike.
+    """
+    keys, over = list(key), dict(over or {})
+    hashed = detections.withColumn("_track", F.xxhash64(*keys))
+    # at most one row for each ``whole`` detections, so it can be sent to every task
+    long = F.broadcast(
+        hashed.groupBy("_track").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole).select("_track")
+    )
+    in_order = Window.partitionBy("_track", *keys).orderBy("frame", *ties)
+    track = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    middle = F.call_function("div", F.col("detections"), F.lit(2).cast("bigint"))
+    short = (
+        hashed.join(long, "_track", "left_anti")
+        .withColumns(
+            {
+                "_pos": F.row_number().over(in_order) - 1,
+                "detections": F.count(F.lit(1)).over(track),
+                **{name: total.over(track) for name, total in over.items()},
+            }
+        )
+        .filter(F.col("_pos") == middle)
+        .drop("_track", "_pos")
+    )
+    rest = hashed.join(long, "_track", "left_semi").drop("_track")
+    return short.unionByName(_middle_by_counts(rest, keys, ties, frame_run, over))
+
+
+def _middle_by_counts(
+    detections: DataFrame, keys: list[str], ties: Sequence[str], frame_run: int, over: dict[str, Column]
+) -> DataFrame:
+    """Middle detections of tracks of any length.
 
     Boxes are counted per frame and per run of frames: the counts tell the run,
     then the frame that holds the middle, and only that frame's boxes are ranked.
     """
-    keys = list(key)
     frames = (
         detections.groupBy(*keys, "frame")
         .agg(F.count(F.lit(1)).alias("_boxes"))
         .withColumn("_run", F.floor(F.col("frame") / frame_run))
     )
     runs = frames.groupBy(*keys, "_run").agg(F.sum("_boxes").alias("_size"))
-    totals = runs.groupBy(*keys).agg(F.sum("_size").alias("detections"))
+    totals = detections.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("detections"), *[total.alias(name) for name, total in over.items()]
+    )
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     target = (
-        runs.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .join(totals, keys)
+        null_safe_join(
+            runs.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))), totals, keys
+        )
         .withColumn("_want", F.call_function("div", F.col("detections"), F.lit(2).cast("bigint")))
         .filter(
             (F.col("_want") >= F.col("_start")) & (F.col("_want") < F.col("_start") + F.col("_size"))
         )
-        .select(*keys, "_run", "detections", (F.col("_want") - F.col("_start")).alias("_skip"))
+        .select(*keys, "_run", "detections", *over, (F.col("_want") - F.col("_start")).alias("_skip"))
     )
     in_run = Window.partitionBy(*keys, "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
-        frames.join(target, [*keys, "_run"])
+        null_safe_join(frames, target, [*keys, "_run"])
         .withColumn("_first", F.coalesce(F.sum("_boxes").over(in_run), F.lit(0)))
         .filter((F.col("_skip") >= F.col("_first")) & (F.col("_skip") < F.col("_first") + F.col("_boxes")))
-        .select(*keys, "frame", "detections", (F.col("_skip") - F.col("_first")).alias("_skip"))
+        .select(*keys, "frame", "detections", *over, (F.col("_skip") - F.col("_first")).alias("_skip"))
     )
     inside = Window.partitionBy(*keys, "frame").orderBy(*ties)
     return (
-        detections.join(chosen, [*keys, "frame"])
+        null_safe_join(detections, chosen, [*keys, "frame"])
         .withColumn("_pos", F.row_number().over(inside) - 1)
         .filter(F.col("_pos") == F.col("_skip"))
         .drop("_skip", "_pos")

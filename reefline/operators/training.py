@@ -80,12 +80,15 @@ def track_windows(
             "species"
         ),
     )
-    wanted = detections.join(confirmed.select(*keys).distinct(), keys, "left_semi")
-    spans = wanted.groupBy(*keys).agg(
-        F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("end_ms")
-    )
-    middle = middle_detections(wanted, keys, ties or ("xmin", "ymin", "xmax", "ymax")).select(
+    middle = middle_detections(
+        detections,
+        keys,
+        ties or ("xmin", "ymin", "xmax", "ymax"),
+        over={"start_ms": F.min("time_ms"), "end_ms": F.max("time_ms")},
+    ).select(
         *keys,
+        "start_ms",
+        "end_ms",
         *[c for c in ("video_path", "video_name") if c not in keys],
         "detections",
         "w",
@@ -93,7 +96,7 @@ def track_windows(
         "confidence",
         *[F.col(c).cast("int").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")],
     )
-    return confirmed.join(spans, keys).join(middle, keys)
+    return confirmed.join(middle, keys)
 
 
 def frame_manifest(

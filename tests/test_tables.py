@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reefline.catalogue import REGISTRY
 from reefline.operators import dedup, history, inventory, lookup, maxn, metadata, ranking, review, stability, suggest, tracks, training
 
 BOX = "video_path string, video_name string, frame bigint, time string, track_id bigint, label string"
@@ -97,6 +98,38 @@ def test_middle_detection(rows):
     assert got == [(1, 5001, 4), (2, 3, 1)]
 
 
+@pytest.mark.parametrize("whole", [0, 6, 65_536])
+def test_middle_of_short_and_long_tracks(rows, whole):
+    rng = random.Random(13)
+    data = [
+        (rng.choice(["v", "w", None]), rng.choice([1, 2, None]), rng.choice([None, 0, 1, 2, 4095, 4096, 9000]), float(i), 1.0, 2.0, 2.0, 9, 9, 0.5)
+        for i in rng.sample(range(500), 90)
+    ] + [("x", 1, 7, 1.0, 1.0, 2.0, 2.0, 9, 9, 0.5)]
+    groups = {}
+    for r in sorted(data, key=lambda r: (r[2] is not None, r[2] or 0, r[3])):
+        groups.setdefault(r[:2], []).append(r)
+    want = {k: (g[len(g) // 2][2:4], len(g), min(r[3] for r in g)) for k, g in groups.items()}
+    over = {"least": F.min("xmin")}
+    got = tracks.middle_detections(rows(DET, *data), over=over, whole=whole).collect()
+    assert len(got) == len(want)
+    assert {(r.video_path, r.track_id): ((r.frame, r.xmin), r.detections, r.least) for r in got} == want
+
+
+def test_a_track_keeps_its_middle_in_a_frame_without_number(rows):
+    df = rows(DET, *[("v", 1, f, x, 1.0, 2.0, 2.0, 9, 9, 0.5) for f, x in ((None, 1.0), (None, 2.0), (5, 3.0))])
+    assert plain(tracks.middle_detections(df).select("frame", "xmin", "detections")) == [(None, 2.0, 3)]
+
+
+@pytest.mark.parametrize("name", ["track_windows"])
+def test_windows_read_the_detections_three_times(spark, name):
+    """For the best rows, for the long tracks, and for the window."""
+    df = REGISTRY[name].run(spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 3
+    assert "Scan ExistingRDD" not in final
+
+
 def test_overview_and_resume(rows):
     found = rows("video_path string, track_id bigint", ("a", 1), ("a", 2), ("a", 2))
     table = tracks.overview(found, rows("video_path string", ("a",), ("b",)))
