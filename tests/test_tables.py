@@ -120,7 +120,7 @@ def test_a_track_keeps_its_middle_in_a_frame_without_number(rows):
     assert plain(tracks.middle_detections(df).select("frame", "xmin", "detections")) == [(None, 2.0, 3)]
 
 
-@pytest.mark.parametrize("name", ["track_windows"])
+@pytest.mark.parametrize("name", ["track_windows", "frame_manifest"])
 def test_windows_read_the_detections_three_times(spark, name):
     """For the best rows, for the long tracks, and for the window."""
     df = REGISTRY[name].run(spark, "/root/testdata/sf0.001")
