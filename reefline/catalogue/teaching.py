@@ -116,6 +116,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.validation(spark, sf_dir),
         inputs.detections(spark, sf_dir),
         ties=("det_o", "det_l", "det_p", "xmax"),
+        nulls_last=True,
     )
 
 

@@ -154,7 +154,7 @@ def best_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT video_path, track_id, detections, frame, xmin, ymin, xmax, ymax FROM r WHERE pos = detections // 2""",
 )
 def middle_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.middle_detections(inputs.detections(spark, sf_dir), ties=_TIES[1:]).select(
+    return t.middle_detections(inputs.detections(spark, sf_dir), ties=_TIES[1:], nulls_last=True).select(
         "video_path", "track_id", "detections", "frame", "xmin", "ymin", "xmax", "ymax"
     )
 

@@ -80,6 +80,14 @@ def zero_pad(text: Column, width: int) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
+def zero_pad_number(number: Column, width: int) -> Column:
+    """Whole number with leading zeros; a minus sign comes first and counts."""
+    text = number.cast("string")
+    return F.when(number < 0, F.concat(F.lit("-"), zero_pad(F.ltrim(text, F.lit("-")), width - 1))).otherwise(
+        zero_pad(text, width)
+    )
+
+
 def thumbnail_name(station: Column, video_id: Column, track_id: Column) -> Column:
     number = zero_pad(F.replace(station, F.lit("BRUV "), F.lit("")), 3)
     return F.concat(

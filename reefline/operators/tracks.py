@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,20 +164,23 @@ def middle_detections(
     frame_run: int = 4096,
     over: Mapping[str, Column] | None = None,
     whole: int = WHOLE_TRACK,
+    nulls_last: bool = False,
 ) -> DataFrame:
     """Detection number n div 2 of each track in frame order, with the track's n and the aggregates ``over`` it.
 
     A window ranks tracks of up to ``whole`` detections in one shuffle; longer
     ones, which would fill a task, are ranked by counts. The leading hash keeps
-    sorts from comparing long paths that start alike.
+    sorts from comparing long paths that start alike. Missing frames and ties
+    come first, or last with ``nulls_last``.
     """
     keys, over = list(key), dict(over or {})
+    rising = F.asc_nulls_last if nulls_last else F.asc_nulls_first
     hashed = detections.withColumn("_track", F.xxhash64(*keys))
     # at most one row for each ``whole`` detections, so it can be sent to every task
     long = F.broadcast(
         hashed.groupBy("_track").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole).select("_track")
     )
-    in_order = Window.partitionBy("_track", *keys).orderBy("frame", *ties)
+    in_order = Window.partitionBy("_track", *keys).orderBy(*[rising(c) for c in ("frame", *ties)])
     track = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     middle = F.call_function("div", F.col("detections"), F.lit(2).cast("bigint"))
     short = (
@@ -193,11 +196,16 @@ def middle_detections(
         .drop("_track", "_pos")
     )
     rest = hashed.join(long, "_track", "left_semi").drop("_track")
-    return short.unionByName(_middle_by_counts(rest, keys, ties, frame_run, over))
+    return short.unionByName(_middle_by_counts(rest, keys, ties, frame_run, over, rising))
 
 
 def _middle_by_counts(
-    detections: DataFrame, keys: list[str], ties: Sequence[str], frame_run: int, over: dict[str, Column]
+    detections: DataFrame,
+    keys: list[str],
+    ties: Sequence[str],
+    frame_run: int,
+    over: dict[str, Column],
+    rising: Callable[[str], Column],
 ) -> DataFrame:
     """Middle detections of tracks of any length.
 
@@ -213,7 +221,7 @@ def _middle_by_counts(
     totals = detections.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("detections"), *[total.alias(name) for name, total in over.items()]
     )
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(rising("_run")).rowsBetween(Window.unboundedPreceding, -1)
     target = (
         null_safe_join(
             runs.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))), totals, keys
@@ -231,7 +239,7 @@ def _middle_by_counts(
         .filter((F.col("_skip") >= F.col("_first")) & (F.col("_skip") < F.col("_first") + F.col("_boxes")))
         .select(*keys, "frame", "detections", *over, (F.col("_skip") - F.col("_first")).alias("_skip"))
     )
-    inside = Window.partitionBy(*keys, "frame").orderBy(*ties)
+    inside = Window.partitionBy(*keys, "frame").orderBy(*[rising(c) for c in ties])
     return (
         null_safe_join(detections, chosen, [*keys, "frame"])
         .withColumn("_pos", F.row_number().over(inside) - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.clock import whole_div
 from reefline.functions.names import blank, class_from_notes, training_class
-from reefline.functions.paths import basename, dirname, stem, zero_pad
+from reefline.functions.paths import basename, dirname, stem, zero_pad, zero_pad_number
 from reefline.functions.scores import crop_box, sample_times
 from reefline.operators.ranking import bucketed_index, top_rows
 from reefline.operators.tracks import TRACK, middle_detections
@@ -65,11 +65,16 @@ def class_index(labels: DataFrame) -> DataFrame:
 
 
 def track_windows(
-    validation: DataFrame, detections: DataFrame, key: Sequence[str] = TRACK, ties: Sequence[str] = ()
+    validation: DataFrame,
+    detections: DataFrame,
+    key: Sequence[str] = TRACK,
+    ties: Sequence[str] = (),
+    nulls_last: bool = False,
 ) -> DataFrame:
     """Confirmed tracks with a species: first and last time and the middle detection's box.
 
     Times come from ``time_ms``, the confidence is that of the middle detection.
+    Missing frames and ties come first, or last with ``nulls_last``.
     """
     keys = list(key)
     confirmed = validation.filter(
@@ -85,6 +90,7 @@ def track_windows(
         keys,
         ties or ("xmin", "ymin", "xmax", "ymax"),
         over={"start_ms": F.min("time_ms"), "end_ms": F.max("time_ms")},
+        nulls_last=nulls_last,
     ).select(
         *keys,
         "start_ms",
@@ -137,7 +143,7 @@ def frame_manifest(
                 F.lit("/"),
                 F.col("video_name"),
                 F.lit("_track"),
-                zero_pad(F.col("track_id").cast("string"), 4),
+                zero_pad_number(F.col("track_id"), 4),
                 F.lit("_frame"),
                 zero_pad(F.col("frame_no").cast("string"), 3),
                 F.lit(".jpg"),

@@ -3,8 +3,10 @@
 import random
 from math import floor
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import differences
 from pyspark.sql import functions as F
 
 from reefline.catalogue import REGISTRY
@@ -120,6 +122,37 @@ def test_a_track_keeps_its_middle_in_a_frame_without_number(rows):
     assert plain(tracks.middle_detections(df).select("frame", "xmin", "detections")) == [(None, 2.0, 3)]
 
 
+@pytest.mark.parametrize("whole", [0, 6, 65_536])
+def test_middle_with_missing_frames_and_ties_last(rows, whole):
+    rng = random.Random(14)
+    data = [
+        ("v", rng.choice([1, 2, 3]), rng.choice([None, None, 0, 4096]), rng.choice([None, float(i)]), float(i), 2.0, 2.0, 9, 9, 0.5)
+        for i in range(60)
+    ]
+    groups = {}
+    for r in sorted(data, key=lambda r: (r[2] is None, r[2] or 0, r[3] is None, r[3] or 0, r[4])):
+        groups.setdefault(r[1], []).append(r)
+    want = {k: (g[len(g) // 2][2:5], len(g)) for k, g in groups.items()}
+    got = tracks.middle_detections(rows(DET, *data), whole=whole, nulls_last=True).collect()
+    assert {r.track_id: ((r.frame, r.xmin, r.ymin), r.detections) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["track_windows", "frame_manifest", "middle_detections"])
+def test_missing_parts_and_negative_tracks_as_in_sql(spark, tmp_path, name):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumns(
+        {
+            "l_orderkey": F.when(F.col("l_suppkey") % 2 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")),
+            "l_partkey": F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey")),
+            "l_linenumber": F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")),
+        }
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    query = REGISTRY[name]
+    assert differences(query.run(spark, str(tmp_path)), con, query.sql) == []
+
+
 @pytest.mark.parametrize("name", ["track_windows", "frame_manifest"])
 def test_windows_read_the_detections_three_times(spark, name):
     """For the best rows, for the long tracks, and for the window."""
