@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations_with_replacement
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reefline.functions import forms
+from reefline.functions.forms import SHARE_DIVISOR, SHARE_WEIGHTS, may_be_near
 from reefline.functions.names import blank
 from reefline.operators.ranking import null_safe_join, top_rows
 from reefline.session import spread
 
+# The functions below travel to the executors whole: the package need not be installed there.
+cloudpickle.register_pickle_by_value(forms)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DAY = 86_400
 
 
@@ -188,14 +199,9 @@ def _touches(cell: Column, at: Column, size: float, band: float) -> Column:
 
 # Names up to this length are found by what is left when letters are taken out, longer ones by their length.
 SHORT_NAME = 40
-
-
-def _needed(lengths: DataFrame, others: DataFrame, most: int) -> DataFrame:
-    """``_size, _need``: how many letters to take out of a text of a length to meet the lengths of the other side."""
-    near = others.select(F.col("_size").alias("_other"), F.explode(F.sequence(F.col("_size") - most, F.col("_size") + most)).alias("_size"))
-    out = F.lit(most) - F.greatest(F.lit(0), F.col("_other") - F.col("_size"))
-    # a row for each length up to a short name's
-    return lengths.join(F.broadcast(near.join(F.broadcast(lengths), "_size").groupBy("_size").agg(F.collect_set(out).alias("_need"))), "_size")
+# Forms that a group should have, and from how many on in the fullest group a third letter deals them; groups of one length at most.
+FORMS_TOGETHER, FORMS_AT_MOST = 1 << 22, 1 << 25
+SHARES_AT_MOST = 1 << 16
 
 
 def deletion_forms(names: DataFrame, text: str, most: int, need: Column | None = None) -> DataFrame:
@@ -225,33 +231,122 @@ def deletion_forms(names: DataFrame, text: str, most: int, need: Column | None =
     return levels.select(*names.columns, F.explode(forms).alias("_form"))
 
 
+def _deals(typed: DataFrame, listed: DataFrame, most: int) -> DataFrame:
+    """How forms are dealt to groups: ``_typed, _size, _left, _places, _shares``, a row for each side, length
+    of text and number of letters left.
+
+    ``_places`` are two or three places of the form whose commonest letter is
+    rarest among the listed names, ``_shares`` how many groups its letters there
+    are dealt to, so that a group has about ``FORMS_TOGETHER`` forms.
+    """
+    counts = [
+        side.groupBy("_size").agg(F.count(F.lit(1)).alias("_n")).select(F.struct(F.lit(side is typed).alias("typed"), "_size", "_n").alias(name))
+        for side, name in ((typed, "_t"), (listed, "_l"))
+    ]
+    # a row for each pair of lengths
+    meet = counts[0].join(F.broadcast(counts[1]), F.abs(F.col("_t._size") - F.col("_l._size")) <= most)
+    form = F.greatest(F.greatest("_t._size", "_l._size") - most, F.lit(0)).alias("_left")
+    sides = meet.select(form, F.explode(F.array("_t", "_l")).alias("s")).select("_left", "s.*").distinct()
+    ways, out = F.lit(1.0), F.col("_size") - F.col("_left")
+    for k in range(most):
+        ways = F.when(out > k, ways * (F.col("_size") - k) / (k + 1)).otherwise(ways)
+    sizes = sides.groupBy("_left").agg(F.sum(ways * F.col("_n")).alias("_forms"), F.max(F.when(~F.col("typed"), F.col("_n"))).alias("_most"))
+    letters = listed.select("_size", F.posexplode(F.split("_name_low", "")).alias("_at", "_letter")).groupBy("_size", "_at", "_letter").agg(F.count(F.lit(1)).alias("_n"))
+    moves = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o).alias("o")) for k in range(most + 1) for o in range(k + 1)]))
+    places = (
+        letters.withColumn("_move", moves)
+        .select((F.col("_size") - F.col("_move.k")).alias("_left"), (F.col("_at") - F.col("_move.o")).alias("_place"), "_n")
+        .filter((F.col("_place") >= 0) & (F.col("_place") < F.col("_left")))
+        .groupBy("_left", "_place")
+        .agg(F.max("_n").alias("_n"))
+        .groupBy("_left")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "_place"))), 1, len(SHARE_WEIGHTS)).alias("_best"))
+    )
+    fullest = F.col("_forms") * F.coalesce(F.get("_best", 0)["_n"] * F.get("_best", 1)["_n"] / F.col("_most") / F.col("_most"), F.lit(0.0))
+    deals = sizes.join(F.broadcast(places), "_left", "left").select(
+        "_left",
+        F.array_sort(F.slice(F.col("_best._place"), 1, F.when(fullest > FORMS_AT_MOST, 3).otherwise(2))).alias("_places"),
+        F.least(F.ceil(F.col("_forms") / FORMS_TOGETHER), F.lit(SHARES_AT_MOST)).cast("bigint").alias("_shares"),
+    )
+    return sides.join(F.broadcast(deals), "_left").select(F.col("typed").alias("_typed"), "_size", "_left", "_places", "_shares")
+
+
+def _dealt(texts: DataFrame, deals: DataFrame, text: str, typed: bool, most: int) -> DataFrame:
+    """``_group, _typed, _text``: each text beside every group that one of its forms is dealt to."""
+    own = texts.join(F.broadcast(deals.filter(F.col("_typed") == typed)), "_size")
+
+    def letter(k: int, moved: int) -> Column:
+        return F.coalesce(F.ascii(F.substr(F.col(text), F.get("_places", k) + moved + 1, F.lit(1))).cast("bigint"), F.lit(0)) * SHARE_WEIGHTS[k]
+
+    letters = {(k, o): f"_l{k}{o}" for k in range(len(SHARE_WEIGHTS)) for o in range(most + 1)}
+    shares = [
+        F.when(F.col("_out") >= moved[-1], F.pmod(F.pmod(sum(F.col(letters[k, o]) for k, o in enumerate(moved)), F.lit(SHARE_DIVISOR)), "_shares"))
+        for moved in combinations_with_replacement(range(most + 1), len(SHARE_WEIGHTS))
+    ]
+    place = [F.coalesce(F.get("_places", k), F.lit(63)).cast("bigint") for k in range(len(SHARE_WEIGHTS))]
+    group = F.col("_left").cast("bigint")
+    for p in place:
+        group = group * 64 + p
+    group = (group * SHARES_AT_MOST + F.col("_shares") - 1) * SHARES_AT_MOST
+    return (
+        own.select(F.col(text).alias("_text"), group.alias("_group"), "_shares", (F.col("_size") - F.col("_left")).alias("_out"), *[letter(k, o).alias(c) for (k, o), c in letters.items()])
+        .withColumn("_share", F.explode(F.array_distinct(F.array_compact(F.array(*shares)))))
+        .select((F.col("_group") + F.col("_share")).alias("_group"), F.lit(typed).alias("_typed"), "_text")
+    )
+
+
+def _meetings(most: int) -> Callable:
+    """The function that looks for texts with a common form in one group."""
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, shares_less_one = divmod(key[0].as_py() // SHARES_AT_MOST, SHARES_AT_MOST)
+        places = []
+        for _ in SHARE_WEIGHTS:
+            left, place = divmod(left, 64)
+            places = [place, *places]
+        table = pa.Table.from_batches(batches)
+        typed = table.column("_typed").combine_chunks()
+        texts = table.column("_text").combine_chunks()
+        words, names = texts.filter(typed), texts.filter(pc.invert(typed))
+        yield from may_be_near(words, names, left, most, tuple(p for p in places if p < 63), key[0].as_py() % SHARES_AT_MOST, shares_less_one + 1)
+
+    return meet
+
+
 def near_names(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """Pairs of ``_low`` texts and listed names (``_name_low`` and more) at most ``most`` edits apart, with ``_distance``.
 
-    Two texts at most k edits apart have a common form: the shorter with k
-    letters less their difference in length out, the longer with k. So texts and
-    names meet by the hashes of such forms, made only for lengths that the other
-    side has. Only names of about the typed letters meet, whatever the number of
-    names of that length. Equal texts meet as they are.
+    Two texts at most k edits apart have a common form: the longer with k letters
+    out, the shorter with as many less as it is shorter. Only names of about the
+    typed letters meet, whatever the number of names of that length.
 
-    Forms are hundreds of times the rows Spark sees in the tables: both sides are
-    spread first, and they are joined by sorting, since neither can be sent whole.
+    A text has hundreds of forms, so forms never travel. They are dealt to groups
+    by their letters at two or three places; taking letters out moves a place by
+    ``most`` at most, so a text goes to ten or twenty groups, and each group finds
+    the common forms dealt to it (``functions.forms``). Equal texts meet as they
+    are, as the form with no letter out; they are joined by sorting.
     """
     close = F.levenshtein("_low", "_name_low", most)
     parts = spread(words.sparkSession)
     listed = names.select("_name_low").distinct()
-    typed = words.select("_low", F.length("_low").alias("_size")).filter(F.col("_size") <= SHORT_NAME + most).repartition(parts, "_low")
-    short_names = listed.withColumn("_size", F.length("_name_low")).filter(F.col("_size") <= SHORT_NAME).repartition(parts, "_name_low")
-    word_sizes, name_sizes = typed.select("_size").distinct(), short_names.select("_size").distinct()
-    probes = deletion_forms(typed.join(F.broadcast(_needed(word_sizes, name_sizes, most)), "_size"), "_low", most, F.col("_need")).select("_low", "_form")
-    forms = deletion_forms(short_names.join(F.broadcast(_needed(name_sizes, word_sizes, most)), "_size"), "_name_low", most, F.col("_need")).select("_name_low", "_form")
+    typed = words.select("_low", F.length("_low").alias("_size")).filter(F.col("_size") <= SHORT_NAME + most)
+    short_names = listed.withColumn("_size", F.length("_name_low")).filter(F.col("_size") <= SHORT_NAME)
+    deals = _deals(typed, short_names, most)
     short = (
-        probes.join(forms.hint("merge"), "_form")
-        .filter(F.col("_low") != F.col("_name_low"))
-        .select("_low", "_name_low")
+        _dealt(typed, deals, "_low", True, most)
+        .unionByName(_dealt(short_names, deals, "_name_low", False, most))
+        .repartition(parts, "_group")
+        .groupBy("_group")
+        .applyInArrow(_meetings(most), "_low string, _name_low string")
+        .filter(close >= 0)
         .distinct()
     )
-    same = words.join(listed, F.col("_low") == F.col("_name_low")).filter(F.length("_low") <= SHORT_NAME).select("_low", "_name_low")
+    same = (
+        typed.filter(F.col("_size") <= SHORT_NAME)
+        .select("_low", F.col("_low").alias("_form"))
+        .join(short_names.select("_name_low", F.col("_name_low").alias("_form")).hint("merge"), "_form")
+        .select("_low", "_name_low")
+    )
     long = (
         words.withColumn("_size", F.explode(F.sequence(F.length("_low") - most, F.length("_low") + most)))
         .join(listed.withColumn("_size", F.length("_name_low")).filter(F.col("_size") > SHORT_NAME), "_size")

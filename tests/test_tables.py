@@ -1,15 +1,22 @@
 """Hand-worked cases of the table operators."""
 
+import itertools
+import os
 import random
+import subprocess
+import sys
 from math import floor
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import differences
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from reefline.catalogue import REGISTRY
+from reefline.functions import forms
 from reefline.operators import dedup, history, inventory, lookup, maxn, metadata, ranking, review, stability, suggest, tracks, training
 
 BOX = "video_path string, video_name string, frame bigint, time string, track_id bigint, label string"
@@ -611,3 +618,63 @@ def test_near_boxes_reach_few_buckets(rows):
     assert got == want
     keys = [line for line in plan._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "bucket#" in line]
     assert keys and all("b_xmin" not in line for line in keys)
+
+
+def _edited(rng, text, letters):
+    for _ in range(rng.randint(0, 4)):
+        k = rng.randrange(len(text) + 1)
+        text = rng.choice([text[:k] + text[k + 1 :], text[:k] + rng.choice(letters) + text[k:], text[:k] + rng.choice(letters) + text[k + 1 :]])
+    return text
+
+
+def test_forms_of_a_long_list_do_not_travel(spark, monkeypatch):
+    # groups of few forms, so that there are many, by two letters and by three
+    rng, store = random.Random(5), spark.sparkContext._jsc.sc().statusStore()
+    listed = {"S " + "".join(rng.choices("0123456789abé🐟", k=11)) for _ in range(300)}
+    typed = {name[: k % 13] + rng.choice("xyé🐟") + name[k % 13 + 1 :] for k, name in enumerate(sorted(listed))}
+    words, names = (spark.createDataFrame([(t,) for t in side], f"{c} string") for side, c in ((typed, "_low"), (listed, "_name_low")))
+    want = words.crossJoin(names).withColumn("_distance", F.levenshtein("_low", "_name_low")).filter("_distance <= 3").collect()
+
+    def moved():
+        executors = store.executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    for together, fullest in ((1 << 10, 1 << 60), (1 << 10, 1), (1 << 22, 1)):
+        monkeypatch.setattr(lookup, "FORMS_TOGETHER", together, raising=False)
+        monkeypatch.setattr(lookup, "FORMS_AT_MOST", fullest, raising=False)
+        before = moved()
+        got = lookup.near_names(words, names, 3).collect()
+        assert sorted(map(tuple, got)) == sorted((r._name_low, r._low, r._distance) for r in want)
+        # 286 forms of each text would be some 4,000 bytes
+        assert moved() - before < 1000 * len(typed | listed)
+
+
+def test_the_search_for_common_forms_travels_whole(tmp_path):
+    (tmp_path / "meet").write_bytes(cloudpickle.dumps(lookup._meetings(3)))
+    group = (((10 * 64 + 63) * 64 + 63) * 64 + 63) * lookup.SHARES_AT_MOST**2
+    code = f"""import pickle, pyarrow as pa
+batch = pa.RecordBatch.from_pydict({{"_typed": [True, False], "_text": ["abcdefghijklm", "abcdefghijkl"]}})
+found = pickle.load(open({str(tmp_path / "meet")!r}, "rb"))((pa.scalar({group}),), iter([batch]))
+print([b.to_pydict() for b in found])"""
+    seen = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True, text=True, check=True)
+    assert seen.stdout.strip() == "[{'_low': ['abcdefghijklm'], '_name_low': ['abcdefghijkl']}]"
+
+
+def test_common_forms_are_found_by_parts(monkeypatch):
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(150)})
+    words = sorted({_edited(rng, n, "abc🐟") for n in names})
+    near = lambda a, b, form: max(len(a), len(b)) == form + 3 and any(
+        "".join(c) in set(map("".join, itertools.combinations(b, form))) for c in itertools.combinations(a, form))
+    want = {(a, b) for a in words for b in names for form in (3, 5) if a != b and min(len(a), len(b)) >= form and near(a, b, form)}
+    for kept, held, together in ((1 << 23, 1 << 21, 1 << 14), (64, 16, 7)):
+        monkeypatch.setattr(forms, "FORMS_KEPT", kept)
+        monkeypatch.setattr(forms, "PAIRS_HELD", held)
+        monkeypatch.setattr(forms, "TEXTS_TOGETHER", together)
+        monkeypatch.setattr(forms, "FORMS_AT_ONCE", together)
+        for places, shares in (((), 1), ((0, 2), 3), ((0, 1, 2), 5)):
+            got = set()
+            for form, share in itertools.product((3, 5), range(shares)):
+                for batch in forms.may_be_near(pa.array(words), pa.array(names), form, 3, places, share, shares):
+                    got |= set(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            assert got == want
