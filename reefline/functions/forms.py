@@ -38,7 +38,7 @@ def by_size(texts: pa.Array) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
             taken = texts.take(pa.array(some))
             joined = taken.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(taken)).as_py()] if size else b""
             points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).reshape(len(some), size)
-            out[size].append((some.astype(np.uint64), np.ascontiguousarray(points.T).astype(np.int64)))
+            out[size].append((some.astype(np.uint64), np.ascontiguousarray(points.T)))
     return out
 
 
@@ -64,7 +64,7 @@ def hashed_forms(
     back = pow(BASE, -1, 1 << 64)
     runs = [sums * np.uint64(pow(back, t, 1 << 64)) for t in range(out + 1)]
     for sources, ways in by_source:
-        dealt = sum((points[s] * w for s, w in zip(sources, SHARE_WEIGHTS, strict=False)), np.zeros(len(numbers), np.int64))
+        dealt = sum((points[s].astype(np.int64) * w for s, w in zip(sources, SHARE_WEIGHTS, strict=False)), np.zeros(len(numbers), np.int64))
         mine = np.flatnonzero(dealt % SHARE_DIVISOR % shares == share)
         if not len(mine):
             continue
@@ -92,18 +92,21 @@ def common_forms(left: list[tuple], right: list[tuple], deal: tuple) -> Iterator
             held.append(piece)
             n += len(piece)
             if n >= FORMS_KEPT:
-                yield from _met(np.concatenate(held), right, deal)
-                held, n = [], 0
+                kept, held, n = np.concatenate(held), [], 0
+                yield from _met(kept, right, deal)
     if held:
-        yield from _met(np.concatenate(held), right, deal)
+        kept, held = np.concatenate(held), []
+        yield from _met(kept, right, deal)
 
 
 def _met(kept: np.ndarray, right: list[tuple], deal: tuple) -> Iterator[np.ndarray]:
     kept.sort()
     # where the forms begin that share the bits in front: hashes are even, so few forms do
-    shift = np.uint64(64 - max(12, len(kept).bit_length() + 1))
-    begin = np.zeros((1 << (64 - int(shift))) + 1, np.int64)
-    np.cumsum(np.bincount((kept >> shift).astype(np.int64), minlength=len(begin) - 1), out=begin[1:])
+    shift = np.uint64(64 - max(12, len(kept).bit_length()))
+    begin = np.zeros((1 << (64 - int(shift))) + 1, np.int32)
+    ends = np.flatnonzero(np.append(kept[1:] >> shift != kept[:-1] >> shift, True))
+    begin[(kept[ends] >> shift).astype(np.int64) + 1] = ends + 1
+    np.maximum.accumulate(begin, out=begin)
     for block in right:
         held, n = [], 0
         for piece in hashed_forms(*block, *deal):
@@ -112,7 +115,7 @@ def _met(kept: np.ndarray, right: list[tuple], deal: tuple) -> Iterator[np.ndarr
             many = begin[front + 1] - first
             some = np.flatnonzero(many)
             piece, first, many = piece[some], first[some], many[some]
-            ends = np.cumsum(many)
+            ends = np.cumsum(many, dtype=np.int64)
             start = 0
             while start < len(piece):
                 done = ends[start - 1] if start else 0
